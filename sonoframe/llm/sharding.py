@@ -83,7 +83,7 @@ WITH t AS (
 ), d AS (
   SELECT doc_id, text, coalesce(doc_id::VARCHAR, '') AS k, coalesce(text, '') AS body FROM documents
 ), h AS (
-  SELECT doc_id, k, strlen(body)::BIGINT + 1 AS size, hex(body::BLOB) AS hx FROM d
+  SELECT doc_id, k, strlen(body)::BIGINT + 1 AS size, hex(encode(body)) AS hx FROM d
 ), c AS (
   SELECT h.doc_id, k, size,
     xor(4294967295, list_reduce(
