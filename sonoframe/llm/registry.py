@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import extraction, fertility, packing, sharding, viterbi
+from sonoframe.llm import extraction, fertility, packing, sharding, toxicity, viterbi
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
     "op3_minimum_cut": extraction.op3_minimum_cut,
     "op5_rendezvous": sharding.op5_rendezvous,
+    "op7_pattern_grammar": toxicity.op7_pattern_grammar,
     "op8_bounded_space": packing.op8_bounded_space,
     "op10_count_viterbi": viterbi.op10_count_viterbi,
 }
