@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import extraction, fertility, packing, sharding, toxicity, viterbi
+from sonoframe.llm import extraction, fertility, fingerprint, packing, sharding, toxicity, viterbi
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
+    "op2_merkle": fingerprint.op2_merkle,
     "op3_minimum_cut": extraction.op3_minimum_cut,
     "op5_rendezvous": sharding.op5_rendezvous,
     "op7_pattern_grammar": toxicity.op7_pattern_grammar,
