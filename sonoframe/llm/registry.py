@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import extraction, fertility, fingerprint, packing, sharding, toxicity, viterbi
+from sonoframe.llm import extraction, fertility, fingerprint, neardup, packing, sharding, toxicity, viterbi
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_rendezvous": sharding.op5_rendezvous,
     "op7_pattern_grammar": toxicity.op7_pattern_grammar,
     "op8_bounded_space": packing.op8_bounded_space,
+    "op9_weighted_sampling": neardup.op9_weighted_sampling,
     "op10_count_viterbi": viterbi.op10_count_viterbi,
 }
 ORACLES = {"op5_rendezvous": sharding.ORACLE_SQL}
