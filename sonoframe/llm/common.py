@@ -252,3 +252,39 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+# --- Bloom filters ------------------------------------------------------------------------------------------------
+
+#: Bits of a filter: 8 MB to broadcast, whatever the number of keys. More keys only make it let more through.
+BLOOM_BITS = 1 << 26
+
+
+class Bloom:
+    """A Bloom filter over pairs of longs (hashes). It is built by an aggregate of its words, of which there are few."""
+
+    def __init__(self, keys: DataFrame, k1: str, k2: str):
+        mask = F.lit(BLOOM_BITS - 1)
+        places = F.array(F.col(k1).bitwiseAND(mask), F.shiftrightunsigned(F.col(k1), 32).bitwiseAND(mask), F.col(k2).bitwiseAND(mask))
+        words = keys.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"))
+        self.words = np.zeros(BLOOM_BITS >> 6, np.uint64)
+        found = words.toPandas()
+        self.words[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+
+    def hits(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        k1, k2, mask = k1.view(np.uint64), k2.view(np.uint64), np.uint64(BLOOM_BITS - 1)
+        out = np.ones(len(k1), bool)
+        for p in (k1 & mask, (k1 >> np.uint64(32)) & mask, k2 & mask):
+            out &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def split_by_bloom(df: DataFrame, bloom, k1: str, k2: str, hit: bool) -> DataFrame:
+    """The rows whose keys the broadcast filter lets through (or the others); a shuffle of the rest is spared."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = bloom.value.hits(*(np.asarray(batch.column(c)).astype(np.int64) for c in (k1, k2)))
+            yield batch.filter(pa.array(found == hit))
+
+    return df.mapInArrow(kernel, df.schema)

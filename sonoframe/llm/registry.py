@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import extraction, fertility, fingerprint, neardup, packing, sharding, toxicity, viterbi
+from sonoframe.llm import extraction, fertility, fingerprint, lines, mixing, neardup, packing, sharding, toxicity, viterbi
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
     "op2_merkle": fingerprint.op2_merkle,
     "op3_minimum_cut": extraction.op3_minimum_cut,
+    "op4_segment_join": lines.op4_segment_join,
     "op5_rendezvous": sharding.op5_rendezvous,
+    "op6_temperature": mixing.op6_temperature,
     "op7_pattern_grammar": toxicity.op7_pattern_grammar,
     "op8_bounded_space": packing.op8_bounded_space,
     "op9_weighted_sampling": neardup.op9_weighted_sampling,
