@@ -50,7 +50,7 @@ def semitone_ratio(n: Column) -> Column:
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """For each group the values at floor(share * (n - 1)) of the sorted list: ranks are picked, never interpolated.
+    """For each group the values at share * (n - 1) of the sorted list, the place rounded: ranks are picked, never interpolated.
 
     Equal values are counted before they are ranked, so the shuffle carries distinct values only.
     """
@@ -58,6 +58,6 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[st
     order = Window.partitionBy(*keys).orderBy(value)
     whole = Window.partitionBy(*keys)
     ranked = counted.withColumn("_to", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(whole))
-    at = {name: F.floor(F.lit(share) * (F.col("_all") - 1)) for name, share in shares.items()}
+    at = {name: F.floor(F.lit(share) * (F.col("_all") - 1) + 0.5) for name, share in shares.items()}
     inside = {name: (F.col("_to") > k) & (F.col("_to") - F.col("_n") <= k) for name, k in at.items()}
     return ranked.groupBy(*keys).agg(*[F.max(F.when(inside[name], F.col(value))).alias(name) for name in shares])

@@ -81,7 +81,7 @@ def gated_energy(spark, sf_dir):
 
 @query(f"""WITH {P}, l AS (SELECT key, {LUFS.format('power')} AS lv FROM p), a AS (SELECT *, 10 * log10(avg(pow(10, lv / 10)) OVER (PARTITION BY key)) - 20 AS g FROM l WHERE lv > -70),
 k AS (SELECT key, list(lv ORDER BY lv) AS x FROM a WHERE lv > g GROUP BY key)
-SELECT key, round(coalesce(x[floor(.95 * (len(x) - 1))::INT + 1] - x[floor(.1 * (len(x) - 1))::INT + 1], 0), 6) AS range FROM (SELECT DISTINCT key FROM p) LEFT JOIN k USING (key)""")
+SELECT key, round(coalesce(x[floor(.95 * (len(x) - 1) + .5)::INT + 1] - x[floor(.1 * (len(x) - 1) + .5)::INT + 1], 0), 6) AS range FROM (SELECT DISTINCT key FROM p) LEFT JOIN k USING (key)""")
 def loudness_range_nearest_rank(spark, sf_dir):
     return gating.loudness_range(gating.block_powers(samples(spark, sf_dir), 4, 1)).select("key", F.round("range", 6).alias("range"))
 
@@ -194,7 +194,7 @@ def concat_offsets(spark, sf_dir):
     return series.concat_offsets(_t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 500).select("source", "doc_id", "start")
 
 
-@query(f"WITH {S}, k AS (SELECT key, list(v ORDER BY v) AS x FROM s GROUP BY key) SELECT key, x[floor(.95 * (len(x) - 1))::INT + 1] AS p95, x[floor(.1 * (len(x) - 1))::INT + 1] AS p10 FROM k")
+@query(f"WITH {S}, k AS (SELECT key, list(v ORDER BY v) AS x FROM s GROUP BY key) SELECT key, x[floor(.95 * (len(x) - 1) + .5)::INT + 1] AS p95, x[floor(.1 * (len(x) - 1) + .5)::INT + 1] AS p10 FROM k")
 def nearest_rank_levels(spark, sf_dir):
     return N.nearest_rank(samples(spark, sf_dir), ["key"], "v", {"p95": 0.95, "p10": 0.1})
 
