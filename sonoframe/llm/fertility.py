@@ -101,8 +101,11 @@ def _measure(paths: tuple[str, str]):
                 if len(text) <= 1 << 20:
                     found = [list(map(known.__getitem__, words))]
                 else:
-                    found = [[v.cache.of([c])[x] for x in c] for c in (s.split() for s in segments(text))]
-                    known = v.cache.of([[]])
+                    found = []
+                    for chunks in (s.split() for s in segments(text)):
+                        part_known = v.cache.of([chunks])
+                        found.append(list(map(part_known.__getitem__, chunks)))
+                    known = v.cache.of([w for w, t in zip(word_lists, texts) if len(t) <= 1 << 20])
                 counts = np.zeros(0, np.int64)
                 for values in found:
                     more = np.bincount(np.frombuffer(b"".join([x[0] for x in values]), "<u4"), minlength=len(counts))
