@@ -56,7 +56,8 @@ def read_header(f) -> Header | None:
             if tag not in (1, 3) or not channels or not MIN_RATE <= rate <= MAX_RATE or bits not in (8, 16, 24, 32, 64):
                 return None
             at = f.tell()
-            size = min(size, os.fstat(f.fileno()).st_size - at) if hasattr(f, "fileno") else size
+            f.seek(0, 2)
+            size = min(size, f.tell() - at)
             return Header(rate, channels, bits, tag == 3, at, size // (channels * bits // 8))
         else:
             f.seek(size + (size & 1), 1)
