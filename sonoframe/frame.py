@@ -150,6 +150,36 @@ class AudioFrame:
 
         return self.map_channels(lambda x, r: reverb(x, r, decay, pre_delay, mix, seed))
 
+    def _map_clips(self, f: Callable[[list[np.ndarray], int], list[np.ndarray]]) -> "AudioFrame":
+        """Applies f(channels, rate), which may change the length but not the rate."""
+        blocks = self._per_clip(lambda k, r, xs: blocks_table(k, f(xs, r)), schema.BLOCKS)
+        frames = blocks.where("channel = 0").groupBy("clip_id").agg(F.sum(F.size("samples")).alias("frames"))
+        clips = self.clips.drop("frames").join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
+        return AudioFrame(clips.select(*self.clips.columns), blocks)
+
+    def stretch(self, factor: float) -> "AudioFrame":
+        from sonoframe.kernels.rhythm import stretch
+
+        return self._map_clips(lambda xs, r: stretch(xs, r, factor))
+
+    def tempo_change(self, multiplier: float) -> "AudioFrame":
+        return self.stretch(1 / min(4.0, max(0.25, multiplier)))
+
+    def pitch_shift(self, semitones: float) -> "AudioFrame":
+        from sonoframe.kernels.rhythm import pitch_shift
+
+        return self._map_clips(lambda xs, r: pitch_shift(xs, r, semitones))
+
+    def change_speed(self, factor: float) -> "AudioFrame":
+        from sonoframe.kernels.rhythm import change_speed
+
+        return self._map_clips(lambda xs, r: [change_speed(x, r, factor) for x in xs])
+
+    def tempo(self) -> DataFrame:
+        from sonoframe.kernels.rhythm import tempo
+
+        return self._per_clip(lambda k, r, xs: pa.Table.from_pylist([{"clip_id": k, **tempo(xs, r)}], schema=_arrow(schema.TEMPO)), schema.TEMPO)
+
     def loudness(self) -> DataFrame:
         from sonoframe.kernels.loudness import measure
 

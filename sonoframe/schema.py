@@ -8,3 +8,4 @@ CLIP = "clip_id string, path string, container string, codec string, sample_rate
 BLOCKS = "clip_id string, channel int, block_idx int, start long, samples array<float>"
 LOUDNESS = "clip_id string, integrated double, range double, true_peak double, peak double, momentary array<double>, momentary_step double"
 KEY = "clip_id string, tonic int, mode string, name string, camelot string, score double, runner_up string, confidence double, chroma array<double>"
+TEMPO = "clip_id string, bpm double, confidence double, beat_period double, beat_offset double"
