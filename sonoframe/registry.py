@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sonoframe.plans import catalogs, deliveries, signal
+from sonoframe.plans import catalogs, deliveries, signal, voting
 
-_MODULES = [signal, deliveries, catalogs]
+_MODULES = [signal, deliveries, catalogs, voting]
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
