@@ -39,12 +39,11 @@ def n_tokens(text: Column) -> Column:
 def _tried(sources: DataFrame, exponents: list[float], budget: float) -> list[tuple[float, float]]:
     """For each exponent, the entropy of its weights and the most repeats of a source."""
     # With weights w = p**a / z, the entropy is ln z - sum(p**a ln p**a) / z, and repeats are p**a / z * budget / tokens.
-    sums = []
-    for k, a in enumerate(exponents):
-        power = F.pow(F.col("p"), F.lit(a))
-        sums += [F.sum(power).alias(f"z{k}"), F.sum(power * F.lit(a) * F.ln("p")).alias(f"s{k}"), F.max(power / F.col("tokens")).alias(f"r{k}")]
-    row = sources.agg(*sums).first()
-    return [(float(math.log(row[f"z{k}"]) - row[f"s{k}"] / row[f"z{k}"]), row[f"r{k}"] / row[f"z{k}"] * budget) for k in range(len(exponents))]
+    # One group for each exponent: as many aggregates in one row would outgrow a compiled method.
+    grid = sources.select("p", "tokens", F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "a")).withColumn("power", F.pow("p", "a"))
+    rows = grid.groupBy("k").agg(F.sum("power").alias("z"), F.sum(F.col("power") * F.col("a") * F.ln("p")).alias("s"), F.max(F.col("power") / F.col("tokens")).alias("r")).collect()
+    found = {r.k: (math.log(r.z) - r.s / r.z, r.r / r.z * budget) for r in rows}
+    return [found[k] for k in range(len(exponents))]
 
 
 def exponent(sources: DataFrame, budget: float, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
