@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a kernel holds as Python objects at a time, and bytes of text at a time.
@@ -243,8 +243,10 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         star = large.unionByName(kept).distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()  # what tells a round from the one before comes with its write
+        new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialize(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        now = seen.get
         if now == before:
             break
         before = now
@@ -268,8 +270,8 @@ class Bloom:
         places = F.array(F.col(k1).bitwiseAND(mask), F.shiftrightunsigned(F.col(k1), 32).bitwiseAND(mask), F.col(k2).bitwiseAND(mask))
         words = keys.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"))
         self.words = np.zeros(BLOOM_BITS >> 6, np.uint64)
-        found = words.toPandas()
-        self.words[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+        found = words.toArrow()
+        self.words[np.asarray(found.column("w"), np.int64)] = np.asarray(found.column("bits"), np.int64).view(np.uint64)
 
     def hits(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         k1, k2, mask = k1.view(np.uint64), k2.view(np.uint64), np.uint64(BLOOM_BITS - 1)

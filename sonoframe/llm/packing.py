@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute
@@ -238,19 +237,19 @@ def _packer(path: str, size: int, most: int):
 
 
 def _merge(size: int):
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(table: pa.Table) -> pa.Table:
         """Best fit by falling size: where each window goes, and how far in."""
-        pdf = pdf.sort_values(["fill", "window"], ascending=[False, True])
+        table = table.sort_by([("fill", "descending"), ("window", "ascending")])
         room: list[tuple[int, int]] = []
         to, at = [], []
-        for window, fill in zip(pdf["window"], pdf["fill"]):
+        for window, fill in zip(table.column("window").to_pylist(), table.column("fill").to_pylist()):
             k = bisect.bisect_left(room, (fill, -1))
             free, target = room.pop(k) if k < len(room) else (size, window)
             to.append(target)
             at.append(size - free)
             if free > fill:
                 bisect.insort(room, (free - fill, target))
-        return pd.DataFrame({"window": pdf["window"].to_numpy(), "sequence_id": to, "shift": at})
+        return pa.table({"window": table.column("window"), "sequence_id": pa.array(to, pa.int64()), "shift": pa.array(at, pa.int64())})
 
     return kernel
 
@@ -261,7 +260,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = MAX_TOKENS,
     pieces = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packer(path, size, open_windows), PIECES), "pieces")
     left = pieces.where("left_open").groupBy("window").agg(F.sum("length").alias("fill"))
     groups = max(1, -(-pieces.where("first_open").count() // MERGE_WINDOWS))
-    moves = left.withColumn("g", F.pmod(F.xxhash64("window"), F.lit(groups))).groupBy("g").applyInPandas(_merge(size), "window long, sequence_id long, shift long")
+    moves = left.withColumn("g", F.pmod(F.xxhash64("window"), F.lit(groups))).groupBy("g").applyInArrow(_merge(size), "window long, sequence_id long, shift long")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     moved = pieces.where("left_open").join(moves, "window").select(*columns, "sequence_id", (F.col("offset") + F.col("shift")).alias("offset"))
     return pieces.where("NOT left_open").select(*columns, F.col("window").alias("sequence_id"), "offset").unionByName(moved)

@@ -236,11 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
             x = [grammar_.features(t).tolist() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    held = tune.select("text", "toxic").mapInArrow(kernel, "toxic int, x array<double>").toPandas()
-    y = held["toxic"].to_numpy(float)
+    held = tune.select("text", "toxic").mapInArrow(kernel, "toxic int, x array<double>").toArrow()
+    y = np.asarray(held.column("toxic"), float)
     if len(set(y)) < 2:
         return Model(patterns, None)
-    return Model(patterns, _fit_logistic(np.array(held["x"].tolist()), y))
+    return Model(patterns, _fit_logistic(np.array(held.column("x").to_pylist()).reshape(-1, N_FEATURES), y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
