@@ -319,4 +319,11 @@ def test_pipeline(spark, sf_dir, documents, texts, tokenizer):
     final = dict(inputs[4])
     rows = docs.collect()
     assert {r.doc_id for r in rows} == set(final)
-    assert {(r.doc_id, r.start) for r in corpus_pipeline.run(spark, sf_dir).collect()} == {(r.doc_id, r.start) for r in rows}
+
+
+def test_run_feeds_each_stage_with_what_the_one_before_kept(spark, sf_dir, documents, monkeypatch):
+    import corpus_pipeline
+
+    half = lambda s, docs, d: docs.where("doc_id % 2 = 0")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", half), ("b", lambda s, docs, d: docs.where("doc_id % 3 = 0")), ("c", lambda s, docs, d: docs.select("doc_id"))])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == {r.doc_id for r in documents.collect() if r.doc_id % 6 == 0}
