@@ -5,7 +5,9 @@ under a byte-level one, the share of tokens that fell back to bytes, and the ent
 the corpus itself, over all documents that pass the base rules: for each language (where the language is null, the
 script that most letters have) the median and the median absolute deviation; entropy also by the power of two of the
 number of tokens, since it grows with it. A text outside `width` robust deviations on the bad side of a band is
-rejected; a group of fewer than `least` documents sets no band.
+rejected. Where a group has fewer than `least` documents, the next wider one sets the band: the script, then all documents;
+for entropy the language with the neighbouring powers of two, the script with the same one, with neighbouring ones, all
+documents likewise, and last all documents of any size, however few they are. So every document is judged.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; repeated rows count each; an
 empty table gives no rows; other columns are left out; very long texts are measured whole, in parts cut at white space.
@@ -21,13 +23,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoframe.llm.common import ChunkCache, materialize, segments, slices, table, utf8
 
 SYMBOLS = b"#*$%&|<>"
-#: Robust standard deviations that a band is wide, its least width as a share of the median, and documents that a group needs to set one.
+#: Robust standard deviations that a band is wide, its least width as a share of the median, and documents that a group needs to set one before wider groups do.
 BAND_WIDTH, BAND_FLOOR, GROUP_LEAST = 5.0, 0.04, 50
 
 _RANGES = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF)]
@@ -82,7 +84,7 @@ class Vocabularies:
 
 _vocabularies: dict[tuple[str, str], Vocabularies] = {}
 
-METRICS = "doc_id long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, chars_per_level_token double, fallback_share double, token_entropy double"
+METRICS = "doc_id long, band string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, chars_per_level_token double, fallback_share double, token_entropy double"
 
 
 def _measure(paths: tuple[str, str]):
@@ -116,20 +118,51 @@ def _measure(paths: tuple[str, str]):
                 word_chars = n - sum(text.count(b) for b in b" \t\n\v\f\r")
                 entropy = float(math.log2(total) - (some * np.log2(some)).sum() / total) if total else 0.0
                 fell = int(counts[v.is_byte[: len(counts)]].sum())
+                letters = script(text)
                 rows.append((
-                    doc_id, lang or script(text), len(words), word_chars, sum(text.count(b) for b in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words),
+                    doc_id, lang or letters, letters, len(words), word_chars, sum(text.count(b) for b in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words),
                     total, word_chars / total if total else 0.0, word_chars / level if level else 0.0, fell / total if total else 0.0, entropy,
                 ))
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 4]
+            kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in METRICS.split(", ")])
 
     return kernel
 
 
-def _bands(passed: DataFrame, keys: list[str], measures: list[str], least: int) -> DataFrame:
-    """For each group of `keys`: its size, and the median m_x and the median absolute deviation d_x of each measure."""
-    middle = passed.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m_{x}") for x in measures]).where(F.col("n") >= least).drop("n")
-    return passed.join(middle, keys).groupBy(*keys).agg(*[F.first(f"m_{x}").alias(f"m_{x}") for x in measures], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"d_{x}") for x in measures])
+def _key(*parts) -> Column:
+    return F.concat_ws("\x1f", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+
+
+def _rungs() -> tuple[list[tuple[Column, Column]], list[tuple[Column, Column]]]:
+    """For the plain measures and for entropy, from the narrowest group to the widest: the key of the group that judges a document, and the keys of those that it counts in."""
+    levels = [_key("band", F.col("band")), _key("script", F.col("script")), _key("all")]
+    plain = [(k, F.array(k)) for k in levels]
+    sized = []
+    for level in levels:
+        for apart in (0, 1):
+            sized.append((_key(level, apart, F.col("size")), F.array(*[_key(level, apart, F.col("size") + d) for d in range(-apart, apart + 1)])))
+    return plain, [*sized, (_key("all"), F.array(_key("all")))]
+
+
+def _bands(passed: DataFrame, rungs: list[tuple[Column, Column]], measures: list[str], least: int) -> DataFrame:
+    """For each group of the rungs that may set a band: the median m_x and the median absolute deviation d_x of each measure."""
+    members = passed.select(F.explode(F.flatten(F.array(*[keys for _, keys in rungs]))).alias("group"), *measures)
+    enough = (F.col("n") >= least) | (F.col("group") == _key("all"))
+    middle = members.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m_{x}") for x in measures]).where(enough).drop("n")
+    middle = materialize(middle, "fertility-middle")  # a row for each language, script and size
+    deviations = members.join(F.broadcast(middle), "group").groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"d_{x}") for x in measures])
+    return materialize(middle.join(deviations, "group"), "fertility-bands")
+
+
+def _with_bands(docs: DataFrame, bands: DataFrame, rungs: list[tuple[Column, Column]], measures: list[str]) -> DataFrame:
+    """The documents with the band of the narrowest of their groups that sets one."""
+    names = [f"{a}_{x}" for x in measures for a in "md"]
+    found = docs
+    for i, (key, _) in enumerate(rungs):
+        rung = bands.select(F.col("group").alias(f"_g{i}"), F.struct(*names).alias(f"_b{i}"))
+        found = found.withColumn(f"_k{i}", key).join(F.broadcast(rung), F.col(f"_k{i}") == F.col(f"_g{i}"), "left").drop(f"_k{i}", f"_g{i}")
+    band = F.coalesce(*[F.col(f"_b{i}") for i in range(len(rungs))])
+    return found.select(*docs.columns, *[band[n].alias(n) for n in names])
 
 
 def judge(docs: DataFrame, fallback_path: str | None = None, level_path: str | None = None, width: float = BAND_WIDTH, floor: float = BAND_FLOOR, least: int = GROUP_LEAST) -> DataFrame:
@@ -140,7 +173,9 @@ def judge(docs: DataFrame, fallback_path: str | None = None, level_path: str | N
     measured = materialize(source.mapInArrow(_measure(paths), METRICS).withColumn("base_failed", failed).withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1))))), "fertility")
     passed = measured.where("NOT base_failed")
     plain, sized = ["chars_per_token", "chars_per_level_token", "fallback_share"], ["token_entropy"]
-    judged = measured.join(_bands(passed, ["band"], plain, least), "band", "left").join(_bands(passed, ["band", "size"], sized, least), ["band", "size"], "left")
+    plain_rungs, sized_rungs = _rungs()
+    judged = _with_bands(measured, _bands(passed, plain_rungs, plain, least), plain_rungs, plain)
+    judged = _with_bands(judged, _bands(passed, sized_rungs, sized, least), sized_rungs, sized)
 
     def slack(x: str):
         return F.greatest(F.lit(width * 1.4826) * F.col(f"d_{x}"), F.lit(floor) * F.abs(F.col(f"m_{x}")))
