@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is named only where the session names none (tests)."""
+    """The folder all executors share. In local mode, where one machine is all there is, a temporary one is named if the session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sonoframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,14 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later plans start from files that outlive any executor.
 
-    The files go when the driver's JVM ends.
+    The files go with `release`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` wrote, once their last reader is done."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -226,16 +239,17 @@ def segments(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
 # --- connected components ----------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b: long): rows (node, root), root being the least node of the component.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). A hub's neighbours are joined with the hub's
     minimum, which is pre-aggregated, so no list of neighbours is ever built. Each round is written to the shared
-    folder; the number of rounds grows with the logarithm of the number of nodes. Nodes without a link aren't returned.
+    folder, and the one before is deleted; the number of rounds grows with the logarithm of the number of nodes. Nodes
+    without a link aren't returned.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
@@ -245,36 +259,39 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         small = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         seen = Observation()  # what tells a round from the one before comes with its write
         new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        old, edges = edges, materialize(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        release(old)
         now = seen.get
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    found = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+    release(edges)
+    return found
 
 
 # --- Bloom filters ------------------------------------------------------------------------------------------------
 
-#: Bits of a filter: 8 MB to broadcast, whatever the number of keys. More keys only make it let more through.
-BLOOM_BITS = 1 << 26
+#: Bits for each key, and the most bits of a filter: 16 MB to broadcast. More keys than 1e7 only make it let more through.
+BLOOM_KEY_BITS, BLOOM_MOST_BITS = 12, 1 << 27
 
 
 class Bloom:
     """A Bloom filter over pairs of longs (hashes). It is built by an aggregate of its words, of which there are few."""
 
     def __init__(self, keys: DataFrame, k1: str, k2: str):
-        mask = F.lit(BLOOM_BITS - 1)
+        n = max(1, keys.count())
+        self.bits = min(BLOOM_MOST_BITS, max(1 << 16, 1 << (BLOOM_KEY_BITS * n - 1).bit_length()))
+        mask = F.lit(self.bits - 1)
         places = F.array(F.col(k1).bitwiseAND(mask), F.shiftrightunsigned(F.col(k1), 32).bitwiseAND(mask), F.col(k2).bitwiseAND(mask))
         words = keys.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"))
-        self.words = np.zeros(BLOOM_BITS >> 6, np.uint64)
+        self.words = np.zeros(self.bits >> 6, np.uint64)
         found = words.toArrow()
         self.words[np.asarray(found.column("w"), np.int64)] = np.asarray(found.column("bits"), np.int64).view(np.uint64)
 
     def hits(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-        k1, k2, mask = k1.view(np.uint64), k2.view(np.uint64), np.uint64(BLOOM_BITS - 1)
+        k1, k2, mask = k1.view(np.uint64), k2.view(np.uint64), np.uint64(self.bits - 1)
         out = np.ones(len(k1), bool)
         for p in (k1 & mask, (k1 >> np.uint64(32)) & mask, k2 & mask):
             out &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1

@@ -126,6 +126,63 @@ def test_near_duplicates_against_all_pairs(documents, texts):
     assert sum(r.kept for r in found.values()) == len({r.class_id for r in found.values()})
 
 
+def linked(rows, vectors, threshold=0.8):
+    """Components of all pairs of rows whose weighted Jaccard similarity reaches the threshold; equal texts are one."""
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = []
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][1] == rows[j][1] or neardup.weighted_jaccard(vectors[i], vectors[j]) >= threshold:
+                parent[find(i)] = find(j)
+                pairs.append((i, j))
+    return pairs, [find(i) for i in range(len(rows))]
+
+
+def test_recall_against_exact_weighted_jaccard(spark, documents):
+    """Links of all pairs against the classes: recall of 0.9 or more is required, and no class joins what no chain of links joins."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    rng = random.Random(3)
+    for k in range(12):  # groups whose members lie about the threshold
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for m in range(12):
+            x = base[:]
+            for _ in range(rng.randint(0, 6)):
+                x[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+            rows.append((10_000 + 100 * k + m, " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    common = neardup.common_runs(df)
+    import pyarrow as pa
+
+    runs, counts, first = neardup._runs(pa.array([t for _, t in rows], pa.string()))
+    weights = np.exp(neardup._log_weights(runs, counts, common).astype(float))
+    vectors = [(runs[a:b], weights[a:b]) for a, b in zip(first[:-1], first[1:])]
+    pairs, root = linked(rows, vectors)
+    found = {r.doc_id: r.class_id for r in neardup.mark(df).collect()}
+    of = [found[i] for i, _ in rows]
+    assert sum(of[i] == of[j] for i, j in pairs) >= 0.98 * len(pairs) > 200
+    inside = defaultdict(set)
+    for c, r in zip(of, root):
+        inside[c].add(r)
+    assert all(len(v) == 1 for v in inside.values())
+
+
+def test_ids_on_several_texts_keep_one_row(spark):
+    words = [f"w{k}" for k in range(100)]
+    t, u = " ".join(words), " ".join([*words, "x"])
+    df = spark.createDataFrame([(1, t, "a"), (1, u, "b"), (2, u, "c"), (1, t, "d"), (None, "other words stand here alone", "e")], "doc_id long, text string, row string")
+    assert [r.class_size for r in neardup.mark(df).where("class_id = 1").collect()] == [4] * 4
+    assert len({r.text for r in neardup.mark(df).where("kept").join(df, "doc_id").where("doc_id = 1").select("text").collect()}) <= 2
+    kept = neardup.deduplicate(df).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {1, None}
+    assert {r.row for r in kept} == {r.row for r in neardup.deduplicate(df.repartition(3)).collect()}
+
+
 def test_samples_collide_as_often_as_weights_are_alike():
     rng = np.random.default_rng(2)
     runs = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
