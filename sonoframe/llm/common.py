@@ -32,17 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table that make a partition.
+NARROW_ROWS = 1 << 14
+
+
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later plans start from files that outlive any executor.
 
-    The files go with `release`, or when the driver's JVM ends.
+    The files go with `release`, or when the driver's JVM ends. A narrow table (a few numbers a row) is read in as many
+    partitions as its rows make, so that rounds over few rows are not spread over all shuffle partitions.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    (df.observe(seen, F.count(F.lit(1)).alias("n")) if narrow else df).write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     found = spark.read.schema(df.schema).parquet(path)
+    if narrow:
+        rows = seen.get["n"]
+        found = found.coalesce(max(1, -(-rows // NARROW_ROWS)))
+        found._rows = rows
     found._stored_at = path
     return found
 
@@ -247,7 +257,7 @@ def components(links: DataFrame) -> DataFrame:
     folder, and the one before is deleted; the number of rounds grows with the logarithm of the number of nodes. Nodes
     without a link aren't returned.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", narrow=True)
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -259,14 +269,14 @@ def components(links: DataFrame) -> DataFrame:
         small = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         seen = Observation()  # what tells a round from the one before comes with its write
         new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        old, edges = edges, materialize(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        old, edges = edges, materialize(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges", narrow=True)
         release(old)
         now = seen.get
         if now == before:
             break
         before = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    found = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+    found = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components", narrow=True)
     release(edges)
     return found
 
@@ -280,8 +290,8 @@ BLOOM_KEY_BITS, BLOOM_MOST_BITS = 12, 1 << 27
 class Bloom:
     """A Bloom filter over pairs of longs (hashes). It is built by an aggregate of its words, of which there are few."""
 
-    def __init__(self, keys: DataFrame, k1: str, k2: str):
-        n = max(1, keys.count())
+    def __init__(self, keys: DataFrame, k1: str, k2: str, rows: int | None = None):
+        n = max(1, keys.count() if rows is None else rows)
         self.bits = min(BLOOM_MOST_BITS, max(1 << 16, 1 << (BLOOM_KEY_BITS * n - 1).bit_length()))
         mask = F.lit(self.bits - 1)
         places = F.array(F.col(k1).bitwiseAND(mask), F.shiftrightunsigned(F.col(k1), 32).bitwiseAND(mask), F.col(k2).bitwiseAND(mask))

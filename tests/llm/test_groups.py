@@ -27,6 +27,7 @@ def distance(a, b):
 
 def test_edit_distance_and_keys():
     rng = random.Random(1)
+    many = defaultdict(list)
     for _ in range(20_000):
         limit, a = rng.randint(0, 3), [rng.choice("abc") for _ in range(rng.randint(1, 14))]
         b = a[:]
@@ -36,12 +37,16 @@ def test_edit_distance_and_keys():
         a, b = "".join(a), "".join(b)
         d = distance(a, b)
         assert lines.within(a, b, limit) == (d <= limit)
+        many[limit].append((a, b, d <= limit))
         if 0 < d <= limit < min(len(a), len(b)):
             (i1, p1), (i2, p2) = lines.keys_of(a, limit), lines.keys_of(b, limit)
             assert (i1 | p1) & i2 or (i2 | p2) & i1
+    for limit, found in many.items():
+        both = [x for a, b, _ in found for x in (a, b)]
+        assert lines.within_many(both, [(2 * k, 2 * k + 1) for k in range(len(found))], limit).tolist() == [near for _, _, near in found]
 
 
-def expected_lines(docs, max_edits=1, least_chars=16, least_docs=3, most_lost=0.5):
+def expected_lines(docs, max_edits=None, least_chars=16, least_docs=3, long_words=20, copy=0.8):
     occurrences = defaultdict(list)
     for doc_id, text in docs.items():
         for k, line in enumerate(text.split("\n")):
@@ -57,21 +62,32 @@ def expected_lines(docs, max_edits=1, least_chars=16, least_docs=3, most_lost=0.
     long = [x for x in occurrences if len(x) >= least_chars]
     for i, a in enumerate(long):
         for b in long[:i]:
-            if abs(len(a) - len(b)) <= max_edits and lines.within(a, b, max_edits):
+            limit = lines.edits_of(min(len(a), len(b)), max_edits)
+            if abs(len(a) - len(b)) <= limit and lines.within(a, b, limit):
                 parent[find(a)] = find(b)
+    words = lambda i: len(docs[i].split())
+    first_of = {}
+    for i in sorted(docs):
+        first_of.setdefault(docs[i], i)
+    shared = Counter()
+    for x, o in occurrences.items():
+        source = min(i for i, _ in o)
+        for i in {i for i, _ in o} - {source}:
+            shared[i, source] += max(0, len(x.split()) - 4)
+    most = lambda i: max(1, words(i) - 4)
+    copies = {i for (i, j), n in shared.items() if n >= copy * (most(i) + most(j) - n)} | {i for i in docs if docs[i].strip() and first_of[docs[i]] != i}
     classes = defaultdict(list)
     for x, o in occurrences.items():
-        classes[find(x)] += o
-    again, elsewhere, own = defaultdict(set), defaultdict(set), Counter()
+        classes[find(x)] += [(i, k, len(x.split())) for i, k in o]
+    again, elsewhere = defaultdict(set), defaultdict(set)
     for o in classes.values():
-        ids = sorted({i for i, _ in o})
+        ids = sorted({i for i, _, _ in o})
         for i in ids:
-            ks = sorted(k for j, k in o if j == i)
-            own[i] += 1
+            ks = sorted(k for j, k, _ in o if j == i)
             again[i] |= set(ks[1:])
-            if len(ids) >= least_docs and i != ids[0]:
+            if len(ids) >= (2 if max(n for j, _, n in o if j == i) >= long_words else least_docs) and i != ids[0]:
                 elsewhere[i].add(ks[0])
-    gone = {i: again[i] | (elsewhere[i] if len(elsewhere[i]) <= most_lost * own[i] else set()) for i in docs}
+    gone = {i: again[i] | (set() if i in copies else elsewhere[i]) for i in docs}
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs.items()}
 
 
@@ -94,6 +110,59 @@ def test_lines_against_brute_force(spark, max_edits):
     assert got == expected_lines(docs, max_edits)
 
 
+def brute_components(found, max_edits):
+    group = lines.Group(found, max_edits)
+    for i in range(len(found)):
+        for j in range(i):
+            if abs(len(found[i]) - len(found[j])) <= group.edits:
+                group.compare(i, j)
+    return {frozenset(k for k in range(len(found)) if group.root(k) == r) for r in map(group.root, range(len(found)))}
+
+
+def settled(found, max_edits):
+    group = lines.Group(found, max_edits)
+    group.settle(list(range(len(found))), found)
+    return {frozenset(k for k in range(len(found)) if group.root(k) == r) for r in map(group.root, range(len(found)))}, len(group.failed)
+
+
+def test_groups_that_share_a_segment_split_exactly():
+    rng = random.Random(6)
+    for trial in range(30):
+        digits = rng.choice((4, 7, 10))
+        tail = lambda: "".join(rng.choice("0123456789"[: rng.choice((2, 10))]) for _ in range(digits))
+        kind = trial % 3
+        found = list({("the same head of a template line " + tail() if kind == 0 else tail() + " then the middle " + tail() + " and the end of it" if kind == 1 else tail()) for _ in range(120)})
+        for edits in (1, 3, None):
+            assert settled(found, edits)[0] == brute_components(found, edits)
+
+
+def test_ten_thousand_lines_that_share_a_segment(spark):
+    import time
+
+    rng = random.Random(8)
+    heads = "a template of thirty-two letters: "
+    found = [f"{heads}{rng.randrange(10**12):012d}" for _ in range(10_000)]
+    found += [x[:-1] + "x" for x in found[:20]]
+    began = time.time()
+    components, tried = settled(found, None)
+    assert time.time() - began < 60 and tried < 40 * len(found)
+    where = {k: c for c in components for k in c}
+    assert all(10_000 + k in where[k] for k in range(20))
+    small = found[:300] + found[10_000:]
+    rows = spark.createDataFrame([(k, k, x, None) for k, x in enumerate(small)], "g long, node long, content string, rest string").withColumn("g", __import__("pyspark").sql.functions.lit(5))
+    links = lines._group_links(rows, None, 50).collect()  # a large group: split by shuffles
+    parent = list(range(len(small)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in links:
+        parent[root(r.a)] = root(r.b)
+    assert {frozenset(k for k in range(len(small)) if root(k) == r) for r in map(root, range(len(small)))} == brute_components(small, None)
+
+
 def test_lines_query_and_edges(spark, sf_dir, edge, empty, texts):
     want = {i: zlib.crc32(t.encode()) for i, t in expected_lines(texts).items()}
     assert {r.doc_id: r.kept_crc32 for r in lines.op4_segment_join(spark, sf_dir).collect()} == want
