@@ -95,7 +95,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in texts as tokens of their own
         (self.mark,) = self._ids(_MARK.decode())
         self.engine = _merge_engine(path)
         self.cache = ChunkCache(self.compute)
@@ -107,7 +107,7 @@ class WordIds:
         if self.engine is None:
             return self._by_library(chunks)
         texts = [c.decode() for c in chunks]
-        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t)]
+        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t) and not any(a in t.lower() for a in self.added)]
         words = [_WORDS.findall(texts[k].lower()) for k in plain]
         engine, lookup, ends = self.engine
         out: list[bytes] = [b""] * len(chunks)

@@ -331,16 +331,14 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_ids_are_the_tokenizers(tokenizer, texts):
     import public_tokenizers
 
     ids = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
-    some = [*list(texts.values())[:60], "", " ", "a b  c's \x01 x", "I'M don't 123 ÀÉ é ́x", "Σ ΑΣ.  x\x1cy\x85z", "x" * 100 + " <|endoftext|> !!", "a\x01b c", "日本 ǅ ŉ"]
+    some = [*list(texts.values())[:60], "", " ", "a b  c's \x01 x", "I'M don't 123 ÀÉ é ́x", "Σ ΑΣ.  x\x1cy\x85z", "x" * 100 + " <|endoftext|> !!", "a\x01b c", "日本 ǅ ŉ", "hello <|endoftext|> world", "a<|endoftext|>b<|startoftext|> c", "<|ENDOFTEXT|> é<|endoftext|>", "<|endoftext|", "<|endoftext|><|endoftext|> \x01"]
     for text, got in zip(some, ids.of([t.encode() for t in some])):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     words = list({w for t in texts.values() for w in t.encode().split()})
