@@ -6,7 +6,10 @@ hold alike blocks together. The minimum cut, found by maximum flow, is the cheap
 source's side are the main text.
 
 Costs are a fixed linear rule over tag, class and role names on the block's path, length, punctuation and link density
-(no labels of blocks exist to train on). Scripts, styles, comments, markup and form fields give no blocks.
+(no labels of blocks exist to train on). What a container's name adds fades as its share of the page's text grows: a
+wrapper of nearly the whole page says nothing about its blocks. A hyphenated class is one name with a part in it, and fades
+sooner; one that begins like "has-" or "no-" says what stands beside it and adds nothing. Scripts, styles, comments, markup and
+form fields give no blocks; they end at their own end tag, whatever stands inside.
 
 Defined cases: a null or empty page, or one without content, gives an empty text of 0 characters; unclosed and stray tags
 are closed as browsers do; repeated pages are worked out alike; an empty table gives no rows; other columns are left out.
@@ -56,6 +59,14 @@ _BOILER_START = re.compile(r"^(?:©|\(c\)|copyright\b|all rights reserved|cookie
 NEAR, SIBLING = 0.6, 0.8
 
 
+#: What a boilerplate name adds, and the shares of the page's text between which that fades to nothing, by kind of name:
+#: reader comments may well be longer than the article.
+MARK = 9.0
+FADES = {"comments": (0.9, 0.98), "name": (0.6, 0.9), "part": (0.4, 0.7)}
+_COMMENTS = {"comment", "comments", "disqus", "replies", "reply"}
+_BESIDE = {"has", "no", "with", "without", "is", "not", "hide", "show"}
+
+
 @dataclass
 class Block:
     text: str
@@ -63,6 +74,7 @@ class Block:
     parent: int
     content: float
     boiler: float
+    marks: tuple = ()
 
 
 @dataclass
@@ -70,22 +82,38 @@ class _Element:
     tag: str
     key: int
     article: bool
-    boiler: float
+    marks: tuple  # (element, kind) of the boilerplate names on the path
     content: float
     hidden: bool
     parts: list = field(default_factory=list)
 
 
+def _named(value: str) -> tuple[str | None, bool]:
+    """The kind of boilerplate name in a class, id or role, and whether it names content."""
+    kind, content = None, False
+    for token in value.split():
+        words = _WORD.findall(token)
+        if not words or words[0] in _BESIDE and len(words) > 1:
+            continue
+        found = _BOILER_NAMES.intersection(words)
+        if found:
+            this = "comments" if found & _COMMENTS else "name" if len(words) == 1 else "part"
+            kind = min(filter(None, (kind, this)), key=list(FADES).index)
+        elif _CONTENT_NAMES.intersection(words):
+            content = True
+    return kind, content
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in page order, with their terminal costs."""
     out: list[Block] = []
-    root = _Element("", 0, False, 0.0, 0.0, False)
+    root = _Element("", 0, False, (), 0.0, False)
     stack = [root]
     text: list[str] = []
     linked = [0]
     links = 0
     key = 0
-    raw_until = None
+    endless: set[str] = set()
 
     def flush() -> None:
         if text:
@@ -99,23 +127,24 @@ def blocks(page: str) -> list[Block]:
         nonlocal key
         top = stack[-1]
         key += 1
-        boiler, content, hidden, article = top.boiler, top.content, top.hidden, top.article
+        marks, content, hidden, article = top.marks, top.content, top.hidden, top.article
+        kind = None
         if tag in ("article", "main"):
             article, content = True, max(content, 3.0)
         if tag in _BOILER_TAGS or tag == "header" and not article:
-            boiler = max(boiler, 9.0)
+            kind = "name"
         if " " in token:
             for name, a, b, c in _ATTRIBUTE.findall(token):
                 name, value = name.lower(), (a or b or c).lower()
                 if name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     hidden = True
                 elif name in ("class", "id", "role", "itemprop") and tag not in ("html", "body"):
-                    words = set(_WORD.findall(value))
-                    if words & _BOILER_NAMES and not (article and tag in ("header", "h1", "h2") and words & _BOILER_NAMES <= {"header"}):
-                        boiler = max(boiler, 9.0)
-                    elif words & _CONTENT_NAMES:
+                    this, told = _named(value)
+                    if this and not (article and tag in ("header", "h1", "h2") and not (set(_WORD.findall(value)) & _BOILER_NAMES) - {"header"}):
+                        kind = min(filter(None, (kind, this)), key=list(FADES).index)
+                    elif told:
                         content = max(content, 2.0)
-        stack.append(_Element(tag, key, article, boiler, content, hidden))
+        stack.append(_Element(tag, key, article, (*marks, (key, kind)) if kind else marks, content, hidden))
 
     def close(tags: set, bounds: set) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -125,12 +154,11 @@ def blocks(page: str) -> list[Block]:
                 del stack[k:]
                 return
 
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         token = m.group()
-        if raw_until:
-            if token.startswith("</") and (n := _NAME.match(token)) and n[1].lower() == raw_until:
-                raw_until = None
-            continue
         if token[0] != "<" or len(token) == 1:
             text.append(html.unescape(token) if "&" in token else token)
             if links:
@@ -152,8 +180,14 @@ def blocks(page: str) -> list[Block]:
                 text.append(" ")
             continue
         if tag in _RAW:
-            if not token.endswith("/>"):
-                raw_until = _raw_end(page, m.end(), tag)
+            if not (token.endswith("/>") or tag in endless):
+                end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:  # an element that never ends is taken as empty
+                    endless.add(tag)
             if tag not in ("svg", "math"):
                 text.append(" ")
         elif tag == "br" or tag == "img" or tag == "wbr":
@@ -168,19 +202,30 @@ def blocks(page: str) -> list[Block]:
             if tag not in _VOID:
                 open_element(tag, token)
     flush()
-    return out
+    return _weighed(out)
 
 
-def _raw_end(page: str, at: int, tag: str) -> str | None:
-    """The tag whose end is waited for; an element that never ends is taken as empty, but scripts and styles run to the end."""
-    return tag if tag in ("script", "style") or re.compile(f"</{tag}", re.I).search(page, at) else None
+def _weighed(found: list[Block]) -> list[Block]:
+    """Adds what names on the path make of boilerplate, by the share of the page's text below them."""
+    below: dict[int, int] = {}
+    for block in found:
+        for key, _ in block.marks:
+            below[key] = below.get(key, 0) + len(block.text)
+    total = sum(len(block.text) for block in found)
+    for block in found:
+        cost = 0.0
+        for key, kind in block.marks:
+            low, high = FADES[kind]
+            cost = max(cost, MARK * min(1.0, max(0.0, (high - below[key] / total) / (high - low))))
+        block.boiler += cost
+    return found
 
 
 def _costs(text: str, linked: int, stack: list[_Element]) -> Block:
     top = stack[-1]
     words = text.count(" ") + 1
     content = top.content + min(3.0, words / 12)
-    boiler = top.boiler + 4.0 * linked / len(text) + (20.0 if top.hidden else 0.0) + 0.5
+    boiler = 4.0 * linked / len(text) + (20.0 if top.hidden else 0.0) + 0.5
     if top.tag == "p" or top.tag in ("blockquote", "pre"):
         content += 1.0
     elif top.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -190,52 +235,82 @@ def _costs(text: str, linked: int, stack: list[_Element]) -> Block:
     if _BOILER_START.match(text) and words < 40:
         boiler += 2.5
     parent = stack[-2].key if top.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "th", "dt", "dd") and len(stack) > 1 else top.key
-    return Block(text, linked, parent, content, boiler)
+    return Block(text, linked, parent, content, boiler, top.marks)
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """For each node whether it is on the source's side of a minimum cut, by augmenting shortest paths.
+    """For each node whether it is on the source's side of a minimum cut, by blocking flows over levels (Dinic).
 
     Flow from source straight through a node to the sink is taken off first; what is left joins nodes of unlike labels.
-    A node that no left-over capacity reaches counts as the sink's.
+    Levels are distances to the nodes that still need flow; each round sends all the flow that shortest paths carry, and
+    skips what it has found blocked. A node from which no needing node can be reached counts as the source's only if some
+    excess reaches it; all others are the sink's.
     """
     n = len(source)
     excess = [max(0.0, a - b) for a, b in zip(source, sink)]
     need = [max(0.0, b - a) for a, b in zip(source, sink)]
-    capacity: list[dict[int, float]] = [{} for _ in range(n)]
+    links: dict[tuple[int, int], float] = {}
     for a, b, c in edges:
-        if a != b:
-            capacity[a][b] = capacity[a].get(b, 0.0) + c
-            capacity[b][a] = capacity[b].get(a, 0.0) + c
+        if a != b and c > 0:
+            pair = (a, b) if a < b else (b, a)
+            links[pair] = links.get(pair, 0.0) + c
+    to, left, around = [], [], [[] for _ in range(n)]
+    for (a, b), c in links.items():  # arc k and its reverse, k ^ 1
+        around[a].append(len(to))
+        around[b].append(len(to) + 1)
+        to += [b, a]
+        left += [c, c]
     tiny = 1e-9
     while True:
-        came = {k: -1 for k in range(n) if excess[k] > tiny}
-        queue = list(came)
-        end = -1
+        level = [-1] * n
+        queue = [k for k in range(n) if need[k] > tiny]
         for k in queue:
-            for j, c in capacity[k].items():
-                if c > tiny and j not in came:
-                    came[j] = k
-                    if need[j] > tiny:
-                        end = j
-                        break
+            level[k] = 0
+        for k in queue:
+            for arc in around[k]:
+                j = to[arc]
+                if level[j] < 0 and left[arc ^ 1] > tiny:
+                    level[j] = level[k] + 1
                     queue.append(j)
-            if end >= 0:
-                break
-        if end < 0:
-            return [k in came for k in range(n)]
-        flow, k = need[end], end
-        while came[k] >= 0:
-            flow = min(flow, capacity[came[k]][k])
-            k = came[k]
-        flow = min(flow, excess[k])
-        excess[k] -= flow
-        need[end] -= flow
-        k = end
-        while came[k] >= 0:
-            capacity[came[k]][k] -= flow
-            capacity[k][came[k]] = capacity[k].get(came[k], 0.0) + flow
-            k = came[k]
+        starts = [k for k in range(n) if excess[k] > tiny and level[k] >= 0]
+        if not starts:
+            break
+        following = [0] * n
+        for start in starts:
+            path: list[int] = []
+            k = start
+            while excess[start] > tiny:
+                if need[k] > tiny:
+                    flow = min([excess[start], need[k], *[left[arc] for arc in path]])
+                    excess[start] -= flow
+                    need[k] -= flow
+                    for arc in path:
+                        left[arc] -= flow
+                        left[arc ^ 1] += flow
+                    path, k = [], start
+                    continue
+                arcs = around[k]
+                while following[k] < len(arcs):
+                    arc = arcs[following[k]]
+                    if left[arc] > tiny and level[to[arc]] == level[k] - 1:
+                        break
+                    following[k] += 1
+                if following[k] < len(arcs):
+                    path.append(arc)
+                    k = to[arc]
+                elif path:
+                    k = to[path.pop() ^ 1]
+                    following[k] += 1
+                else:
+                    break
+    kept = [x > tiny for x in excess]
+    queue = [k for k in range(n) if kept[k]]
+    for k in queue:
+        for arc in around[k]:
+            if left[arc] > tiny and not kept[to[arc]]:
+                kept[to[arc]] = True
+                queue.append(to[arc])
+    return kept
 
 
 def main_text(page: str | None, near: float = NEAR, sibling: float = SIBLING) -> str:

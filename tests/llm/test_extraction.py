@@ -43,6 +43,43 @@ def test_minimum_cut_against_all_labellings():
         assert abs(cost(extraction.minimum_cut(source, sink, edges)) - min(map(cost, itertools.product((False, True), repeat=n)))) < 1e-6
 
 
+ARTICLE = "<article><h1>A headline of some length</h1>" + "".join(f"<p>Paragraph {k} says something in plain words, and then says some more of it, until it ends.</p>" for k in range(4)) + "</article>"
+
+
+def test_scripts_may_hold_anything():
+    want = extraction.main_text(f"<body>{ARTICLE}</body>")
+    assert want.count("\n\n") == 4
+    for raw in ("<script>for(var i=0;i<n;i++){}</script>", "<script>if(a<b)x('it')</script>", "<script>s = '<!--'; t = \"<p>\"</script >", "<style>a>b{content:'<'}</style>", "<svg><path d='a<b'/></svg>", "<SCRIPT>i<n;</SCRIPT>"):
+        assert extraction.main_text(f"<body>{raw}{ARTICLE}</body>") == want, raw
+
+
+def test_names_of_containers_are_weighed():
+    want = extraction.main_text(f"<body>{ARTICLE}</body>")
+    side = "<div class='sidebar'><p>Other stories of the week stand here.</p></div>"
+    for head, tail in (("<div class='layout has-sidebar'>", "</div>"), ("<div class='post tags-music'>", "</div>"), ("<div id='search-result'>", "</div>"), ("<form action='/'>", "</form>"), ("<div class='header'>", "</div>")):
+        assert extraction.main_text(f"<body>{head}{ARTICLE}{tail}{side}</body>") == want, head
+    comments = "<div class='comments'>" + "<p>I liked this article a lot, and I will say so at length in this comment.</p>" * 8 + "</div>"
+    assert extraction.main_text(f"<body>{ARTICLE}{comments}</body>") == want
+
+
+def test_a_very_long_page():
+    import time
+
+    page = "<body>" + "".join(f"<p>Block {k} of the page has some words, {'as a long story would. ' * (k % 5)}</p><div class='{'ad' if k % 3 else 'body'}'>x {k}</div>" for k in range(10_000)) + "</body>"
+    found = extraction.blocks(page)
+    began = time.time()
+    edges = [(k, k + 1, 0.6) for k in range(len(found) - 1)] + [(k, k + 2, 0.8) for k in range(len(found) - 2)]
+    extraction.minimum_cut([b.content for b in found], [b.boiler for b in found], edges)
+    assert len(found) == 20_000 and time.time() - began < 2
+    assert extraction.main_text(page).startswith("Block 0 of the page")
+
+
+def test_columns_of_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "u", f"<body>{ARTICLE}</body>", 7, "own", 3)], "page_id long, url string, html string, n_chars int, text string, block int")
+    (r,) = extraction.extract(rows).collect()
+    assert r.text.startswith("A headline") and r.n_chars == len(r.text)
+
+
 def test_query(spark, sf_dir):
     rows = extraction.op3_minimum_cut(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) > 0 for r in rows)
