@@ -144,14 +144,22 @@ def _rungs() -> tuple[list[tuple[Column, Column]], list[tuple[Column, Column]]]:
     return plain, [*sized, (_key("all"), F.array(_key("all")))]
 
 
+#: Rows of a table of bands that may be broadcast; a larger one (as many languages as that) is joined by its key.
+MOST_BANDS = 50_000
+
+
+def _small(bands: DataFrame) -> DataFrame:
+    return F.broadcast(bands) if bands._rows <= MOST_BANDS else bands
+
+
 def _bands(passed: DataFrame, rungs: list[tuple[Column, Column]], measures: list[str], least: int) -> DataFrame:
     """For each group of the rungs that may set a band: the median m_x and the median absolute deviation d_x of each measure."""
     members = passed.select(F.explode(F.flatten(F.array(*[keys for _, keys in rungs]))).alias("group"), *measures)
     enough = (F.col("n") >= least) | (F.col("group") == _key("all"))
     middle = members.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5).alias(f"m_{x}") for x in measures]).where(enough).drop("n")
-    middle = materialize(middle, "fertility-middle")  # a row for each language, script and size
-    deviations = members.join(F.broadcast(middle), "group").groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"d_{x}") for x in measures])
-    return materialize(middle.join(deviations, "group"), "fertility-bands")
+    middle = materialize(middle, "fertility-middle", narrow=True)  # a row for each language, script and size
+    deviations = members.join(_small(middle), "group").groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"d_{x}") for x in measures])
+    return materialize(middle.join(deviations, "group"), "fertility-bands", narrow=True)
 
 
 def _with_bands(docs: DataFrame, bands: DataFrame, rungs: list[tuple[Column, Column]], measures: list[str]) -> DataFrame:
@@ -160,7 +168,7 @@ def _with_bands(docs: DataFrame, bands: DataFrame, rungs: list[tuple[Column, Col
     found = docs
     for i, (key, _) in enumerate(rungs):
         rung = bands.select(F.col("group").alias(f"_g{i}"), F.struct(*names).alias(f"_b{i}"))
-        found = found.withColumn(f"_k{i}", key).join(F.broadcast(rung), F.col(f"_k{i}") == F.col(f"_g{i}"), "left").drop(f"_k{i}", f"_g{i}")
+        found = found.withColumn(f"_k{i}", key).join(F.broadcast(rung) if bands._rows <= MOST_BANDS else rung, F.col(f"_k{i}") == F.col(f"_g{i}"), "left").drop(f"_k{i}", f"_g{i}")
     band = F.coalesce(*[F.col(f"_b{i}") for i in range(len(rungs))])
     return found.select(*docs.columns, *[band[n].alias(n) for n in names])
 

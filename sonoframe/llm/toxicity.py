@@ -6,8 +6,8 @@ step over one reading of a clause; their composition is one table. A match weigh
 contexts it stands in; a document's score comes from its matched clauses through a logistic layer.
 
 The insult words and stems are learned from labelled documents, since they differ by corpus and language: a word or a
-word beginning that stands far more often in toxic documents than in clean ones gets its log-odds as weight. The weights
-of contexts and the logistic layer are learned from other labelled documents than the words. Rows held out (CRC-32 of the
+word beginning that stands far more often in toxic documents than in clean ones gets its log-odds as weight. Threats are
+a closed class, whose words get their log-odds too (1 if they do not occur, 0 at least). The weights of contexts and the logistic layer are learned from other labelled documents than the words. Rows held out (CRC-32 of the
 id as text, modulo 5, is 0) are never learned from. Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null or empty text matches nothing and scores as such texts do; without labelled rows of both kinds
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm.common import materialize, slices, table
 
-#: Bounds of what is learned from: labelled documents of each kind, and patterns kept.
-SAMPLE_ROWS, MAX_PATTERNS = 15_000, 4000
+#: Labelled documents of each kind that are learned from, at most about. Patterns are as many as the sample gives.
+SAMPLE_ROWS = 15_000
 #: A pattern must stand in so many toxic documents, and so many times more often than in clean ones.
 LEAST_SUPPORT, LEAST_RATIO = 5, 15.0
 STEM_LENGTHS = range(4, 9)
@@ -82,9 +82,14 @@ N_FEATURES = 2 * 8 + 3
 class Grammar:
     """The composed transducers over learned patterns (word or stem* -> weight)."""
 
-    def __init__(self, patterns: dict[str, float]):
+    def __init__(self, patterns: dict[str, float], threats: dict[str, float], contexts: bool = True):
+        """Without `contexts` targets, negations and reports are words like others."""
         import ahocorasick
 
+        self.threats = threats
+        closed = ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)) if contexts else ()
+        self.closed = {word: kind for kind, words in reversed(closed) for word in words}
+
         self.words = {p: w for p, w in patterns.items() if not p.endswith("*")}
         self.stems = {p[:-1]: w for p, w in patterns.items() if p.endswith("*")}
         self.longest = max(map(len, self.stems), default=0)
@@ -101,10 +106,9 @@ class Grammar:
         weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in range(self.shortest, min(self.longest, len(word)) + 1))])
         if weight > 0:
             return INSULT, weight
-        for kind, words in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)):
-            if word in words:
-                return kind, 1.0
-        return OTHER, 0.0
+        if word in THREATS:
+            return THREAT, self.threats.get(word, 1.0)
+        return self.closed.get(word, OTHER), 0.0
 
     def may_match(self, text: str) -> bool:
         return any(end - n < 0 or not text[end - n].isalpha() for end, n in self.finder.iter(text))
@@ -134,9 +138,8 @@ class Grammar:
                 kind, targeted, negated, reported = output[state][found[0]]
                 if kind:
                     counts[(kind - 1) * 8 + targeted * 4 + negated * 2 + reported] += 1
-                    weight = found[1] if kind == 1 else 0.0
-                    clause += weight
-                    total += weight
+                    clause += found[1]
+                    total += found[1]
                 state = following[state][found[0]]
             elif state:
                 state = following[state][OTHER]
@@ -180,20 +183,22 @@ def _fold(doc_id="doc_id"):
 
 
 class Model:
-    def __init__(self, patterns: dict[str, float], weights: np.ndarray | None):
-        self.patterns, self.weights = patterns, weights
+    def __init__(self, patterns: dict[str, float], weights: np.ndarray | None, threats: dict[str, float] | None = None, contexts: bool = True):
+        self.patterns, self.weights, self.threats, self.contexts = patterns, weights, threats or {}, contexts
         self.grammar: Grammar | None = None
 
     def __getstate__(self):
-        return {"patterns": self.patterns, "weights": self.weights, "grammar": None}
+        return {**self.__dict__, "grammar": None}
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        if self.grammar is None:
+            self.grammar = Grammar(self.patterns, self.threats, self.contexts)
+        return np.array([self.grammar.features(t) for t in texts]).reshape(len(texts), N_FEATURES)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
-        if self.grammar is None:
-            self.grammar = Grammar(self.patterns)
-        x = np.array([self.grammar.features(t) for t in texts]).reshape(len(texts), N_FEATURES)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +213,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([counts[1][w] for w in some], pa.int64()), pa.array([counts[0][w] for w in some], pa.int64())], ["word", "bad", "good"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_patterns: int = MAX_PATTERNS) -> Model:
-    """Learns from at most about `sample_rows` labelled documents of each kind, none of them held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, contexts: bool = True) -> Model:
+    """Learns from at most about `sample_rows` labelled documents of each kind, none of them held out. Without `contexts` only the words count."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", _fold()).where("fold != 0")
     sizes = dict(usable.groupBy("toxic").count().collect())
     if len(sizes) < 2:
@@ -226,21 +231,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     stems = words.select(F.explode(F.array(F.struct(F.col("word").alias("p")), *[F.struct(F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))).alias("p")) for n in STEM_LENGTHS])).alias("s"), "bad", "good")
     found = stems.select("s.p", "bad", "good").where("p IS NOT NULL").groupBy("p").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / F.lit(totals[1] + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(totals[0] + 1.0))
-    best = found.where(F.col("bad") >= LEAST_SUPPORT).withColumn("w", odds).where(F.col("w") >= math.log(LEAST_RATIO)).orderBy(F.desc(F.col("w") * F.sqrt("bad")), "p").limit(max_patterns)
-    patterns = {r.p: min(6.0, r.w) for r in best.select("p", "w").collect()}
-    reader = Model(patterns, None)
+    best = found.withColumn("w", odds).where(F.col("p").isin(sorted(THREATS)) | (F.col("bad") >= LEAST_SUPPORT) & (F.col("w") >= math.log(LEAST_RATIO)))
+    learned = {r.p: r.w for r in best.select("p", "w").collect()}  # words and stems of a bounded sample
+    threats = {p: min(6.0, max(0.0, w)) for p, w in learned.items() if p in THREATS}
+    patterns = {p: min(6.0, w) for p, w in learned.items() if p not in THREATS}
+    reader = Model(patterns, None, threats, contexts)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar_ = Grammar(reader.patterns)
         for part in slices(batches, "text"):
-            x = [grammar_.features(t).tolist() for t in part.column("text").to_pylist()]
+            x = reader.features(part.column("text").to_pylist()).tolist()
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
     held = tune.select("text", "toxic").mapInArrow(kernel, "toxic int, x array<double>").toArrow()
     y = np.asarray(held.column("toxic"), float)
     if len(set(y)) < 2:
-        return Model(patterns, None)
-    return Model(patterns, _fit_logistic(np.array(held.column("x").to_pylist()).reshape(-1, N_FEATURES), y))
+        return Model(patterns, None, threats, contexts)
+    return Model(patterns, _fit_logistic(np.array(held.column("x").to_pylist()).reshape(-1, N_FEATURES), y), threats, contexts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

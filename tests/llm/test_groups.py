@@ -414,6 +414,77 @@ def test_toxicity_held_out(spark):
     assert (good >= 0.5).mean() < 0.03
 
 
+def brute_score(model, text):
+    """The grammar read clause by clause, without transducers."""
+    import itertools
+
+    counts, clauses, words, total, heaviest = Counter(), 0, 0, 0.0, 0.0
+    tokens = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+", (text or "").lower())
+    for ends, clause in itertools.groupby(tokens, key=lambda w: w[0] in ".!?;:\n"):
+        if ends:
+            continue
+        clause, weight = list(clause), 0.0
+        kinds = []
+        for w in clause:
+            stems = [model.patterns.get(w[:n] + "*", 0.0) for n in range(1, len(w) + 1)]
+            heavy = max([model.patterns.get(w, 0.0), *stems])
+            kind = "i" if heavy > 0 else "t" if w in toxicity.THREATS else "n" if w in toxicity.NEGATIONS else "r" if w in toxicity.REPORTS else "y" if w in toxicity.TARGETS else ""
+            kinds.append((kind, heavy if kind == "i" else model.threats.get(w, 1.0) if kind == "t" else 0.0))
+        for k, (kind, w) in enumerate(kinds):
+            if kind in ("i", "t"):
+                before = [x for x, _ in kinds[:k]]
+                counts[kind == "t", "y" in before, "n" in before[max(0, k - 3) :], "r" in before] += 1
+                weight += w
+        words += len(clause)
+        total, heaviest, clauses = total + weight, max(heaviest, weight), clauses + (weight > 0)
+    x = np.zeros(19)
+    for (threat, targeted, negated, reported), n in counts.items():
+        x[8 * threat + 4 * targeted + 2 * negated + reported] = math.log1p(n)
+    x[16:] = heaviest, math.log1p(total), clauses / math.log(words + 2)
+    z = x @ model.weights[:-1] + model.weights[-1]
+    return 1 / (1 + math.exp(-max(-30, min(30, z)))), bool(counts)
+
+
+def toxic_corpus(spark, rows):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    docs = []
+    for k in range(rows):
+        toxic = k % 2
+        plain = [" ".join(word() for _ in range(8)) + "." for _ in range(4)]
+        insult = rng.choice(("zorgel", "zorgels", "quaxing"))
+        if toxic:
+            plain.insert(2, f"you {word()} {insult} {word()}.")
+            plain.insert(1, "you they will kill.")
+        elif k % 3 == 0:
+            plain.insert(2, f"{word()} not {insult} {word()}.")
+        elif k % 33 == 1:
+            plain.insert(2, f"{word()} said {word()} {insult}.")
+        docs.append((k, " ".join(plain), toxic))
+    return spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(k, 0, t) for k, _, t in docs], "doc_id long, quality int, toxic int"), docs
+
+
+def test_scores_against_brute_force_and_contexts_count(spark):
+    docs, labels, rows = toxic_corpus(spark, 900)
+    toxicity_ratio, toxicity.LEAST_RATIO = toxicity.LEAST_RATIO, 2.0  # the words stand in clean documents too
+    try:
+        model = toxicity.fit(docs, labels)
+        bare = toxicity.fit(docs, labels, contexts=False)
+    finally:
+        toxicity.LEAST_RATIO = toxicity_ratio
+    held = [(t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert model.threats["kill"] > 1 and any(p.startswith("zorg") for p in model.patterns)
+    got = model.score([t for t, _ in held])
+    for (t, _), p in zip(held, got):
+        want, matched = brute_score(model, t)
+        assert not matched or p == pytest.approx(want)
+    loss = lambda p: -np.mean([math.log(max(1e-9, q if y else 1 - q)) for q, (_, y) in zip(p, held)])
+    insults = [(t.replace("you they will kill. ", ""), y) for t, y in held if any(w in t for w in ("zorgel", "quaxing"))]
+    held = insults
+    with_, without = model.score([t for t, _ in insults]), bare.score([t for t, _ in insults])
+    assert loss(with_) < loss(without)
+
+
 def test_toxicity_edges(spark, edge, empty, documents):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(edge, labels)
