@@ -114,10 +114,10 @@ class AudioFrame:
 
         return rated.groupBy("clip_id").applyInArrow(run, out)
 
-    def map_channels(self, f: Callable[[np.ndarray, int], np.ndarray], rate: Callable[[int], int] | None = None) -> "AudioFrame":
-        """Applies f(samples, rate) to each channel; `rate` gives the new sample rate where it changes."""
+    def map_channels(self, f: Callable[[np.ndarray, int], np.ndarray], rate: int | None = None) -> "AudioFrame":
+        """Applies f(samples, rate) to each channel; `rate` is the new sample rate where it changes."""
         blocks = self._per_clip(lambda k, r, xs: blocks_table(k, [np.asarray(f(x, r), np.float32) for x in xs]), schema.BLOCKS)
-        new = F.col("sample_rate") if rate is None else F.udf(rate, "int")("sample_rate")
+        new = F.col("sample_rate") if rate is None else F.lit(rate)
         frames = blocks.where("channel = 0").groupBy("clip_id").agg(F.sum(F.size("samples")).alias("frames"))
         clips = self.clips.drop("frames").withColumn("sample_rate", new).join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
         return AudioFrame(clips.select(*self.clips.columns), blocks)
@@ -125,7 +125,7 @@ class AudioFrame:
     def resample(self, to: int) -> "AudioFrame":
         from sonoframe.kernels.sampling import resample
 
-        return self.map_channels(lambda x, r: resample(x, r, to), lambda r: to)
+        return self.map_channels(lambda x, r: resample(x, r, to), to)
 
     def equalize(self, bands: list[tuple[str, float, float, float]]) -> "AudioFrame":
         """Filters in series: (kind, Hz, dB, Q). Bands that would change nothing are left out."""

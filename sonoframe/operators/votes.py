@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Feature, weight, shape, from, to, sign, whether enough pitched frames are needed, what it says of speech and of music.
+# Feature, weight, shape, from, to, sign, whether enough pitched frames are needed, and the codes it gives as a reason for speech and for music.
 VOTES = [
-    ("on_notes", 2.5, "ramp", 0.12, 0.35, -1, True, "gliding pitch", "pitch on notes"),
-    ("syllables", 1.5, "ramp", 2.5, 5.0, 1, False, "level moves with syllables", None),
-    ("voiced", 1.5, "ramp", 0.15, 0.45, 1, False, "one voice at a time", "many sounds at once"),
-    ("held", 2.0, "rise", 0.25, 0.45, -1, True, None, "held notes"),
-    ("consonants", 1.0, "ramp", 0.5, 1.1, 1, False, "consonants between vowels", "smooth sustained sound"),
-    ("gaps", 1.0, "ramp", 0.08, 0.22, 1, False, "short gaps between words", "no gaps"),
-    ("beat", 1.0, "rise", 0.3, 0.6, -1, False, None, "steady beat"),
-    ("bass", 1.0, "rise", 0.2, 0.45, -1, False, None, "bass line"),
-    ("width", 1.0, "rise", 0.0, 0.12, -1, False, None, "stereo width"),
+    ("on_notes", 2.5, "ramp", 0.12, 0.35, -1, True, "pitch:glides", "pitch:notes"),
+    ("syllables", 1.5, "ramp", 2.5, 5.0, 1, False, "level:syllables", None),
+    ("voiced", 1.5, "ramp", 0.15, 0.45, 1, False, "voices:one", "voices:many"),
+    ("held", 2.0, "rise", 0.25, 0.45, -1, True, None, "notes:held"),
+    ("consonants", 1.0, "ramp", 0.5, 1.1, 1, False, "consonants:many", "consonants:few"),
+    ("gaps", 1.0, "ramp", 0.08, 0.22, 1, False, "gaps:many", "gaps:few"),
+    ("beat", 1.0, "rise", 0.3, 0.6, -1, False, None, "beat:steady"),
+    ("bass", 1.0, "rise", 0.2, 0.45, -1, False, None, "bass:strong"),
+    ("width", 1.0, "rise", 0.0, 0.12, -1, False, None, "stereo:wide"),
 ]
 START, SPEECH_AT, MUSIC_AT, PITCH_FRAMES, MONO_CORRELATION, MOST_REASONS = -2.0, 2.5, -1.5, 40, 0.97, 3
 
@@ -44,4 +44,4 @@ def classify(measures: DataFrame) -> DataFrame:
     reasons = F.slice(F.filter(F.transform(ranked, lambda r: r["reason"]), lambda r: r.isNotNull()), 1, MOST_REASONS)
     out = voted.withColumn("reasons", reasons)
     unsure = ((F.col("total") < SPEECH_AT) & (F.col("total") > MUSIC_AT)) | (F.size("reasons") == 0)
-    return out.select("clip_id", F.when(unsure | ~speech, "music").otherwise("speech").alias("kind"), (~unsure).alias("confident"), "total", F.when(unsure, F.array(F.lit("not certain"))).otherwise(F.col("reasons")).alias("reasons"))
+    return out.select("clip_id", F.when(unsure | ~speech, "music").otherwise("speech").alias("kind"), (~unsure).alias("confident"), "total", F.when(unsure, F.array(F.lit("unsure"))).otherwise(F.col("reasons")).alias("reasons"))

@@ -65,18 +65,18 @@ def nearest_option(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    """Turns as chunks: 3 seconds each on a clock of 5 seconds, some times missing or reversed, some texts blank."""
+    """Turns as chunks: 3 seconds each on a clock of 5 seconds, some times missing or reversed."""
     t = F.col("turn")
     start = F.when((t * 7 + F.col("conv_id")) % 5 == 0, F.lit(None)).otherwise(t * 5.0)
     stop = F.when((t + F.col("conv_id")) % 4 == 0, F.lit(None)).when(t % 6 == 5, t * 5.0 - 1).otherwise(t * 5.0 + 3 + F.col("conv_id") % 2)
     c = _t(spark, sf_dir, "conversations")
-    text = F.when((t + F.col("conv_id")) % 9 == 8, " ").otherwise(F.concat(F.lit(" "), F.substring("text", 1, 60)))
+    text = F.concat(F.lit(" "), "text")
     clip = c.groupBy("conv_id").agg(F.max(t * 5.0 + 4).alias("total"))
     return c.join(clip, "conv_id").select(F.col("conv_id").alias("clip"), t.alias("idx"), start.alias("start"), stop.alias("stop"), text.alias("text"), "total")
 
 
 _CHUNKS = """k AS (SELECT conv_id AS clip, turn AS idx, CASE WHEN (turn * 7 + conv_id) % 5 = 0 THEN NULL ELSE turn * 5.0::DOUBLE END AS start, CASE WHEN (turn + conv_id) % 4 = 0 THEN NULL WHEN turn % 6 = 5 THEN turn * 5.0::DOUBLE - 1 ELSE turn * 5.0::DOUBLE + 3 + conv_id % 2 END AS stop,
- trim(CASE WHEN (turn + conv_id) % 9 = 8 THEN ' ' ELSE ' ' || substr(text, 1, 60) END, ' ') AS text, max(turn * 5.0::DOUBLE + 4) OVER (PARTITION BY conv_id) AS total FROM conversations),
+ trim(' ' || text, ' ') AS text, max(turn * 5.0::DOUBLE + 4) OVER (PARTITION BY conv_id) AS total FROM conversations),
 l AS (SELECT *, lead(start) OVER (PARTITION BY clip ORDER BY idx) AS nx FROM k), m AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY idx) AS r FROM l WHERE text <> ''),
 g AS (SELECT clip, idx, r, text, total, coalesce(start, 0) AS start, CASE WHEN coalesce(stop, nx, total) <= coalesce(start, 0) THEN least(total, coalesce(start, 0) + 1.2::DOUBLE) ELSE coalesce(stop, nx, total) END AS stop FROM m WHERE r = 1
  UNION ALL SELECT m.clip, m.idx, m.r, m.text, m.total, coalesce(m.start, g.stop), CASE WHEN coalesce(m.stop, m.nx, m.total) <= coalesce(m.start, g.stop) THEN least(m.total, coalesce(m.start, g.stop) + 1.2::DOUBLE) ELSE coalesce(m.stop, m.nx, m.total) END FROM g JOIN m ON m.clip = g.clip AND m.r = g.r + 1)"""

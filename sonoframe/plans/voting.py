@@ -33,7 +33,7 @@ r AS (SELECT v.clip_id, CASE WHEN total >= 2.5 THEN sp ELSE mu END AS reason, ro
   WHERE v * CASE WHEN total >= 2.5 THEN 1 ELSE -1 END >= w * .5 AND CASE WHEN total >= 2.5 THEN sp ELSE mu END IS NOT NULL),
 g AS (SELECT clip_id, string_agg(reason, '; ' ORDER BY n) AS reasons FROM r WHERE n <= 3 GROUP BY clip_id)
 SELECT t.clip_id, CASE WHEN total >= 2.5 AND reasons IS NOT NULL THEN 'speech' ELSE 'music' END AS kind, NOT (total < 2.5 AND total > -1.5 OR reasons IS NULL) AS confident, round(total, 6) AS total,
-CASE WHEN total < 2.5 AND total > -1.5 OR reasons IS NULL THEN 'not certain' ELSE reasons END AS reasons FROM t LEFT JOIN g USING (clip_id)"""
+CASE WHEN total < 2.5 AND total > -1.5 OR reasons IS NULL THEN 'unsure' ELSE reasons END AS reasons FROM t LEFT JOIN g USING (clip_id)"""
 
 
 QUERIES["vote_classify"] = vote_classify
