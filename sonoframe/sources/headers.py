@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 from collections.abc import Iterator
 
@@ -20,7 +21,9 @@ _MP3_RATES = (44100, 48000, 32000)
 # Sample rates of AAC by index.
 _AAC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 #: Bytes of an MP3 in which two frames in a row must be found, boxes and bytes of an MP4's index that are looked at.
-MP3_SEARCH, MP4_BOXES = 8192, 32
+MP3_SEARCH, MP4_BOXES, MP4_INDEX = 8192, 32, 32 << 20
+#: Bytes that are read of a file before anything is known of it.
+PREFIX = 64 << 10
 
 
 def id3_end(data: bytes) -> int:
@@ -198,17 +201,56 @@ def inspect(data: bytes) -> dict:
 FILES = "path string, container string, codec string, rate int, channels int, seconds double, audio_bytes long"
 
 
+def inspect_stream(f) -> dict:
+    """The same for an open file, of which only what is needed is read: a prefix, what stands behind an ID3 tag, the index of an MP4 wherever it stands."""
+    prefix = f.read(PREFIX)
+    if prefix[:4] == b"RIFF":
+        f.seek(0)
+        wav = read_header(f)
+        if wav:
+            return dict(zip(("container", "codec", "rate", "channels", "seconds", "audio_bytes"), ("wav", f"pcm_{'f' if wav.floats else 's'}{wav.bits}", wav.rate, wav.channels, wav.frames / wav.rate, wav.frames * wav.channels * wav.bits // 8)))
+    start = id3_end(prefix)
+    if start + MP3_SEARCH > len(prefix) and start:
+        f.seek(start)
+        return inspect(f.read(PREFIX))
+    at, seen = 0, b""
+    f.seek(0, 2)
+    end = f.tell()
+    for _ in range(MP4_BOXES):
+        f.seek(at)
+        head = f.read(16)
+        if len(head) < 8:
+            break
+        size = struct.unpack(">I", head[:4])[0]
+        size = struct.unpack(">Q", head[8:16])[0] if size == 1 and len(head) == 16 else end - at if size == 0 else size
+        if size < 8 or not at and head[4:8] != b"ftyp":
+            break
+        if head[4:8] in (b"ftyp", b"moov") and size <= MP4_INDEX:
+            f.seek(at)
+            seen += f.read(size)
+        if head[4:8] == b"moov":
+            return inspect(seen)
+        at += size
+    return inspect(prefix)
+
+
 def inspect_files(files: DataFrame) -> DataFrame:
-    """Header facts for rows (path, content), such as spark.read.format("binaryFile") gives."""
+    """Header facts for rows (path, ...), such as spark.read.format("binaryFile") lists; the content column is not read. Paths may be of any store that pyarrow opens."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            rows = [inspect(c or b"") for c in batch.column("content").to_pylist()]
+            rows = []
+            for path in batch.column("path").to_pylist():
+                store, name = fs.FileSystem.from_uri(re.sub(r"^(?:file:)?/+", "file:///", path))
+                with store.open_input_file(name) as f:
+                    rows.append(inspect_stream(f))
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
             names = ("container", "codec", "rate", "channels", "seconds", "audio_bytes")
             yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)]], ["path", *names])
 
-    return files.select("path", "content").mapInArrow(kernel, FILES)
+    return files.select("path").mapInArrow(kernel, FILES)
 
 
 def kbps(seconds: float | None, audio_bytes: int | None) -> int | None:

@@ -107,13 +107,15 @@ def _name(path: str) -> str:
 
 @dataclass
 class _Range(InputPartition):
+    """Blocks that begin between two bytes of a file."""
+
     path: str
     start: int
-    frames: int
+    stop: int
 
-    def __init__(self, path: str, start: int, frames: int):
+    def __init__(self, path: str, start: int, stop: int):
         super().__init__(None)
-        self.path, self.start, self.frames = path, start, frames
+        self.path, self.start, self.stop = path, start, stop
 
 
 class WavSource(DataSource):
@@ -131,11 +133,15 @@ class WavSource(DataSource):
         return _Writer(self.options)
 
 
+#: Bytes of a frame for planning; the true width is in the header, which only tasks read.
+PLAN_WIDTH = 4
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.options = options
         self.clips = options.get("table") == "clip"
-        self.step = max(1, int(options.get("framespartition", options.get("framesPerPartition", 64 * schema.BLOCK))) // schema.BLOCK) * schema.BLOCK
+        self.step = max(1, int(options.get("framespartition", options.get("framesPerPartition", 64 * schema.BLOCK))) * PLAN_WIDTH)
 
     def partitions(self) -> list[_Range]:
         out = []
@@ -143,9 +149,8 @@ class _Reader(DataSourceReader):
             if self.clips:
                 out.append(_Range(path, 0, 0))
                 continue
-            with open(path, "rb") as f:
-                header = read_header(f)
-            out += [_Range(path, at, self.step) for at in range(0, max(1, header.frames), self.step)] if header else []
+            size = os.path.getsize(path)  # files are planned by size; only tasks open them
+            out += [_Range(path, at, at + self.step) for at in range(0, max(1, size), self.step)]
         return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
@@ -159,8 +164,12 @@ class _Reader(DataSourceReader):
                 else:
                     yield (_name(partition.path), partition.path, None, None, None, None, None, None, size)
                 return
+            if not header:
+                return
             width = header.channels * header.bits // 8
-            for start in range(partition.start, min(header.frames, partition.start + partition.frames), schema.BLOCK):
+            for start in range(0, header.frames, schema.BLOCK):
+                if not partition.start <= header.data_at + start * width < partition.stop:
+                    continue
                 f.seek(header.data_at + start * width)
                 x = decode(f.read(min(schema.BLOCK, header.frames - start) * width), header)
                 for c in range(header.channels):
