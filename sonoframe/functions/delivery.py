@@ -167,3 +167,10 @@ def size_change(before: Column, after: Column) -> Column:
     """'about the same' within 3 percent, else how much larger or smaller."""
     d = F.when(before > 0, round_half_up((after - before) / before * 100)).otherwise(0)
     return F.when(F.abs(d) < 3, "about the same").when(d > 0, F.concat(d.cast("string"), F.lit("% larger"))).otherwise(F.concat(F.abs(d).cast("string"), F.lit("% smaller")))
+
+
+def export_engine(fmt: Column, without_codec: Column) -> Column:
+    """What writes a format: sample frames, MP3 blocks, or a codec core; AAC falls back to the platform where the core is missing."""
+    tiers = F.create_map(*[x for name, (_, tier, _) in FORMATS.items() for x in (F.lit(name), F.lit(tier))])
+    tier = tiers[fmt]
+    return F.when(tier == 0, "frames").when(tier == 1, "blocks").when(without_codec & fmt.isin("m4a", "m4r", "aac"), "platform").otherwise("core")

@@ -163,3 +163,22 @@ def subtitle_time(seconds: Column, mark: str = ",") -> Column:
     """HH:MM:SS,mmm."""
     t = round_half_up(F.greatest(F.lit(0.0), seconds) * 1000)
     return F.concat(_two(F.floor(t / 3600000)), F.lit(":"), _two(F.floor(t % 3600000 / 60000)), F.lit(":"), _two(F.floor(t % 60000 / 1000)), F.lit(mark), _two(t % 1000, 3))
+
+
+# --- axes -----------------------------------------------------------------------------------------------------------------
+
+# Seconds between marks of a time axis.
+TIME_STEPS = (0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0, 1800.0, 3600.0)
+
+
+def nice_step(span: Column, marks: int) -> Column:
+    """1, 2 or 5 times a power of ten, so that a span has at most about `marks` steps."""
+    raw = span / marks
+    base = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    return F.when(raw <= base, base).when(raw <= 2 * base, 2 * base).when(raw <= 5 * base, 5 * base).otherwise(10 * base)
+
+
+def time_step(span: Column, marks: int) -> Column:
+    """The least usual step of a time axis with at most `marks` marks; else the longest."""
+    steps = F.array(*[F.lit(x) for x in TIME_STEPS])
+    return F.coalesce(F.array_min(F.filter(steps, lambda x: x >= span / marks)), F.lit(TIME_STEPS[-1]))

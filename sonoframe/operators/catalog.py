@@ -46,6 +46,11 @@ def machine_readable(entries: DataFrame, columns: Sequence[str], most_keywords:
     return some.select(F.to_json(F.struct(*columns)).alias("json"))
 
 
+def with_actions(entries: DataFrame, actions: DataFrame, key: str) -> DataFrame:
+    """Entries that are not secondary, each with what can be done with it, where anything can."""
+    return entries.where(~F.coalesce(F.col("secondary"), F.lit(False))).join(actions, key, "left")
+
+
 # --- parameters ------------------------------------------------------------------------------------------------------
 
 

@@ -57,7 +57,7 @@ def stereo_width(s: DataFrame, left: str, right: str, width: float) -> DataFrame
     """Widens (l, r) columns by scaling their difference; held to +-1."""
     mid, side = (F.col(left) + F.col(right)) / 2, (F.col(left) - F.col(right)) / 2 * F.lit(width)
     hold = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
-    return s.withColumn(left, hold(mid + side)).withColumn(right, hold(mid - side))
+    return s.withColumns({left: hold(mid + side), right: hold(mid - side)})
 
 
 #: Gains of speaker layouts folded to two channels, (layout, from, to, gain).
@@ -163,6 +163,13 @@ def concat_offsets(parts: DataFrame, group: str, order: str, length: str, overla
     return parts.withColumn("_shared", shared).select("*", (F.sum(F.col(length) - F.col("_shared")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length)).alias("start")).drop("_shared")
 
 
+def finest_covering(scans: DataFrame, columns: list[tuple[int, int]]) -> DataFrame:
+    """(key, at, scan): for each column (from, to) of a key the scan (key, scan, start, stop, step) with the least step that covers all of it; of equals the least."""
+    each = scans.withColumn("c", F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("at"), F.lit(b).cast("long").alias("to")) for a, b in columns])))
+    covering = each.where((F.col("start") <= F.col("c.at")) & (F.col("stop") >= F.col("c.to")))
+    return covering.groupBy("key", F.col("c.at").alias("at")).agg(F.min_by("scan", F.struct("step", "scan")).alias("scan"))
+
+
 # --- aggregates ------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sonoframe.plans import audio, catalogs, deliveries, readouts, signal, voting
+from sonoframe.plans import audio, catalogs, deliveries, labels, readouts, signal, voting
 
-_MODULES = [signal, deliveries, catalogs, voting, readouts, audio]
+_MODULES = [signal, deliveries, catalogs, voting, readouts, audio, labels]
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
