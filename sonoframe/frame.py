@@ -175,6 +175,79 @@ class AudioFrame:
 
         return self._map_clips(lambda xs, r: [change_speed(x, r, factor) for x in xs])
 
+    # --- edits --------------------------------------------------------------------------------------------------------------
+
+    def fade(self, first_s: float, last_s: float, curve: str = "linear") -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.fade(xs, round(first_s * r), round(last_s * r), curve))
+
+    def trim(self, threshold_db: float = -50.0) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.trim(xs, threshold_db, max(1, round(0.1 * r))))
+
+    def pad(self, lead_s: float, tail_s: float) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.pad(xs, round(lead_s * r), round(tail_s * r)))
+
+    def loop(self, times: int, gap_s: float = 0.0) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.loop(xs, times, round(gap_s * r)))
+
+    def cut_out(self, start_s: float, stop_s: float) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.cut_out(xs, r, start_s, stop_s))
+
+    def remove_silence(self, threshold_db: float = -45.0, least_s: float = 0.4, keep_s: float = 0.08) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.remove_silence(xs, r, threshold_db, least_s, keep_s))
+
+    def stereo_width(self, amount: float) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.width(xs, amount))
+
+    def set_channels(self, n: int) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        out = self._map_clips(lambda xs, r: edit.set_channels(xs, n))
+        return AudioFrame(out.clips.withColumn("channels", F.lit(n)), out.blocks)
+
+    def extract_channel(self, channel: int) -> "AudioFrame":
+        out = self._map_clips(lambda xs, r: [xs[min(max(0, channel), len(xs) - 1)]])
+        return AudioFrame(out.clips.withColumn("channels", F.lit(1)), out.blocks)
+
+    def swap_channels(self) -> "AudioFrame":
+        return AudioFrame(self.clips, self.blocks.withColumn("channel", F.when(F.col("channel") == 0, 1).when(F.col("channel") == 1, 0).otherwise(F.col("channel"))))
+
+    def concat(self, order: DataFrame, crossfade_s: float = 0.0) -> "AudioFrame":
+        """Joins clips under new names: order holds (joined, position, clip_id); the highest rate and the most channels hold for all of a join."""
+        from sonoframe.kernels import edit
+
+        rated = self.blocks.join(self.clips.select("clip_id", "sample_rate"), "clip_id").join(order.select("joined", "position", "clip_id"), "clip_id")
+
+        def run(table: pa.Table) -> pa.Table:
+            name = table.column("joined")[0].as_py()
+            places = np.asarray(table.column("position"))
+            parts = []
+            for place in np.unique(places):
+                part = table.filter(pa.array(places == place))
+                parts.append((part.column("sample_rate")[0].as_py(), [x.astype(np.float64) for x in channels_of(part)]))
+            rate, channels = edit.concat(parts, crossfade_s)
+            out = blocks_table(name, [np.asarray(x, np.float32) for x in channels])
+            return out.append_column("sample_rate", pa.array([rate] * out.num_rows, pa.int32()))
+
+        joined = rated.groupBy("joined").applyInArrow(run, schema.BLOCKS + ", sample_rate int")
+        facts = joined.groupBy("clip_id", "sample_rate").agg((F.max("channel") + 1).alias("channels"), F.sum(F.when(F.col("channel") == 0, F.size("samples"))).alias("frames"))
+        none = lambda kind: F.lit(None).cast(kind)
+        clips = facts.select("clip_id", none("string").alias("path"), none("string").alias("container"), F.lit("pcm_f32").alias("codec"), "sample_rate", "channels", "frames", (F.col("frames") / F.col("sample_rate")).alias("duration"), none("long").alias("source_bytes"))
+        return AudioFrame(clips, joined.drop("sample_rate"))
+
     def tempo(self) -> DataFrame:
         from sonoframe.kernels.rhythm import tempo
 

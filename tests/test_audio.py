@@ -88,3 +88,28 @@ def test_clip_queries(name, spark, sf_dir):
         assert all(-30 < r.integrated < -5 and r.true_peak >= r.peak - 1e-6 for r in rows)
     if name == "clip_tempo":
         assert all(abs(r.bpm / (80 + int(r.clip_id[1:]) % 90) - 1) < 0.02 for r in rows)
+
+
+def test_edits_on_frames(spark):
+    rate = 1000
+    tone = np.full(rate, 0.5, np.float32)
+    gap = np.concatenate([tone, np.zeros(rate, np.float32), tone])
+    f = AudioFrame.from_arrays(spark, {"a": (rate, [tone, tone / 2]), "b": (500, [tone[:500]]), "c": (rate, [gap])})
+
+    def sound(g, clip="a"):
+        rows = sorted((r.channel, r.block_idx, r.samples) for r in g.blocks.where(f"clip_id = '{clip}'").collect())
+        return [np.concatenate([x for c, _, x in rows if c == k]) for k in sorted({r[0] for r in rows})]
+
+    faded = sound(f.fade(0.1, 0.1))[0]
+    assert faded[0] == 0 and faded[-1] == 0 and faded[500] == 0.5 and faded[50] == pytest.approx(0.25)
+    assert len(sound(f.pad(0.1, 0.2))[0]) == 1300 and len(sound(f.loop(3, 0.1))[0]) == 3200 and len(sound(f.trim(), "c")[0]) == 3000
+    assert [x[0] for x in sound(f.swap_channels())] == [0.25, 0.5] and len(sound(f.extract_channel(7))) == 1 and sound(f.set_channels(1))[0][0] == 0.375
+    assert len(sound(f.cut_out(0.4, 0.6))[0]) == 800 - 10 and len(sound(f.remove_silence(), "c")[0]) == 3000 - (1000 - 160) - 5
+    wide = sound(f.stereo_width(2.0))
+    assert wide[0][0] == pytest.approx(0.625) and wide[1][0] == pytest.approx(0.125)
+    order = spark.createDataFrame([("j", 1, "a"), ("j", 2, "b")], "joined string, position int, clip_id string")
+    joined = f.concat(order, 0.1)
+    row = joined.clips.collect()[0]
+    assert (row.sample_rate, row.channels, row.frames) == (1000, 2, 1900)
+    left = sound(joined, "j")[0]
+    assert left[500] == 0.5 and left[950] == pytest.approx(0.5 * (np.cos(np.pi / 4) + np.sin(np.pi / 4)), rel=0.05)
