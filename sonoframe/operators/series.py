@@ -1,6 +1,7 @@
 """Operators over sampled series: tables of (key, i, v), where i counts the samples of a key from 0.
 
-All of them are DataFrame plans: maps stay in one stage, windows and groups shuffle on the key once.
+All of them are DataFrame plans: maps stay in one stage; what is one number a key is pre-aggregated and joined back, so that a
+long key is never held by one task for it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def sampled(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
 
 
 def with_length(s: DataFrame) -> DataFrame:
-    return s.withColumn("n", F.max("i").over(_by("key")) + 1)
+    return s.join(s.groupBy("key").agg((F.max("i") + 1).alias("n")), "key")
 
 
 # --- pointwise -----------------------------------------------------------------------------------------------------
@@ -34,8 +35,8 @@ def gain(s: DataFrame, db: float, clip: float | None = 1.0) -> DataFrame:
 
 def normalize_peak(s: DataFrame, target_db: float = -1.0) -> DataFrame:
     """Scales each key so that its peak is at target_db; silence stays."""
-    peak = F.max(F.abs("v")).over(_by("key"))
-    return s.withColumn("v", F.when(peak > 0, F.col("v") * N.db_factor(target_db) / peak).otherwise(F.col("v")))
+    peaks = s.groupBy("key").agg(F.max(F.abs("v")).alias("peak"))
+    return s.join(peaks, "key").withColumn("v", F.when(F.col("peak") > 0, F.col("v") * N.db_factor(target_db) / F.col("peak")).otherwise(F.col("v"))).drop("peak")
 
 
 def invert(s: DataFrame) -> DataFrame:
@@ -100,8 +101,7 @@ def cut_out(s: DataFrame, start: int, stop: int) -> DataFrame:
 def trim_ends(s: DataFrame, threshold_db: float = -50.0, quiet_length: int = 1) -> DataFrame:
     """Drops what is at or under the threshold at both ends; a key that is quiet throughout keeps its first quiet_length samples."""
     loud = F.abs("v") > N.db_factor(threshold_db)
-    w = _by("key")
-    s = s.withColumn("a", F.min(F.when(loud, F.col("i"))).over(w)).withColumn("b", F.max(F.when(loud, F.col("i"))).over(w))
+    s = s.join(s.groupBy("key").agg(F.min(F.when(loud, F.col("i"))).alias("a"), F.max(F.when(loud, F.col("i"))).alias("b")), "key")
     a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(quiet_length - 1))
     return s.where((F.col("i") >= a) & (F.col("i") <= b)).select("key", (F.col("i") - a).alias("i"), "v")
 
@@ -156,11 +156,22 @@ def probe_ranges(lengths: DataFrame, span: int, centres: tuple[float, ...] = (0.
     return lengths.select("key", F.explode(starts).alias("start"), size.alias("size")).select("key", "start", (F.col("start") + F.col("size")).alias("stop"))
 
 
-def concat_offsets(parts: DataFrame, group: str, order: str, length: str, overlap: int = 0) -> DataFrame:
-    """Where each part of a group begins when they are joined, each overlapping the one before by at most its own length."""
-    w = Window.partitionBy(group).orderBy(order)
-    shared = F.when(F.row_number().over(w) == 1, 0).otherwise(F.least(F.lit(overlap), F.col(length), F.lag(length, 1, 0).over(w)))
-    return parts.withColumn("_shared", shared).select("*", (F.sum(F.col(length) - F.col("_shared")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length)).alias("start")).drop("_shared")
+def concat_offsets(parts: DataFrame, group: str, order: str, length: str, overlap: int = 0, block: int = 100_000) -> DataFrame:
+    """Where each part of a group begins when they are joined, each overlapping the one before by at most its own length.
+
+    `order` is a whole number, unique in its group. Running sums are kept inside blocks of its values; the blocks of a group,
+    of which there are few, are summed by themselves.
+    """
+    blocked = parts.withColumn("_b", F.floor(F.col(order) / block))
+    inside = Window.partitionBy(group, "_b").orderBy(order)
+    shared = F.when(F.row_number().over(inside) == 1, 0).otherwise(F.least(F.lit(overlap), F.col(length), F.lag(length, 1, 0).over(inside)))
+    placed = blocked.withColumn("_shared", shared).withColumn("_at", F.sum(F.col(length) - F.col("_shared")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length))
+    sums = placed.groupBy(group, "_b").agg(F.sum(F.col(length) - F.col("_shared")).alias("_sum"), F.min_by(length, order).alias("_first"), F.max_by(length, order).alias("_last"))
+    across = Window.partitionBy(group).orderBy("_b")
+    seam = F.coalesce(F.least(F.lit(overlap), F.col("_first"), F.lag("_last").over(across)), F.lit(0))
+    seam = F.when(F.row_number().over(across) == 1, 0).otherwise(seam)
+    starts = sums.withColumn("_seam", seam).withColumn("_start", F.sum(F.col("_sum") - F.col("_seam")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"))
+    return placed.join(starts.select(group, "_b", "_start"), [group, "_b"]).withColumn("start", F.col("_start") + F.col("_at")).drop("_b", "_shared", "_at", "_start")
 
 
 def finest_covering(scans: DataFrame, columns: list[tuple[int, int]]) -> DataFrame:

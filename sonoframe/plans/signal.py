@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import numeric as N
 from sonoframe.operators import gating, series
+from sonoframe.streaming import levels
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -191,7 +192,7 @@ def probe_sample(spark, sf_dir):
 k AS (SELECT *, CASE WHEN r = 1 THEN 0 ELSE least(500, n_chars, p) END AS sh FROM d)
 SELECT source, doc_id, (sum(n_chars - sh) OVER (PARTITION BY source ORDER BY doc_id) - n_chars)::BIGINT AS start FROM k""")
 def concat_offsets(spark, sf_dir):
-    return series.concat_offsets(_t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 500).select("source", "doc_id", "start")
+    return series.concat_offsets(_t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 500, block=64).select("source", "doc_id", "start")
 
 
 @query(f"WITH {S}, k AS (SELECT key, list(v ORDER BY v) AS x FROM s GROUP BY key) SELECT key, x[floor(.95 * (len(x) - 1) + .5)::INT + 1] AS p95, x[floor(.1 * (len(x) - 1) + .5)::INT + 1] AS p10 FROM k")
@@ -238,3 +239,15 @@ def snap_cuts(spark, sf_dir):
     quiet = gating.silence_regions(e, 40.0, 1).join(extent, "key").select("key", (F.col("start") - F.col("o")).alias("start"), (F.col("stop") - F.col("o")).alias("stop"))
     out = gating.snap_cuts(extent.select("key", "seconds"), quiet, 4)
     return out.select("key", *[F.element_at("points", k + 1).alias(f"p{k}") for k in (1, 2, 3)], "snapped")
+
+
+@query("""WITH e AS (SELECT user_id AS key, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t) < 7200000000 THEN 0 ELSE 1 END AS f FROM e), s AS (SELECT *, sum(f) OVER (PARTITION BY key ORDER BY t) AS k FROM g)
+SELECT key, min(t) AS start, max(t) + 7200000000 AS stop, count(*) AS n FROM s GROUP BY key, k""")
+def quiet_sessions(spark, sf_dir):
+    found = levels.quiet_sessions(_t(spark, sf_dir, "events"), gap="2 hours")
+    return found.select("key", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n")
+
+
+@query("SELECT user_id AS key, epoch_us(date_trunc('hour', ts)) AS start, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY ALL")
+def event_levels(spark, sf_dir):
+    return levels.event_levels(_t(spark, sf_dir, "events")).select("key", F.unix_micros("start").alias("start"), F.round("rms", 6).alias("rms"))
