@@ -161,7 +161,7 @@ def swap_channels(spark, sf_dir):
     return R.swap_channels(_channels(spark, sf_dir))
 
 
-@query(f"WITH {S}, r AS (SELECT key, i, v / 100 - CASE WHEN i % 3 = 0 THEN 0 ELSE v / 40 END AS v FROM s), k AS (SELECT key, max(abs(v)) AS peak FROM r GROUP BY key) SELECT key, i, round(CASE WHEN peak > 1 THEN v / peak ELSE v END, 6) AS v FROM r JOIN k USING (key)")
+@query(f"WITH {S}, r AS (SELECT key, i, v / 100 - CASE WHEN i % 3 = 0 THEN 0 ELSE v / 100 * 2.5 END AS v FROM s), k AS (SELECT key, max(abs(v)) AS peak FROM r GROUP BY key) SELECT key, i, round(CASE WHEN peak > 1 THEN v / peak ELSE v END, 6) AS v FROM r JOIN k USING (key)")
 def residual(spark, sf_dir):
     s = _scaled(spark, sf_dir)
     return _round(R.residual(s, s.where("i % 3 != 0").withColumn("v", F.col("v") * 2.5)), "v")
