@@ -109,7 +109,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 20)
         up, down = np.full(size, _MULT, np.uint64), np.full(size, _INV, np.uint64)
@@ -142,7 +142,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last[:-1] &= ~inside[1:]
     last[cuts - 1] = inside[cuts - 1]
     ends = np.flatnonzero(last) + 1
-    up, down = _power_table(n + 1)
+    up, down = power_table(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]
@@ -193,7 +193,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
 # --- caches of what a tokenizer makes of a chunk ----------------------------------------------------------------
 
 #: A longer run of bytes is worked out anew each time; the cache takes no more entries than these, and is emptied after as many misses.
-CHUNK_BYTES, CACHE_ENTRIES = 48, 500_000
+CHUNK_BYTES, CACHE_ENTRIES = 48, 200_000
 
 
 class _Known(dict):
@@ -309,11 +309,10 @@ class Bloom:
 
 
 def split_by_bloom(df: DataFrame, bloom, k1: str, k2: str, hit: bool) -> DataFrame:
-    """The rows whose keys the broadcast filter lets through (or the others); a shuffle of the rest is spared."""
+    """The rows whose keys the broadcast filter lets through (or the others); a shuffle of the rest is spared. Only the keys go to Python."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = bloom.value.hits(*(np.asarray(batch.column(c)).astype(np.int64) for c in (k1, k2)))
-            yield batch.filter(pa.array(found == hit))
+    @F.arrow_udf("boolean")
+    def found(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(bloom.value.hits(*(np.asarray(x).astype(np.int64) for x in (a, b))) == hit)
 
-    return df.mapInArrow(kernel, df.schema)
+    return df.where(found(k1, k2))
