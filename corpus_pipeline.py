@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as Parquet to the shared folder and reads
 again as the next stage's documents. All but the last return the columns of documents.
+
+Defined cases, stage by stage as its operator states them: a null text has nothing toxic and no lines, is equal to an empty
+one among near-duplicates, and is packed as the closing id alone; a null id comes before all others; rows that repeat id and
+text are judged alike, and one of them stays at near-duplicates; of equals the one with the least id stays; documents of any
+length are taken whole; other columns go along until the packing; an empty table gives no pieces. Without labels of both
+kinds nothing is called toxic.
 """
 
 from __future__ import annotations
