@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import extraction, fertility, fingerprint, lines, mixing, neardup, packing, sharding, toxicity, viterbi
+from sonoframe.llm import collocation, extraction, fertility, fingerprint, lines, mixing, neardup, packing, sharding, toxicity, viterbi
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_bounded_space": packing.op8_bounded_space,
     "op9_weighted_sampling": neardup.op9_weighted_sampling,
     "op10_count_viterbi": viterbi.op10_count_viterbi,
+    "op11_collocations": collocation.op11_collocations,
 }
-ORACLES = {"op5_rendezvous": sharding.ORACLE_SQL}
+ORACLES = {"op5_rendezvous": sharding.ORACLE_SQL, "op11_collocations": collocation.ORACLE_SQL}
