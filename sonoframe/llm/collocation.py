@@ -1,13 +1,14 @@
 """Phrase collocations: word pairs and triples that stand together more often than their parts suggest, by language.
 
-Texts are lower-cased (A-Z), cut at punctuation and line breaks into pieces, and those at blanks into words. Each task builds
-tries of depth three, one a language and some megabytes of text: a path is what stands from a word on, up to two more words
-of its piece, or the end of the piece. Only leaves are kept, with their counts; an inner node counts what stands below it.
+Texts are lower-cased (A-Z), cut at punctuation and line breaks into pieces, and those at blanks into words. A first reading
+counts the words and samples paths; a second one builds tries of depth three, one a language and some megabytes of text: a
+path is what stands from a word on, up to two more words of its piece, or the end of the piece. Only leaves are kept, with
+their counts; an inner node counts what stands below it.
 
-A trie is serialised sorted, as blobs of consecutive leaves, words standing as 64-bit hashes. Bounds from a sample of the
-blobs' first paths make ranges of paths, so a frequent word's or pair's subtree is spread over many ranges. Within a range the
-blobs come by their first path, and are merged k ways: what lies before the next blob's first path is complete. A walk over
-the merged leaves gives the counts of triples, and of pairs but for the two at a range's ends, which are summed afterwards.
+Tries are serialised sorted, words standing as 64-bit hashes, and cut by ranges of paths, which the sample bounds, so a
+frequent word's or pair's subtree is spread over many ranges. Within a range the parts come by their first path, and are
+merged k ways: what lies before the next part's first path is complete. A walk over the merged leaves gives the counts of
+triples, and of pairs but for the two at a range's ends, which are summed afterwards.
 
 The pruned trie (counts of `least` or more) holds all prefixes and suffixes of its nodes. The left part of a cut is an
 ancestor of the node, the right part the node that its suffix link (the path without its first word) names: joins of
@@ -33,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import materialize, release, table, utf8
+from sonoframe.llm.common import materialize, mix64, release, slices, table, utf8
 
 #: Bytes of text of a trie. Paths are numbered in 63 bits, which holds for two million different words: more than stand in these bytes.
-WINDOW_BYTES = 6 << 20
-#: Leaves of a blob, leaves that a merge sorts at a time, leaves of a range at the mean, and the most ranges.
-BLOB_LEAVES, MERGE_LEAVES, RANGE_LEAVES, MOST_RANGES = 256, 1 << 19, 1 << 20, 50_000
-#: Sampled blobs for each bound of a range.
-BLOBS_A_BOUND = 32
+WINDOW_BYTES = 3 << 20
+#: Leaves of a serialised part (at most 20,000: words of a part are numbered in 16 bits), leaves that a merge sorts at a time, leaves of a range at the mean, and the most ranges.
+PART_LEAVES, MERGE_LEAVES, RANGE_LEAVES, MOST_RANGES = 4096, 1 << 18, 1 << 20, 50_000
+#: One of so many different paths of a window is sampled, and at most so many for each bound of a range are gathered.
+SAMPLED, GATHERED = 1 << 13, 32
+#: Different words that a task counts before it gives them away.
+WORDS_HELD = 1 << 18
 
 _END = np.int64(-(1 << 63))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -51,8 +54,10 @@ _APART = _BREAK.copy()
 _APART[[0x20, 0x09]] = True
 _CUT, _TWO_WORDS = re.compile(rb"[ \t.,;:!?\x0a-\x0d]"), re.compile(rb"(?:[ \t]+[^ \t.,;:!?\x0a-\x0d]+){0,2}")
 
-TRIES = "lang string, word string, h1 long, h2 long, h3 long, n long, nodes binary"
-_TRIES = pa.schema([("lang", pa.string()), ("word", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("h3", pa.int64()), ("n", pa.int64()), ("nodes", pa.binary())])
+WORDS = "lang string, word string, h1 long, h2 long, h3 long, n long"
+_WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("h3", pa.int64()), ("n", pa.int64())])
+PARTS = "range int, lang string, h1 long, h2 long, h3 long, leaves binary"
+_PARTS = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("h3", pa.int64()), ("leaves", pa.binary())])
 NODES = "lang string, h1 long, h2 long, h3 long, n long"
 _NODES = pa.schema([("lang", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("h3", pa.int64()), ("n", pa.int64())])
 
@@ -70,99 +75,151 @@ def windows(text: bytes, size: int = WINDOW_BYTES) -> Iterator[tuple[bytes, int]
     yield text[at:], len(text) - at
 
 
-def trie(parts: list[tuple[bytes, int]], seed: int) -> tuple[pa.Array, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Words, their hashes and counts, and the sorted leaves [h1, h2, h3, n] of the trie of some windows."""
-    data = _LOWER[np.frombuffer(b"\n" + b"\n".join(p for p, _ in parts) + b"\n", np.uint8)]
-    inside = ~_APART[data]
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, ends = edges[0::2], edges[1::2]
-    piece = np.cumsum(_BREAK[data], dtype=np.int32)[starts]
-    offsets = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(ends - starts, out=offsets[1:])
-    coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))).dictionary_encode()
-    code, words = np.asarray(coded.indices), coded.dictionary
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)).view(np.int64)
-    hashes = np.where(hashes == _END, _END + 1, hashes)
-    own = np.ones(len(starts), bool)
-    at = 1
-    for part, counted in parts:
-        if counted < len(part):
-            own[np.searchsorted(starts, at + counted) : np.searchsorted(starts, at + len(part))] = False
-        at += len(part) + 1
-    order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(1, len(words) + 1)
-    first = rank[code]
-    second, third = np.zeros_like(first), np.zeros_like(first)
-    same = piece[1:] == piece[:-1]
-    second[:-1] = np.where(same, first[1:], 0)
-    third[:-2] = np.where(same[1:] & same[:-1], first[2:], 0)
-    base = len(words) + 1
-    paths, counts = np.unique(((first * base + second) * base + third)[own], return_counts=True)
-    named = np.concatenate([[_END], hashes[order]])
-    leaves = [named[paths // (base * base)], named[paths // base % base], named[paths % base], counts.astype(np.int64)]
-    return words, hashes, np.bincount(code[own], minlength=len(words)), leaves
-
-
-def _pack(leaves: list[np.ndarray]) -> bytes:
-    return b"".join([*(x.tobytes() for x in leaves[:3]), leaves[3].astype(np.int32).tobytes()])
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    k = len(blob) // 28
-    return [*np.frombuffer(blob, np.int64, 3 * k).reshape(3, k), np.frombuffer(blob, np.int32, k, 24 * k).astype(np.int64)]
-
-
-def _tries(seed: int, size: int, blob_leaves: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[bytes, int]]] = {}
-        filled = 0
-
-        def flush():
-            for lang, parts in held.items():
-                words, hashes, counts, leaves = trie(parts, seed)
-                some = np.flatnonzero(counts)
-                if len(some):
-                    none = pa.nulls(len(some), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), words.take(pa.array(some)), pa.array(hashes[some]), none, none, pa.array(counts[some]), pa.nulls(len(some), pa.binary())], schema=_TRIES)
-                cuts = range(0, len(leaves[0]), blob_leaves)
-                for part in range(0, len(cuts), 512):
-                    own = cuts[part : part + 512]
-                    firsts = [pa.array(leaves[i][list(own)]) for i in range(3)]
-                    blobs = [_pack([x[a : a + blob_leaves] for x in leaves]) for a in own]
-                    sizes = [min(blob_leaves, len(leaves[0]) - a) for a in own]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.nulls(len(own), pa.string()), *firsts, pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], schema=_TRIES)
-            held.clear()
+class Trie:
+    """The words of some windows, their counts, and the leaves of their trie."""
+
+    def __init__(self, parts: list[tuple[bytes, int]], seed: int):
+        data = _LOWER[np.frombuffer(b"\n" + b"\n".join(p for p, _ in parts) + b"\n", np.uint8)]
+        inside = ~_APART[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        piece = np.cumsum(_BREAK[data], dtype=np.int32)[starts]
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=offsets[1:])
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))).dictionary_encode()
+        code, self.words = np.asarray(coded.indices), coded.dictionary
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words.cast(pa.binary()).to_pylist()), np.uint64, len(self.words)).view(np.int64)
+        self.hashes = np.where(hashes == _END, _END + 1, hashes)
+        own = np.ones(len(starts), bool)
+        at = 1
+        for part, counted in parts:
+            if counted < len(part):
+                own[np.searchsorted(starts, at + counted) : np.searchsorted(starts, at + len(part))] = False
+            at += len(part) + 1
+        self.counts = np.bincount(code[own], minlength=len(self.words))
+        # words are numbered by their hashes from 1 on; 0 is the end of a piece
+        order = np.argsort(self.hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        self.named, self.base = np.concatenate([[_END], self.hashes[order]]), len(order) + 1
+        first = rank[code]
+        second, third = np.zeros_like(first), np.zeros_like(first)
+        same = piece[1:] == piece[:-1]
+        second[:-1] = np.where(same, first[1:], 0)
+        third[:-2] = np.where(same[1:] & same[:-1], first[2:], 0)
+        self.paths = ((first * self.base + second) * self.base + third)[own]
+
+    def numbers(self, paths: np.ndarray) -> list[np.ndarray]:
+        return [paths // (self.base * self.base), paths // self.base % self.base, paths % self.base]
+
+    def leaves(self) -> list[np.ndarray]:
+        """Sorted leaves: numbers of three words, and counts."""
+        paths, counts = np.unique(self.paths, return_counts=True)
+        return [*self.numbers(paths), counts.astype(np.int32)]
+
+    def sample(self, sampled: int) -> list[np.ndarray]:
+        """Hashes of the words of some of the different paths: those whose own hash is a multiple of `sampled`."""
+        h = [self.named[x] for x in self.numbers(self.paths)]
+        mixed = mix64(h[0].view(np.uint64) + mix64(h[1].view(np.uint64) + mix64(h[2].view(np.uint64))))
+        paths = np.unique(self.paths[mixed % np.uint64(sampled) == 0])
+        return [self.named[x] for x in self.numbers(paths)]
+
+
+def _pack(numbers: list[np.ndarray], counts: np.ndarray, named: np.ndarray) -> bytes:
+    """Leaves with the hashes of their words once each."""
+    used = np.zeros(len(named), bool)
+    for x in numbers:
+        used[x] = True
+    place = np.cumsum(used, dtype=np.int32) - 1
+    hashes = named[used]
+    return b"".join([np.array([len(counts), len(hashes)], np.int32).tobytes(), hashes.tobytes(), *(place[x].astype(np.uint16).tobytes() for x in numbers), counts.tobytes()])
+
+
+def _unpack(part: bytes) -> list[np.ndarray]:
+    k, d = np.frombuffer(part, np.int32, 2).tolist()
+    hashes = np.frombuffer(part, np.int64, d, 8)
+    at = 8 + 8 * d
+    return [*(hashes[x] for x in np.frombuffer(part, np.uint16, 3 * k, at).reshape(3, k)), np.frombuffer(part, np.int32, k, at + 6 * k).astype(np.int64)]
+
+
+def _filled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[str, list[tuple[bytes, int]]]]:
+    """Windows by language, about `size` bytes at a time."""
+    held: dict[str, list[tuple[bytes, int]]] = {}
+    filled = 0
+    for batch in slices(batches, "text"):
+        for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch, "text")):
+            for part, counted in windows(text, size):
+                if filled and filled + len(part) > size:
+                    yield held
+                    held, filled = {}, 0
+                held.setdefault(lang, []).append((part, counted))
+                filled += len(part) + 1
+    yield held
+
+
+def _words(seed: int, size: int, sampled: int):
+    """Counts of words, and sampled paths (word null)."""
 
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch, "text")):
-                for part, counted in windows(text, size):
-                    if filled and filled + len(part) > size:
-                        yield from flush()
-                        filled = 0
-                    held.setdefault(lang, []).append((part, counted))
-                    filled += len(part) + 1
-        yield from flush()
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        names = ["lang", "word", "h1"]
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by(names).aggregate([("n", "sum")]).rename_columns([*names, "n"])
+
+        def given(found: pa.Table) -> Iterator[pa.RecordBatch]:
+            for b in found.combine_chunks().to_batches(1 << 16):
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), none, none, b.column(3)], schema=_WORDS)
+
+        for group in _filled(batches, size):
+            for lang, parts in group.items():
+                trie = Trie(parts, seed)
+                some = pa.array(np.flatnonzero(trie.counts))
+                held.append(pa.table([pa.array([lang] * len(some), pa.string()), trie.words.take(some), pa.array(trie.hashes).take(some), pa.array(trie.counts).take(some)], [*names, "n"]))
+                paths = trie.sample(sampled)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(paths[0]), pa.string()), pa.nulls(len(paths[0]), pa.string()), *map(pa.array, paths), pa.nulls(len(paths[0]), pa.int64())], schema=_WORDS)
+            if sum(map(len, held)) > WORDS_HELD:
+                held = [summed()]
+                if len(held[0]) > WORDS_HELD // 2:
+                    yield from given(held.pop())
+        if held:
+            yield from given(summed())
 
     return kernel
 
 
-def _cut(bounds: list[tuple]):
-    """Deals blobs to the ranges that begin at `bounds`, cutting those that lie over one."""
+def _places(leaves: list[np.ndarray], named: np.ndarray, bounds: list[np.ndarray]) -> np.ndarray:
+    """For each bound how many leaves come before it: one binary search for all bounds."""
+    low, high = np.zeros(len(bounds[0]), np.int64), np.full(len(bounds[0]), len(leaves[3]))
+    while (open_ := low < high).any():
+        mid = np.minimum((low + high) >> 1, len(leaves[3]) - 1)
+        before, equal = np.zeros(len(mid), bool), np.ones(len(mid), bool)
+        for x, b in zip(leaves, bounds):
+            value = named[x[mid]]
+            before |= equal & (value < b)
+            equal &= value == b
+        low, high = np.where(open_ & before, mid + 1, low), np.where(open_ & ~before, mid, high)
+    return low
+
+
+def _tries(seed: int, size: int, part_leaves: int, bounds: list[tuple]):
+    """Serialised tries, cut by the ranges of paths that begin at `bounds`."""
+    langs = [b[0] for b in bounds]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("nodes").to_pylist()):
-                leaves = _unpack(blob)
-                path = lambda i: (lang, int(leaves[0][i]), int(leaves[1][i]), int(leaves[2][i]))  # noqa: B023, E731
-                a, k, n = 0, bisect.bisect_right(bounds, path(0)), len(leaves[0])
-                while a < n:
-                    b = bisect.bisect_left(range(n), bounds[k], key=path) if k < len(bounds) else n
-                    if b > a:
-                        out.append((k, *path(a), blob if b - a == n else _pack([x[a:b] for x in leaves])))
-                    a, k = b, k + 1
-            yield pa.RecordBatch.from_pylist([dict(zip(("range", "lang", "h1", "h2", "h3", "nodes"), r)) for r in out], schema=pa.schema([("range", pa.int32()), *[_TRIES.field(x) for x in ("lang", "h1", "h2", "h3", "nodes")]]))
+        for group in _filled(batches, size):
+            for lang, parts in group.items():
+                trie = Trie(parts, seed)
+                leaves = trie.leaves()
+                a, b = bisect.bisect_left(langs, lang), bisect.bisect_right(langs, lang)
+                cuts = [0, *_places(leaves, trie.named, [np.array([x[i] for x in bounds[a:b]], np.int64) for i in (1, 2, 3)]).tolist(), len(leaves[3])]
+                out = [(a + k, at, min(at + part_leaves, stop)) for k, (start, stop) in enumerate(zip(cuts, cuts[1:])) for at in range(start, stop, part_leaves)]
+                for at in range(0, len(out), 64):
+                    some = out[at : at + 64]
+                    firsts = [pa.array(trie.named[x[[r[1] for r in some]]]) for x in leaves[:3]]
+                    packed = [_pack([x[i:j] for x in leaves[:3]], leaves[3][i:j], trie.named) for _, i, j in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([lang] * len(some)), *firsts, pa.array(packed, pa.binary())], schema=_PARTS)
 
     return kernel
 
@@ -221,14 +278,15 @@ def _merged(least: int, merge_leaves: int):
                 yield pa.RecordBatch.from_arrays([pa.array([now[1]] * len(columns[0])), *(pa.array(x.astype(np.int64)) for x in columns)], schema=_NODES)
 
         for batch in batches:
-            for k, lang, h1, h2, h3, blob in zip(*(batch.column(c).to_pylist() for c in ("range", "lang", "h1", "h2", "h3", "nodes"))):
+            for k, lang, h1, h2, h3, part in zip(*map(batch.column, ("range", "lang", "h1", "h2", "h3", "leaves"))):
+                k, lang, h1, h2, h3 = k.as_py(), lang.as_py(), h1.as_py(), h2.as_py(), h3.as_py()
                 if (k, lang) != now:
                     if now:
                         yield from rows([*settle(None), *walk.end()])
                     now, held, filled, walk = (k, lang), [], 0, _Walk(least)
                 elif filled >= merge_leaves:
                     yield from rows(settle((h1, h2, h3)))
-                held.append(_unpack(blob))
+                held.append(_unpack(part.as_buffer()))
                 filled += len(held[-1][0])
         if now:
             yield from rows([*settle(None), *walk.end()])
@@ -236,33 +294,31 @@ def _merged(least: int, merge_leaves: int):
     return kernel
 
 
-def _bounds(tries: DataFrame, range_leaves: int) -> list[tuple]:
-    """Paths that cut the leaves of all tries into ranges of about as many; a bounded sample of the blobs' first paths."""
-    blobs = tries.where("nodes IS NOT NULL")
-    seen = blobs.agg(F.count("*").alias("blobs"), F.sum("n").alias("leaves")).first()
-    ranges = min(MOST_RANGES, -(-(seen.leaves or 0) // range_leaves))
+def _bounds(paths: DataFrame, range_leaves: int, sampled: int) -> list[tuple]:
+    """Paths (lang, h1, h2, h3) that cut the leaves of all tries into ranges of about as many; from a bounded part of the sample."""
+    n = paths.count()
+    ranges = min(MOST_RANGES, -(-n * sampled // range_leaves))
     if ranges < 2:
         return []
-    firsts = sorted(map(tuple, blobs.select("lang", "h1", "h2", "h3").sample(min(1.0, BLOBS_A_BOUND * ranges / seen.blobs), seed=11).collect()))
-    return sorted({firsts[k * len(firsts) // ranges] for k in range(1, ranges)}) if firsts else []
+    found = sorted(map(tuple, paths.sample(min(1.0, GATHERED * ranges / n), seed=11).collect()))
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
 
 
-def counted(docs: DataFrame, least: int, window_bytes: int = WINDOW_BYTES, range_leaves: int = RANGE_LEAVES, seed: int = 11, blob_leaves: int = BLOB_LEAVES, merge_leaves: int = MERGE_LEAVES) -> tuple[DataFrame, DataFrame]:
+def counted(docs: DataFrame, least: int, window_bytes: int = WINDOW_BYTES, range_leaves: int = RANGE_LEAVES, seed: int = 11, part_leaves: int = PART_LEAVES, merge_leaves: int = MERGE_LEAVES, sampled: int = SAMPLED) -> tuple[DataFrame, DataFrame]:
     """The vocabulary (lang, word, h, n), and the trie's nodes (lang, h1, h2, h3, n) of two and three words (h3 null for two) that count `least` or more."""
     wanted = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tries = materialize(wanted.mapInArrow(_tries(seed, window_bytes, blob_leaves), TRIES), "tries")
-    words = materialize(tries.where("nodes IS NULL").groupBy("lang", "word", F.col("h1").alias("h")).agg(F.sum("n").alias("n")), "vocabulary")
+    read = materialize(wanted.mapInArrow(_words(seed, window_bytes, sampled), WORDS), "words")
+    words = materialize(read.where("word IS NOT NULL").groupBy("lang", "word", F.col("h1").alias("h")).agg(F.sum("n").alias("n")), "vocabulary")
     if not words.groupBy("lang", "h").count().where("count > 1").isEmpty():
-        release(tries, words)
-        return counted(docs, least, window_bytes, range_leaves, seed + 1, blob_leaves, merge_leaves)
-    bounds = _bounds(tries, range_leaves)
-    dealt = tries.where("nodes IS NOT NULL").select("lang", "nodes").mapInArrow(_cut(bounds), "range int, lang string, h1 long, h2 long, h3 long, nodes binary")
-    merged = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "lang", "h1", "h2", "h3").mapInArrow(_merged(least, merge_leaves), NODES)
+        release(read, words)
+        return counted(docs, least, window_bytes, range_leaves, seed + 1, part_leaves, merge_leaves, sampled)
+    bounds = _bounds(read.where("word IS NULL").select("lang", "h1", "h2", "h3"), range_leaves, sampled)
+    release(read)
+    parts = wanted.mapInArrow(_tries(seed, window_bytes, part_leaves, bounds), PARTS)
+    merged = parts.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "lang", "h1", "h2", "h3").mapInArrow(_merged(least, merge_leaves), NODES)
     end = F.lit(int(_END))
     nodes = merged.groupBy("lang", "h1", "h2", "h3").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("h3", F.when(F.col("h3") != end, F.col("h3")))
-    nodes = materialize(nodes, "trie", narrow=True)
-    release(tries)
-    return words, nodes
+    return words, materialize(nodes, "trie", narrow=True)
 
 
 def _score(a: str, left: str, right: str) -> str:

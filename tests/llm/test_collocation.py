@@ -35,7 +35,7 @@ def expected(rows, least, inside=50, top=2000):
     return sorted(out)
 
 
-TINY = {"window_bytes": 3000, "range_leaves": 200, "blob_leaves": 7, "merge_leaves": 40}
+TINY = {"window_bytes": 3000, "range_leaves": 200, "part_leaves": 7, "merge_leaves": 40, "sampled": 8}
 
 
 @pytest.mark.parametrize("sizes", [{}, TINY])
@@ -45,21 +45,25 @@ def test_equals_counting_all_phrases(spark, documents, sizes):
     assert sorted(map(tuple, found.collect())) == expected(rows, 4)
 
 
+def leaves(part):
+    trie = collocation.Trie([part], 1)
+    found = trie.leaves()
+    packed = collocation._unpack(collocation._pack(found[:3], found[3], trie.named))
+    assert all((trie.named[x] == y).all() for x, y in zip(found[:3], packed))
+    return Counter({tuple(map(int, x[:3])): int(x[3]) for x in zip(*packed)})
+
+
 def test_windows_overlap_by_two_words():
     text = b"one two three four, five six\tseven  eight nine ten" * 20
     for size in (1, 5, 17, 100, 5000):
         parts = list(collocation.windows(text, size))
         assert b"".join(p[:n] for p, n in parts) == text
-        whole = collocation.trie([(text, len(text))], 1)[3]
-        cut = Counter()
-        for p in parts:
-            cut.update({tuple(map(int, x[:3])): int(x[3]) for x in zip(*collocation.trie([p], 1)[3])})
-        assert cut == {tuple(map(int, x[:3])): int(x[3]) for x in zip(*whole)}
+        assert sum((leaves(p) for p in parts), Counter()) == leaves((text, len(text)))
 
 
 def test_equal_hashes_are_counted_again(spark, monkeypatch):
     seeds = []
-    real = collocation._tries
+    real = collocation._words
 
     def weak(seed, *sizes):
         seeds.append(seed)
@@ -71,11 +75,11 @@ def test_equal_hashes_are_counted_again(spark, monkeypatch):
 
             for _ in batches:
                 pass
-            yield pa.RecordBatch.from_pylist([{"lang": "x", "word": w, "h1": 5, "n": 1} for w in "ab"], schema=collocation._TRIES)
+            yield pa.RecordBatch.from_pylist([{"lang": "x", "word": w, "h1": 5, "n": 1} for w in "ab"], schema=collocation._WORDS)
 
         return kernel
 
-    monkeypatch.setattr(collocation, "_tries", weak)
+    monkeypatch.setattr(collocation, "_words", weak)
     docs = spark.createDataFrame([("x", "a b a b a b")], "lang string, text string")
     assert [r.phrase for r in collocation.mine(docs, 2).orderBy("rank").collect()] == [r[2] for r in expected([("x", "a b a b a b")], 2)]
     assert seeds == [11, 12]
