@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import collocation, extraction, fertility, fingerprint, lines, mixing, neardup, packing, sharding, toxicity, urls, viterbi
+from sonoframe.llm import collocation, extraction, fertility, fingerprint, lines, mixing, neardup, packing, repair, sharding, toxicity, urls, viterbi
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_weighted_sampling": neardup.op9_weighted_sampling,
     "op10_count_viterbi": viterbi.op10_count_viterbi,
     "op11_collocations": collocation.op11_collocations,
+    "op12_earley": repair.op12_earley,
     "op13_digest_array": urls.op13_digest_array,
 }
-ORACLES = {"op5_rendezvous": sharding.ORACLE_SQL, "op11_collocations": collocation.ORACLE_SQL, "op13_digest_array": urls.ORACLE_SQL}
+ORACLES = {"op5_rendezvous": sharding.ORACLE_SQL, "op11_collocations": collocation.ORACLE_SQL, "op12_earley": repair.ORACLE_SQL, "op13_digest_array": urls.ORACLE_SQL}
