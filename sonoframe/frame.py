@@ -150,6 +150,12 @@ class AudioFrame:
 
         return self.map_channels(lambda x, r: reverb(x, r, decay, pre_delay, mix, seed))
 
+    def compress(self, threshold: float = -24.0, knee: float = 30.0, ratio: float = 4.0, attack: float = 0.003, release: float = 0.25, makeup: float | None = None) -> "AudioFrame":
+        """Channels of a clip are turned down together; without a makeup in dB the settings' own is taken."""
+        from sonoframe.kernels.filters import compress
+
+        return self._map_clips(lambda xs, r: compress(xs, r, threshold=threshold, knee=knee, ratio=ratio, attack=attack, release=release, makeup=makeup))
+
     def _map_clips(self, f: Callable[[list[np.ndarray], int], list[np.ndarray]]) -> "AudioFrame":
         """Applies f(channels, rate), which may change the length but not the rate."""
         blocks = self._per_clip(lambda k, r, xs: blocks_table(k, f(xs, r)), schema.BLOCKS)

@@ -138,10 +138,106 @@ def reverb(x: np.ndarray, rate: float, decay: float, pre_delay: float, mix: floa
     return out
 
 
+#: Ranges of a compressor's threshold, knee and ratio, of the knee's constant, and halvings of the latter (fixed values).
+THRESHOLDS, KNEES, RATIOS, KNEE_CONSTANTS, HALVINGS = (-100.0, 0.0), (0.0, 40.0), (1.0, 20.0), (0.1, 10000.0), 30
+
+
+def held(value: float, bounds: tuple[float, float]) -> float:
+    return min(bounds[1], max(bounds[0], float(value)))
+
+
+def knee_constant(threshold: float, knee: float, ratio: float) -> float:
+    """k of the knee y = t + (1 - exp(-k (x - t))) / k over amplitudes, t being the threshold's.
+
+    It is found by halving its logarithm's range so that the slope at the knee's upper end, in dB per dB, is 1 / ratio.
+    """
+    low, top = 10 ** (threshold / 20), 10 ** ((threshold + knee) / 20)
+    a, b = (math.log(k) for k in KNEE_CONSTANTS)
+    for _ in range(HALVINGS):
+        k = math.exp((a + b) / 2)
+        rest = math.exp(-k * (top - low))
+        a, b = (a, (a + b) / 2) if top * rest < (low + (1 - rest) / k) / ratio else ((a + b) / 2, b)
+    return math.exp((a + b) / 2)
+
+
 def compressor_curve(db: np.ndarray, threshold: float, knee: float, ratio: float) -> np.ndarray:
-    """Static curve in dB: straight to the threshold, a soft knee above it whose slope falls to 1 / ratio, then straight."""
+    """Static curve in dB: straight to the threshold, an exponential knee above it, then straight with a slope of 1 / ratio.
+
+    Settings are held to their ranges. The curve is continuous and rising.
+    """
+    threshold, knee, ratio = held(threshold, THRESHOLDS), held(knee, KNEES), held(ratio, RATIOS)
+    low, k = 10 ** (threshold / 20), knee_constant(threshold, knee, ratio)
     db = np.asarray(db, float)
-    over = db - threshold
-    soft = np.clip(over, 0, max(knee, 0.0))
-    bend = soft - (1 - 1 / ratio) * soft**2 / (2 * knee) if knee > 0 else np.zeros_like(over)
-    return np.where(over <= 0, db, threshold + bend + np.maximum(over - max(knee, 0.0), 0) / ratio)
+    soft = np.clip(db, threshold, threshold + knee)
+    bend = 20 * np.log10(low + (1 - np.exp(-k * (10 ** (soft / 20) - low))) / k)
+    return np.where(db <= threshold, db, bend + np.maximum(db - threshold - knee, 0.0) / ratio)
+
+
+def auto_makeup(threshold: float, knee: float, ratio: float) -> float:
+    """dB that bring back six tenths of what full scale loses."""
+    return -0.6 * float(compressor_curve(0.0, threshold, knee, ratio))
+
+
+class Compressor:
+    """A compressor over pieces of a sound: what is pushed in comes out later by the look-ahead; cutting changes nothing.
+
+    The gain is set every CELL samples: the largest magnitude of all channels within the look-ahead gives the curve's gain,
+    which is followed in dB with the attack's constant down and the release's up, and read as a straight line between.
+    """
+
+    CELL = 32
+
+    def __init__(self, rate: float, channels: int, threshold: float, knee: float, ratio: float, attack: float = 0.003, release: float = 0.25, makeup: float | None = None, look_ahead: float = 0.006):
+        self.curve = (held(threshold, THRESHOLDS), held(knee, KNEES), held(ratio, RATIOS))
+        self.makeup = auto_makeup(*self.curve) if makeup is None else makeup
+        self.down, self.up = (math.exp(-self.CELL / (rate * max(t, 1e-6))) for t in (attack, release))
+        self.ahead = max(1, math.ceil(look_ahead * rate / self.CELL))
+        self.waiting = np.zeros((channels, 0))  # samples whose gain isn't known yet, from the start of a cell
+        self.levels: np.ndarray = np.zeros(0)  # peaks of their whole cells
+        self.gain = 0.0  # dB at the start of the first waiting cell
+
+    def _out(self, cells: int, levels: np.ndarray) -> np.ndarray:
+        """The first cells, with the levels of them and of what lies ahead."""
+        views = np.lib.stride_tricks.sliding_window_view(np.pad(levels, (0, max(0, cells + self.ahead - len(levels)))), self.ahead + 1)[:cells]
+        db = 20 * np.log10(np.maximum(views.max(axis=1), 1e-6))
+        wanted = (compressor_curve(db, *self.curve) - db).tolist()
+        points = [self.gain]
+        for w in wanted:
+            points.append(w + (points[-1] - w) * (self.down if w < points[-1] else self.up))
+        self.gain = points[-1]
+        steps = np.arange(self.CELL) / self.CELL
+        points = np.array(points)
+        gain = (points[:-1, None] + (points[1:] - points[:-1])[:, None] * steps).reshape(-1)
+        n = min(cells * self.CELL, self.waiting.shape[1])
+        done, self.waiting = self.waiting[:, :n] * 10 ** ((gain[:n] + self.makeup) / 20), self.waiting[:, n:]
+        return done
+
+    def push(self, samples: np.ndarray) -> np.ndarray:
+        self.waiting = np.concatenate([self.waiting, np.asarray(samples, np.float64)], axis=1)
+        known = len(self.levels) * self.CELL
+        whole = self.waiting.shape[1] // self.CELL * self.CELL
+        if whole > known:
+            self.levels = np.concatenate([self.levels, np.abs(self.waiting[:, known:whole]).max(axis=0).reshape(-1, self.CELL).max(axis=1)])
+        cells = max(0, len(self.levels) - self.ahead)
+        if not cells:
+            return self.waiting[:, :0]
+        out = self._out(cells, self.levels)
+        self.levels = self.levels[cells:]
+        return out
+
+    def end(self) -> np.ndarray:
+        n = self.waiting.shape[1]
+        if not n:
+            return self.waiting
+        tail = self.waiting[:, len(self.levels) * self.CELL :]
+        levels = np.append(self.levels, np.abs(tail).max()) if tail.shape[1] else self.levels
+        out = self._out(-(-n // self.CELL), levels)
+        self.levels = np.zeros(0)
+        return out
+
+
+def compress(channels: list[np.ndarray], rate: float, **settings: float) -> list[np.ndarray]:
+    """A whole clip through a Compressor, at the old places."""
+    effect = Compressor(rate, len(channels), **settings)
+    sound = np.stack([np.asarray(x, np.float64) for x in channels])
+    return list(np.concatenate([effect.push(sound), effect.end()], axis=1))

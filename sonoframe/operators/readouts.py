@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sonoframe.functions.numeric import round_half_up
+from sonoframe.kernels import filters
 
 # Loudness targets of platforms, in LUFS.
 TARGETS = [("spotify", -14.0), ("apple-music", -16.0), ("youtube", -14.0), ("amazon", -14.0), ("tidal", -14.0), ("apple-podcasts", -16.0), ("spotify-podcasts", -14.0), ("ebu", -23.0)]
@@ -232,15 +233,41 @@ def meter_panel(true_peak: Column, range_: Column) -> tuple[Column, Column]:
     return true_peak > -1, F.when(range_ < 4, "narrow").when(range_ > 12, "wide").otherwise("usual")
 
 
-def compressor_out(db: Column, threshold: float, knee: float, ratio: float) -> Column:
-    """Static curve in dB: straight to the threshold, a soft knee above it whose slope falls to 1 / ratio, then straight."""
-    over = db - threshold
-    soft = F.least(F.greatest(over, F.lit(0.0)), F.lit(float(knee)))
-    bend = soft - (1 - 1 / ratio) * soft * soft / (2 * knee) if knee > 0 else F.lit(0.0)
-    return F.when(over <= 0, db).otherwise(threshold + bend + F.greatest(over - knee, F.lit(0.0)) / ratio)
+def _held(value: Column | float, bounds: tuple[float, float]) -> Column:
+    return F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), value.cast("double") if isinstance(value, Column) else F.lit(float(value))))
 
 
-def auto_makeup(threshold: float, knee: float, ratio: float) -> Column:
+def knee_constant(threshold: Column, knee: Column, ratio: Column) -> Column:
+    """The constant of an exponential knee (`kernels.filters.knee_constant`) where settings are columns: a fold of fixed steps."""
+    amplitude = lambda db: F.pow(F.lit(10.0), db / 20)
+    low, top = amplitude(threshold), amplitude(threshold + knee)
+    span = F.struct(*[F.lit(math.log(k)).alias(n) for k, n in zip(filters.KNEE_CONSTANTS, "ab")])
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["a"] + s["b"]) / 2
+        rest = F.exp(-F.exp(middle) * (top - low))
+        flat = top * rest < (low + (1 - rest) / F.exp(middle)) / ratio
+        return F.struct(F.when(flat, s["a"]).otherwise(middle).alias("a"), F.when(flat, middle).otherwise(s["b"]).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(filters.HALVINGS)), span, halve, lambda s: F.exp((s["a"] + s["b"]) / 2))
+
+
+def compressor_out(db: Column, threshold: Column | float, knee: Column | float, ratio: Column | float) -> Column:
+    """Static curve in dB: straight to the threshold, an exponential knee above it, then straight with a slope of 1 / ratio. Numbers as settings fold to literals."""
+    given = (threshold, knee, ratio)
+    threshold, knee, ratio = (_held(v, b) for v, b in zip(given, (filters.THRESHOLDS, filters.KNEES, filters.RATIOS)))
+    if any(isinstance(v, Column) for v in given):
+        k = knee_constant(threshold, knee, ratio)
+    else:
+        k = F.lit(filters.knee_constant(*(filters.held(v, b) for v, b in zip(given, (filters.THRESHOLDS, filters.KNEES, filters.RATIOS)))))
+    low = F.pow(F.lit(10.0), threshold / 20)
+    soft = F.greatest(threshold, F.least(db, threshold + knee))
+    bend = 20 * F.log10(low + (1 - F.exp(-k * (F.pow(F.lit(10.0), soft / 20) - low))) / k)
+    return F.when(db <= threshold, db).otherwise(bend + F.greatest(db - threshold - knee, F.lit(0.0)) / ratio)
+
+
+def auto_makeup(threshold: Column | float, knee: Column | float, ratio: Column | float) -> Column:
+    """dB that bring back six tenths of what full scale loses."""
     return -0.6 * compressor_out(F.lit(0.0), threshold, knee, ratio)
 
 

@@ -222,10 +222,28 @@ def meter_panel(spark, sf_dir):
     return _loud(spark, sf_dir).select("key", near.alias("near_clipping"), kind.alias("range_kind"))
 
 
-_CURVE = "CASE WHEN {0} <= -24 THEN {0} ELSE -24 + least(greatest({0} + 24, 0), 30) - (1 - 1 / 4::DOUBLE) * pow(least(greatest({0} + 24, 0), 30), 2) / 60 + greatest({0} + 24 - 30, 0) / 4 END"
-
-
-@query(f"""WITH d AS (SELECT p_partkey AS key, -(p_size % 50)::DOUBLE AS level, p_retailprice / 400 - 3 AS peak FROM part), c AS (SELECT *, {_CURVE.format('level')} AS out, CASE WHEN peak > -1 THEN greatest(0, floor((6 - (peak + 1)) * 2) / 2) END AS lower FROM d)
+#: The static curve for settings of one row each: the knee's constant by halving the range of its logarithm.
+_KNEES = """WITH RECURSIVE setting AS ({settings}), bounds AS (SELECT threshold, knee, ratio, pow(10, threshold / 20) AS low, pow(10, (threshold + knee) / 20) AS top FROM setting),
+halving AS (SELECT *, ln(0.1::DOUBLE) AS a, ln(10000::DOUBLE) AS b, 0 AS step FROM bounds
+  UNION ALL SELECT threshold, knee, ratio, low, top, CASE WHEN flat THEN a ELSE (a + b) / 2 END, CASE WHEN flat THEN (a + b) / 2 ELSE b END, step + 1
+  FROM (SELECT *, top * exp(-exp((a + b) / 2) * (top - low)) < (low + (1 - exp(-exp((a + b) / 2) * (top - low))) / exp((a + b) / 2)) / ratio AS flat FROM halving WHERE step < 30)),
+knees AS (SELECT threshold, knee, ratio, low, exp((a + b) / 2) AS k FROM halving WHERE step = 30)"""
+_CURVE = "CASE WHEN {0} <= threshold THEN {0} ELSE 20 * log10(low + (1 - exp(-k * (pow(10, least({0}, threshold + knee) / 20) - low))) / k) + greatest({0} - threshold - knee, 0) / ratio END"
+
+
+@query(f"""{_KNEES.format(settings="SELECT DISTINCT -(p_size % 41)::DOUBLE AS threshold, (p_partkey % 41)::DOUBLE AS knee, 1 + (p_partkey % 20)::DOUBLE AS ratio FROM part")}
+SELECT p_partkey AS key, round({_CURVE.format('level')}, 6) AS out, round(-.6 * ({_CURVE.format('0::DOUBLE')}), 6) AS makeup
+FROM (SELECT *, -(p_retailprice % 60) AS level FROM part) JOIN knees ON threshold = -(p_size % 41) AND knee = p_partkey % 41 AND ratio = 1 + p_partkey % 20""")
+def compressor_curves(spark, sf_dir):
+    """Settings and level of each part: what comes out, and the makeup of the settings."""
+    settings = (-(F.col("p_size") % 41), F.col("p_partkey") % 41, 1 + F.col("p_partkey") % 20)
+    out = R.compressor_out(-(F.col("p_retailprice") % 60), *settings)
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.round(out, 6).alias("out"), (F.round(R.auto_makeup(*settings), 6) + 0.0).alias("makeup"))
+
+
+@query(f"""{_KNEES.format(settings="SELECT -24::DOUBLE AS threshold, 30::DOUBLE AS knee, 4::DOUBLE AS ratio")},
+d AS (SELECT p_partkey AS key, -(p_size % 50)::DOUBLE AS level, p_retailprice / 400 - 3 AS peak FROM part),
+c AS (SELECT *, {_CURVE.format('level')} AS out, CASE WHEN peak > -1 THEN greatest(0, floor((6 - (peak + 1)) * 2) / 2) END AS lower FROM d, knees)
 SELECT key, round(level - out, 6) AS reduction, lower, CASE WHEN lower IS NOT NULL THEN 'clips' WHEN level - out < .1 THEN 'untouched' WHEN level - out > 12 THEN 'heavy' ELSE 'moderate' END AS verdict, round(-.6 * ({_CURVE.format('0::DOUBLE')}), 6) AS makeup FROM c""")
 def compressor_facts(spark, sf_dir):
     d = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (-(F.col("p_size") % 50)).cast("double").alias("level"), (F.col("p_retailprice") / 400 - 3).alias("peak"))
