@@ -232,13 +232,13 @@ _CURVE = "CASE WHEN {0} <= threshold THEN {0} ELSE 20 * log10(low + (1 - exp(-k
 
 
 @query(f"""{_KNEES.format(settings="SELECT DISTINCT -(p_size % 41)::DOUBLE AS threshold, (p_partkey % 41)::DOUBLE AS knee, 1 + (p_partkey % 20)::DOUBLE AS ratio FROM part")}
-SELECT p_partkey AS key, round({_CURVE.format('level')}, 6) AS out, round(-.6 * ({_CURVE.format('0::DOUBLE')}), 6) AS makeup
+SELECT p_partkey AS key, round({_CURVE.format('level')}, 6) + 0 AS out, round(-.6 * ({_CURVE.format('0::DOUBLE')}), 6) + 0 AS makeup
 FROM (SELECT *, -(p_retailprice % 60) AS level FROM part) JOIN knees ON threshold = -(p_size % 41) AND knee = p_partkey % 41 AND ratio = 1 + p_partkey % 20""")
 def compressor_curves(spark, sf_dir):
     """Settings and level of each part: what comes out, and the makeup of the settings."""
     settings = (-(F.col("p_size") % 41), F.col("p_partkey") % 41, 1 + F.col("p_partkey") % 20)
     out = R.compressor_out(-(F.col("p_retailprice") % 60), *settings)
-    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.round(out, 6).alias("out"), (F.round(R.auto_makeup(*settings), 6) + 0.0).alias("makeup"))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.round(out, 6) + 0.0).alias("out"), (F.round(R.auto_makeup(*settings), 6) + 0.0).alias("makeup"))
 
 
 @query(f"""{_KNEES.format(settings="SELECT -24::DOUBLE AS threshold, 30::DOUBLE AS knee, 4::DOUBLE AS ratio")},
