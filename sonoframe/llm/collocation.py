@@ -255,17 +255,18 @@ class _Walk:
 
 def _merged(least: int, merge_leaves: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, filled, walk = None, [], 0, None
+        now, held, filled, full, walk = None, [], 0, merge_leaves, None
 
         def settle(before) -> list[tuple]:
             """Merges what is held; what is not before the path `before` stays."""
-            nonlocal held, filled
+            nonlocal held, filled, full
             leaves = [np.concatenate(x) for x in zip(*held)]
             order = np.lexsort(leaves[2::-1])
             leaves = [x[order] for x in leaves]
             stop = len(order) if before is None else bisect.bisect_left(range(len(order)), before, key=lambda i: (leaves[0][i], leaves[1][i], leaves[2][i]))
             held = [[x[stop:] for x in leaves]] if stop < len(order) else []
             filled = len(order) - stop
+            full = max(merge_leaves, 2 * filled)  # parts may overlap for long: what stays is not sorted anew for each of them
             if not stop:
                 return []
             h1, h2, h3, n = (x[:stop] for x in leaves)
@@ -283,8 +284,8 @@ def _merged(least: int, merge_leaves: int):
                 if (k, lang) != now:
                     if now:
                         yield from rows([*settle(None), *walk.end()])
-                    now, held, filled, walk = (k, lang), [], 0, _Walk(least)
-                elif filled >= merge_leaves:
+                    now, held, filled, full, walk = (k, lang), [], 0, merge_leaves, _Walk(least)
+                elif filled >= full:
                     yield from rows(settle((h1, h2, h3)))
                 held.append(_unpack(part.as_buffer()))
                 filled += len(held[-1][0])
