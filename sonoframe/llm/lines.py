@@ -16,8 +16,10 @@ compared with the least one, and while several components and over `FEW` lines r
 is left, a shared segment being left out in turn. Each split is exact for the same reason as the first: of edits + 1 pieces
 of the rest one stands unchanged. Larger groups are split in the same way by a shuffle, as often as it takes. So lines that
 share a template are never compared in all pairs. A bit-parallel edit distance, held to the band that the threshold allows,
-verifies a pair. (Should over `LOCAL_LINES` lines differ in strings of at most twice the edits alone, each is compared with
-the least one only.)
+verifies a pair. Each removed segment leaves a mark, so what is left shrinks with every split and the mark stays aligned. Where
+no more is left of a line than the edits, segments end: such lines and those up to as much longer are linked by what they keep when some of their
+characters are left out (deletion neighbourhoods): two that are near keep an equal string, and the places of what they leave
+out, at most the edits of them together, prove it without a comparison.
 
 A line goes if its class has an earlier line in the same document, or if its class stands in `least_docs` or more documents
 and this isn't the first of them (by id); a line of `long_words` or more words goes from the second document on. A document keeps its first lines of each class
@@ -34,7 +36,7 @@ from __future__ import annotations
 import os.path
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,8 @@ SEEN_LINES = 200_000
 #: Code points of lines whose keys a task works out at a time, and those whose keys make a partition.
 SLICE_CHARS, PART_CHARS = 1 << 20, 10 << 20
 _NULL_ID = -(1 << 63)
+#: Stands where a segment was removed; no line has it.
+MARK = "\n"
 
 
 def normalized(line: str) -> str:
@@ -359,7 +363,7 @@ def _facts(max_edits: int | None, least_chars: int, parts: int):
     def pack(lines: dict[int, str]) -> pa.RecordBatch:
         names = np.fromiter(lines, np.int64, len(lines))
         keys, owners, indexed, _, _ = segment_keys(list(lines.values()), max_edits)
-        to = ((keys >> np.uint64(48)).astype(np.int64) * parts) >> 16
+        to = ((keys >> np.uint64(32)).astype(np.int64) * parts) >> 32
         entries = np.empty((len(keys), 14), np.uint8)
         entries[:, :6] = (keys & np.uint64(0xFFFFFFFFFFFE) | indexed.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :6]
         entries[:, 6:] = names[owners].view(np.uint8).reshape(-1, 8)
@@ -471,36 +475,95 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
+def kept_strings(rest: str, edits: int, shorter: bool) -> Iterator[tuple[str, str]]:
+    """(what is kept, how many characters are left out before, between and after the kept ones) for a rest of at most 2 * edits characters.
+
+    Marks are always kept. Two rests within `edits` of each other, one of which has no more characters than that, keep an
+    equal string somewhere, the greater of the two counts at each place adding up to `edits` at most. shorter: whether this
+    may be the one; else no more than `edits` characters are kept, since the other has no more.
+    """
+    chars = [k for k, c in enumerate(rest) if c != MARK]
+    for out in range(max(0, len(chars) - edits), min(edits, len(chars)) + 1):
+        if not shorter and len(chars) - out > edits:
+            continue
+        for gone in combinations(chars, out):
+            left, kept, gaps = set(gone), [], [0]
+            for k, c in enumerate(rest):
+                if k in left:
+                    gaps[-1] += 1
+                else:
+                    kept.append(c)
+                    gaps.append(0)
+            yield "".join(kept), ",".join(map(str, gaps))
+
+
 def _split(max_edits: int | None):
-    """(g, node, content, rest) for rows of large groups with what all their lines begin and end with, and links (a, b) to the least line."""
+    """From rows of large groups with what all their lines begin and end with: links (node, least) to the least line, rows (g, node, content, rest)
+    of smaller groups, and strings that short rests keep (keep, gaps, node)."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    names = ["g", "node", "content", "rest", "least", "keep", "gaps"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def given() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
+
         for part in slices(batches, "content"):
-            out: list[tuple] = []
-            for g, node, content, rest, least, least_content, low, high, rlow, rhigh, longest in zip(*(c.to_pylist() for c in part.columns)):
+            for g, node, content, rest, least, least_content, low, high, rlow, rhigh, longest, shortest, least_left in zip(*(c.to_pylist() for c in part.columns)):
                 if node != least and within(content, least_content, edits_of(min(len(content), len(least_content)), max_edits)):
-                    out.append((None, node, None, None, least))
+                    out.append((None, node, None, None, least, None, None))
                 start = len(os.path.commonprefix([low, high]))
                 end = min(len(os.path.commonprefix([rlow, rhigh])), min(len(low), len(high), len(rlow), len(rhigh)) - start)
+                before = len(rest) - rest.count(MARK)
                 rest = rest[start : len(rest) - end]
                 edits = edits_of(longest, max_edits)
-                keys, _, _, begin, stop = segment_keys([rest], edits)
-                for key, b, e in zip(keys.tolist(), begin.tolist(), stop.tolist()):
-                    out.append((xxhash.xxh3_64_intdigest(f"{g} {key}".encode()) - (1 << 63), node, content, rest[:b] + rest[e:], None))
-                if len(rest) <= 2 * edits:
-                    out.append((xxhash.xxh3_64_intdigest(f"{g} short".encode()) - (1 << 63), node, content, "" if len(rest) <= edits else rest, None))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["g", "node", "content", "rest", "least"])
+                places = [k for k, c in enumerate(rest) if c != MARK]
+                n = len(places)
+                if n > edits:
+                    keys, _, _, begin, stop = segment_keys(["".join(rest[k] for k in places)], edits)
+                    for key, b, e in zip(keys.tolist(), begin.tolist(), stop.tolist()):
+                        b, e = places[b], places[e - 1] + 1
+                        out.append((xxhash.xxh3_64_intdigest(f"{g} {key} {rest[b:e]}".encode()) - (1 << 63), node, content, rest[:b] + MARK + rest[e:], None, None, None))
+                if least_left - (before - n) <= edits:
+                    for own in range(edits_of(shortest, max_edits), edits_of(len(content), max_edits) + 1):
+                        if n <= 2 * own:
+                            for kept, gaps in kept_strings(rest, own, n <= own):
+                                out.append((None, node, None, None, None, xxhash.xxh3_64_intdigest(f"{g} {own} {kept}".encode()) - (1 << 63), f"{own}:{gaps}"))
+                if len(out) >= 20_000:
+                    yield given()
+            yield given()
 
     return kernel
 
 
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows (keep, gaps, rep), sorted by keep: those whose greater gaps add up to the edits at most."""
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("keep", "gaps", "rep"))))
+    out: list[tuple[int, int]] = []
+    for _, members in groupby(rows, key=lambda r: r[0]):
+        members = list(members)  # at most one for each way to place the gaps
+        if len(members) > 1:
+            edits = int(members[0][1].split(":")[0])
+            gaps = np.array([list(map(int, m[1].split(":")[1].split(","))) for m in members])
+            for k in range(1, len(members)):
+                near = np.maximum(gaps[:k], gaps[k]).sum(axis=1) <= edits
+                out += [(members[k][2], members[j][2]) for j in np.flatnonzero(near).tolist() if members[j][2] != members[k][2]]
+            if len(out) >= 10_000:
+                yield _pairs(out)
+                out.clear()
+    yield _pairs(out)
+
+
 def _group_links(rows: DataFrame, max_edits: int | None, local_lines: int) -> DataFrame:
-    """Links (a, b) among the lines of each group of rows (g, node, content, rest)."""
+    """Links (a, b) among the lines of each group of rows (g, node, content, rest). With every level less is left of the lines of a large group."""
     links, level = None, rows
+    left = F.length(F.replace("rest", F.lit(MARK), F.lit("")))
     while True:
-        sizes = level.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.max(F.length("rest")).alias("longest"))
-        sizes = materialize(sizes.where("n >= 2").withColumn("large", ((F.col("n") > local_lines) | (F.col("chars") > LOCAL_CHARS)) & (F.col("n") > FEW) & (F.coalesce("longest", F.lit(1)) > 0)), "line-group-sizes", narrow=True)
+        sizes = level.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+        sizes = materialize(sizes.where("n >= 2").withColumn("large", ((F.col("n") > local_lines) | (F.col("chars") > LOCAL_CHARS)) & (F.col("n") > FEW)), "line-group-sizes", narrow=True)
         small = level.join(sizes.where("NOT large").select("g"), "g").select("g", "node", "content", "rest")
         found = materialize(small.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_settle(max_edits), "a long, b long"), "line-links", narrow=True)
         links = found if links is None else links.unionByName(found)
@@ -508,12 +571,19 @@ def _group_links(rows: DataFrame, max_edits: int | None, local_lines: int) -> Da
             return links
         large = level.join(sizes.where("large").select("g"), "g").withColumn("rest", F.coalesce("rest", "content"))
         common = large.groupBy("g").agg(
-            F.min(F.struct("node", "content")).alias("least"), F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(F.reverse("rest")).alias("rlow"), F.max(F.reverse("rest")).alias("rhigh"), F.max(F.length("content")).alias("longest"),
+            F.min(F.struct("node", "content")).alias("least"), F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(F.reverse("rest")).alias("rlow"), F.max(F.reverse("rest")).alias("rhigh"),
+            F.max(F.length("content")).alias("longest"), F.min(F.length("content")).alias("shortest"), F.min(left).alias("least_left"),
         )
-        common = common.select("g", F.col("least.node").alias("least"), F.col("least.content").alias("least_content"), "low", "high", "rlow", "rhigh", "longest")
-        split = large.join(common, "g").select("g", "node", "content", "rest", "least", "least_content", "low", "high", "rlow", "rhigh", "longest")
-        done = materialize(split.mapInArrow(_split(max_edits), "g long, node long, content string, rest string, least long"), "line-splits")
-        links = links.unionByName(done.where("g IS NULL").select(F.col("node").alias("a"), F.col("least").alias("b")))
+        facts = ["low", "high", "rlow", "rhigh", "longest", "shortest", "least_left"]
+        common = common.select("g", F.col("least.node").alias("least"), F.col("least.content").alias("least_content"), *facts)
+        split = large.join(common, "g").select("g", "node", "content", "rest", "least", "least_content", *facts)
+        done = materialize(split.mapInArrow(_split(max_edits), "g long, node long, content string, rest string, least long, keep long, gaps string"), "line-splits")
+        kept = done.where("keep IS NOT NULL").select("keep", "gaps", "node")
+        reps = materialize(kept.groupBy("keep", "gaps").agg(F.min("node").alias("rep")), "line-kept")
+        star = kept.join(reps, ["keep", "gaps"]).where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        meet = reps.repartition("keep").sortWithinPartitions("keep").mapInArrow(_meeting, "a long, b long")
+        to_least = done.where("least IS NOT NULL").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        links = links.unionByName(materialize(to_least.unionByName(star).unionByName(meet).distinct(), "line-links", narrow=True))
         level = done.where("g IS NOT NULL").select("g", "node", "content", "rest")
 
 
@@ -540,19 +610,8 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.col("text").cast("string").alias("text"))
 
 
-def removals(docs: DataFrame, max_edits: int | None = None, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, long_words: int = LONG_WORDS, copy: float = COPY) -> DataFrame:
-    """(id, t, gone, links, classes, copy): numbers of the lines that each document loses; links of its lines to unlike lines, and the classes these stand for; whether it is a copy."""
-    texts = _identified(docs).where("text IS NOT NULL").select("id", "t", "text")
-    spark = docs.sparkSession
-    parts = max(partitions(spark), -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS))
-    facts = materialize(texts.mapInArrow(_facts(max_edits, least_chars, parts), FACTS), "line-facts")
-    found = facts.where("l1 IS NOT NULL").select(*[x.split()[0] for x in OCCURRENCES.split(", ")])  # repeated rows give theirs again
-    near = near_lines(texts.select("text"), facts.where("part IS NOT NULL").select("part", "entries").repartition(parts, "part"), max_edits, least_chars)
-    equal = found.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("id").alias("source"))
-    live = equal.join(near, ["l1", "l2"], "left").where("n >= 2 OR c1 IS NOT NULL").select("l1", "l2", "source", F.coalesce("c1", "l1").alias("c1"), F.coalesce("c2", "l2").alias("c2"), F.coalesce("near", F.lit(0)).alias("near"))
-    here = materialize(found.join(live, ["l1", "l2"]), "live-lines")
-    # Copies: what one document shares with the first that has the same line, by the runs inside the lines alone.
-    totals = materialize(found.groupBy("id", "t").agg(F.max("all_words").alias("words")), "document-words")
+def _copies(here: DataFrame, totals: DataFrame, copy: float) -> DataFrame:
+    """(id, t, copy) of documents that near-duplicate detection will take: by what one shares with the first that has the same line, by the runs inside the lines alone."""
     lesser = totals.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n >= 2")
     shared = here.where("source != id").groupBy("id", "t", "l1", "l2", "source").agg(F.max("words").alias("words"))
     shared = shared.groupBy("id", "t", "source").agg(F.sum(F.greatest(F.col("words") - (RUN - 1), F.lit(0))).alias("shared"))
@@ -561,15 +620,32 @@ def removals(docs: DataFrame, max_edits: int | None = None, least_chars: int = L
     other = totals.groupBy(F.col("id").alias("source")).agg(F.max(most).alias("other"))
     alike = shared.join(own, ["id", "t"]).join(other, "source").where(F.col("shared") >= copy * (F.col("own") + F.col("other") - F.col("shared"))).select("id", "t")
     equals = totals.join(lesser, "t").where("id > least").select("id", "t")
-    copies = alike.unionByName(equals).distinct().withColumn("copy", F.lit(True))
+    return alike.unionByName(equals).distinct().withColumn("copy", F.lit(True))
 
+
+def removals(docs: DataFrame, max_edits: int | None = None, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, long_words: int = LONG_WORDS, copy: float | None = COPY) -> DataFrame:
+    """(id, t, gone, links, classes, copy): numbers of the lines that each document loses; links of its lines to unlike lines, and the classes these stand for; whether it is a copy (none is with copy=None)."""
+    texts = _identified(docs).where("text IS NOT NULL").select("id", "t", "text")
+    spark = docs.sparkSession
+    parts = max(partitions(spark), -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS))
+    facts = materialize(texts.mapInArrow(_facts(max_edits, least_chars, parts), FACTS), "line-facts")
+    found = facts.where("l1 IS NOT NULL").select(*[x.split()[0] for x in OCCURRENCES.split(", ")])  # repeated rows give theirs again
+    near = near_lines(texts.select("text"), facts.where("part IS NOT NULL").select("part", "entries").repartitionById(parts, F.col("part")), max_edits, least_chars)
+    equal = found.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("id").alias("source"))
+    live = equal.join(near, ["l1", "l2"], "left").where("n >= 2 OR c1 IS NOT NULL").select("l1", "l2", "source", F.coalesce("c1", "l1").alias("c1"), F.coalesce("c2", "l2").alias("c2"), F.coalesce("near", F.lit(0)).alias("near"))
+    here = materialize(found.join(live, ["l1", "l2"]), "live-lines")
+    totals = materialize(found.groupBy("id", "t").agg(F.max("all_words").alias("words")), "document-words") if copy is not None else None
+    release(facts)
     classes = materialize(here.groupBy("c1", "c2", "id", "t").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.max("words").alias("words"), F.max("near").alias("near")), "line-classes")
     spread = classes.groupBy("c1", "c2").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where("docs >= 2")
     judged = classes.join(spread, ["c1", "c2"], "left")
     rule = (F.col("docs") >= F.when(F.col("words") >= long_words, F.lit(2)).otherwise(F.lit(least_docs))) & (F.col("id") != F.col("first"))
     judged = judged.select("id", "t", F.when(F.col("near") > 0, F.col("c1")).alias("class"), "near", F.slice("lines", 2, 1 << 30).alias("again"), F.when(rule, F.slice("lines", 1, 1)).alias("elsewhere"))
     lost = judged.groupBy("id", "t").agg(F.flatten(F.collect_list("again")).alias("again"), F.flatten(F.collect_list("elsewhere")).alias("elsewhere"), F.sum("near").alias("links"), F.array_sort(F.collect_set("class")).alias("classes"))
-    lost = lost.join(copies, ["id", "t"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    if copy is None:
+        lost = lost.withColumn("copy", F.lit(False))
+    else:
+        lost = lost.join(_copies(here, totals, copy), ["id", "t"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     return lost.select("id", "t", F.when(F.col("copy"), F.col("again")).otherwise(F.concat("again", "elsewhere")).alias("gone"), "links", "classes", "copy")
 
 
@@ -595,19 +671,18 @@ def _deduplicate(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
 
 def op4_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, kept_lines and removed_lines, links (of its lines to unlike lines), the classes of linked lines, and size and CRC-32 of the text that stays."""
-    rows, lost = _deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows, lost = _deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), copy=None)
     text = F.coalesce("row.text", F.lit(""))
     digests = rows.select(
         F.col("row.doc_id").alias("doc_id"), "id", "t",
         F.size(F.split(text, "\n")).cast("long").alias("kept_lines"), F.length(text).cast("long").alias("kept_chars"), F.crc32(text).alias("kept_crc32"),
     )
-    return digests.join(lost.where("size(gone) > 0 OR links > 0 OR copy"), ["id", "t"], "left").select(
+    return digests.join(lost.where("size(gone) > 0 OR links > 0"), ["id", "t"], "left").select(
         "doc_id",
         "kept_lines",
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
         F.coalesce(F.col("links"), F.lit(0)).cast("long").alias("links"),
         F.coalesce("classes", F.array().cast("array<long>")).alias("line_classes"),
-        F.coalesce(F.col("copy"), F.lit(False)).alias("copy"),
         "kept_chars",
         "kept_crc32",
     )
