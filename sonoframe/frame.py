@@ -129,16 +129,10 @@ class AudioFrame:
 
     def equalize(self, bands: list[tuple[str, float, float, float]]) -> "AudioFrame":
         """Filters in series: (kind, Hz, dB, Q). Bands that would change nothing are left out."""
-        from sonoframe.kernels.filters import biquad, equalizer
+        from sonoframe.kernels.pieces import Equalizer
 
         some = [b for b in bands if b[0] not in ("peaking", "lowshelf", "highshelf") or abs(b[2]) > 0.01]
-
-        def run(x: np.ndarray, r: int) -> np.ndarray:
-            for kind, hz, db, q in some:
-                x = biquad(x, equalizer(kind, r, hz, db, q))[0]
-            return x
-
-        return self.map_channels(run) if some else self
+        return self.along(lambda r, n: Equalizer(r, n, some)) if some else self
 
     def echo(self, delay: float, feedback: float, mix: float) -> "AudioFrame":
         from sonoframe.kernels.filters import echo
@@ -152,9 +146,15 @@ class AudioFrame:
 
     def compress(self, threshold: float = -24.0, knee: float = 30.0, ratio: float = 4.0, attack: float = 0.003, release: float = 0.25, makeup: float | None = None) -> "AudioFrame":
         """Channels of a clip are turned down together; without a makeup in dB the settings' own is taken."""
-        from sonoframe.kernels.filters import compress
+        from sonoframe.kernels.filters import Compressor
+
+        return self.along(lambda r, n: Compressor(r, n, threshold, knee, ratio, attack, release, makeup))
+
+    def along(self, make: Callable[[int, int], object]) -> "AudioFrame":
+        """An effect of carried state (`kernels.pieces`), made by make(rate, channels), that keeps lengths. A clip passes through its task block by block."""
+        from sonoframe.streaming.pieces import along
 
-        return self._map_clips(lambda xs, r: compress(xs, r, threshold=threshold, knee=knee, ratio=ratio, attack=attack, release=release, makeup=makeup))
+        return AudioFrame(self.clips, along(self.blocks.join(self.clips.select("clip_id", "sample_rate", "channels"), "clip_id"), make))
 
     def _map_clips(self, f: Callable[[list[np.ndarray], int], list[np.ndarray]]) -> "AudioFrame":
         """Applies f(channels, rate), which may change the length but not the rate."""

@@ -42,6 +42,36 @@ def loudness_range(powers: DataFrame, absolute: float = -70.0, relative: float =
     return powers.select("key").distinct().join(ranks, "key", "left").select("key", F.coalesce(F.col("hi") - F.col("lo"), F.lit(0.0)).alias("range"))
 
 
+def cell_powers(cells: DataFrame, block_s: float, hop_s: float) -> DataFrame:
+    """(key, b, power) of sliding blocks from energies between their edges: cells (key, rate, start, stop, energy). Only whole blocks."""
+    block, hop = (N.round_half_up(F.lit(s) * F.col("rate")).cast("long") for s in (block_s, hop_s))
+    ends = cells.groupBy("key").agg(F.max("stop").alias("n"))
+    sized = cells.join(ends, "key").select("key", "start", "energy", "n", block.alias("block"), hop.alias("hop"))
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start") - F.col("block")) / F.col("hop")) + 1)
+    at = sized.withColumn("b", F.explode(F.sequence(first, F.floor(F.col("start") / F.col("hop"))))).where(F.col("b") * F.col("hop") + F.col("block") <= F.col("n"))
+    return at.groupBy("key", "b").agg((F.sum("energy") / F.first("block")).alias("power"))
+
+
+def cell_loudness(cells: DataFrame) -> DataFrame:
+    """(key, integrated, range, peak in dB) of cells (key, rate, start, stop, energy, peak), whatever wrote them: a batch or a stream so far.
+
+    A clip shorter than a momentary block is measured as a whole and has no range; silence has an integrated loudness of minus infinity.
+    """
+    silence = F.lit(float("-inf"))
+    whole = cells.groupBy("key").agg(F.max("stop").alias("n"), F.first("rate").alias("rate"), F.sum("energy").alias("energy"), F.max("peak").alias("top"))
+    short = F.col("n") < N.round_half_up(F.lit(0.4) * F.col("rate"))
+    all_power = F.col("energy") / F.greatest(F.lit(1), F.col("n"))
+    gated = gated_loudness(cell_powers(cells, 0.4, 0.1)).select("key", "loudness")
+    ranged = loudness_range(cell_powers(cells, 3.0, 1.0))
+    joined = whole.join(gated, "key", "left").join(ranged, "key", "left")
+    return joined.select(
+        "key",
+        F.when(short, F.when(all_power > 0, N.power_lufs(all_power)).otherwise(silence)).otherwise(F.coalesce("loudness", silence)).alias("integrated"),
+        F.coalesce("range", F.lit(0.0)).alias("range"),
+        F.when(F.col("top") > 0, 20 * F.log10("top")).otherwise(silence).alias("peak"),
+    )
+
+
 def silence_regions(e: DataFrame, threshold: float, least: int, key: str = "key", index: str = "w", value: str = "rms") -> DataFrame:
     """(key, start, stop): runs of at least `least` neighbouring windows under the threshold; stop is past the last."""
     quiet = e.where(F.col(value) < threshold)
