@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from sonoframe import schema
 from sonoframe.frame import AudioFrame
 from sonoframe.kernels import classify, demix, filters, mux, sampling, spectrum
-from sonoframe.operators import votes
+from sonoframe.operators import series, votes
 from sonoframe.plans.signal import _t
 from sonoframe.sources import headers, wav
+from sonoframe.streaming import pieces
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,9 +73,11 @@ def clip_loudness(spark, sf_dir):
     return clips(spark, sf_dir).loudness()
 
 
-@query()
+@query("SELECT 's' || s_suppkey AS clip_id, (80 + s_suppkey % 90)::BIGINT AS bpm, 60 / (80 + s_suppkey % 90)::DOUBLE < .5 AS fast, 0::BIGINT AS beats_off FROM supplier")
 def clip_tempo(spark, sf_dir):
-    return clips(spark, sf_dir).tempo()
+    """Clicks at each clip's pace, from its beginning on: beats a minute, whether a beat is under half a second, and how far the grid is off the clicks, in twentieths of a second."""
+    off = F.pmod(F.col("beat_offset") + F.col("beat_period") / 2, F.col("beat_period")) - F.col("beat_period") / 2
+    return clips(spark, sf_dir).tempo().select("clip_id", F.round("bpm").cast("long").alias("bpm"), (F.round("beat_period", 3) < 0.5).alias("fast"), F.abs(F.round(off * 20)).cast("long").alias("beats_off"))
 
 
 @query()
@@ -157,6 +160,42 @@ def clip_levels(spark, sf_dir):
     return clips(spark, sf_dir).levels().select("clip_id", F.round("peak", 4).alias("peak"), F.round("rms", 4).alias("rms"))
 
 
+class _WeightedEnergy:
+    """Energy of a sound after K-weighting, piece by piece, in double precision."""
+
+    def __init__(self, rate: float, channels: int):
+        self.filters, self.states = filters.k_weighting(rate), [None, None]
+
+    def push(self, samples: np.ndarray) -> list[tuple]:
+        x = samples[0]
+        for k, f in enumerate(self.filters):
+            x, self.states[k] = filters.biquad(x, f, self.states[k])
+        return [(0, len(x), float(x @ x), float(np.abs(samples).max(initial=0.0)))]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+#: The two stages of ITU-R BS.1770 weighting at 48 kHz, as the recommendation prints them (fixed values).
+_STAGE_1 = "1.53512485958697 * el.x - 2.69169618940638 * s.x1 + 1.19839281085285 * s.x2 + 1.69065929318241 * s.u1 - 0.73248077421585 * s.u2"
+_STAGE_2 = f"({_STAGE_1}) - 2 * s.u1 + s.u2 + 1.99004745483398 * s.y1 - 0.99007225036621 * s.y2"
+
+
+@query(f"""WITH l AS (SELECT user_id AS key, count(*) AS n, max(abs(value::FLOAT::DOUBLE)) AS peak,
+  list({{'x': value::FLOAT::DOUBLE, 'x1': 0::DOUBLE, 'x2': 0::DOUBLE, 'u1': 0::DOUBLE, 'u2': 0::DOUBLE, 'y1': 0::DOUBLE, 'y2': 0::DOUBLE, 'e': 0::DOUBLE}} ORDER BY ts, event_id) AS v FROM events GROUP BY user_id),
+r AS (SELECT key, n, peak, list_reduce(list_prepend({{'x': 0::DOUBLE, 'x1': 0::DOUBLE, 'x2': 0::DOUBLE, 'u1': 0::DOUBLE, 'u2': 0::DOUBLE, 'y1': 0::DOUBLE, 'y2': 0::DOUBLE, 'e': 0::DOUBLE}}, v),
+  lambda s, el: {{'x': el.x, 'x1': el.x, 'x2': s.x1, 'u1': {_STAGE_1}, 'u2': s.u1, 'y1': {_STAGE_2}, 'y2': s.y1, 'e': s.e + pow({_STAGE_2}, 2)}}) AS s FROM l)
+SELECT key::VARCHAR AS key, n, round(s.e, 3) AS energy, round(peak, 3) AS peak FROM r""")
+def carried_filter(spark, sf_dir):
+    """Each user's values as a sound at 48 kHz: K-weighted energy by filters whose state is carried from block to block."""
+    s = series.sampled(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    block = F.floor(F.col("i") / 64)  # short blocks, so that state is carried
+    listed = s.groupBy(F.col("key").cast("string").alias("clip_id"), block.cast("int").alias("block_idx")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("rows"))
+    blocks = listed.select("clip_id", F.lit(0).alias("channel"), "block_idx", (F.col("block_idx").cast("long") * 64).alias("start"), F.transform("rows", lambda r: r["v"].cast("float")).alias("samples"), F.lit(48000).alias("sample_rate"), F.lit(1).alias("channels"))
+    cells = pieces.along(blocks, _WeightedEnergy, pieces.Cells)
+    return cells.groupBy(F.col("clip_id").alias("key")).agg(F.sum("stop").alias("n"), F.round(F.sum("energy"), 3).alias("energy"), F.round(F.max("peak"), 3).alias("peak"))
+
+
 @query()
 def equalizer_curves(spark, sf_dir):
     """Response in dB at each supplier's frequency of a shelf, a peak and a band filter."""

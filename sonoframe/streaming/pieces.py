@@ -24,7 +24,7 @@ CELLS = "clip_id string, sample_rate int, start long, stop long, energy double,
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class _Sound:
+class Sound:
     """Rows of blocks of what an effect gives, in blocks of the usual size from the clip's start on."""
 
     schema = schema.BLOCKS
@@ -45,7 +45,7 @@ class _Sound:
             self.held = whole
 
 
-class _Cells:
+class Cells:
     """Rows of loudness cells."""
 
     schema = CELLS
@@ -61,7 +61,7 @@ def _kinds(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in ddl.split(", "))])
 
 
-def along(blocks: DataFrame, make: Callable[[float, int], object], out: type = _Sound) -> DataFrame:
+def along(blocks: DataFrame, make: Callable[[float, int], object], out: type = Sound) -> DataFrame:
     """An effect over all clips in batch: one shuffle by clip, then block by block."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ class _Stateful(StatefulProcessor):
         pass
 
 
-def streamed(blocks: DataFrame, make: Callable[[float, int], object], out: type = _Sound, patience: int = 8) -> DataFrame:
+def streamed(blocks: DataFrame, make: Callable[[float, int], object], out: type = Sound, patience: int = 8) -> DataFrame:
     """An effect over a stream of blocks that may come in any order (see `InOrder` for late and missing ones). The session's state store must be `STORE`'s.
 
     A stream has no end, so what an effect holds back (a look-ahead, an open cell, the rest of a block) comes with the blocks that follow.
@@ -125,4 +125,4 @@ def streamed(blocks: DataFrame, make: Callable[[float, int], object], out: type
 
 def loudness_cells(blocks: DataFrame, patience: int = 8) -> DataFrame:
     """Rows (clip_id, sample_rate, start, stop, energy, peak) of K-weighted cells, of a table or a stream of blocks."""
-    return streamed(blocks, LoudnessCells, _Cells, patience) if blocks.isStreaming else along(blocks, LoudnessCells, _Cells)
+    return streamed(blocks, LoudnessCells, Cells, patience) if blocks.isStreaming else along(blocks, LoudnessCells, Cells)
