@@ -97,18 +97,21 @@ def gap_share(s: DataFrame, per_group: int, key: str = "key", index: str = "w",
     return shares.groupBy(key).agg(F.avg("share").alias("gaps"))
 
 
-def snap_cuts(spans: DataFrame, silences: DataFrame, parts: int, reach_share: float = 0.08, reach_most: float = 45.0) -> DataFrame:
-    """(key, points, snapped) for (key, seconds) and (key, start, stop) of silences.
+def snap_cuts(spans: DataFrame, silences: DataFrame, parts: int | None, reach_share: float = 0.08, reach_most: float = 45.0) -> DataFrame:
+    """(key, points, snapped) for (key, seconds) and (key, start, stop) of silences; with parts=None a column `parts` of the spans says how many, and is kept.
 
     Each even cut moves to the middle of the longest silence within reach, if that is over half a second past the cut before. The
-    candidates are found by a join that groups by (key, cut); the order matters only in the fold over a key's few cuts.
+    candidates are found by a join that groups by (key, parts, cut); the order matters only in the fold over a key's few cuts.
     """
-    reach = F.least(F.col("seconds") / parts * reach_share, F.lit(reach_most))
-    cuts = spans.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(parts - 1)))).withColumn("nominal", F.col("seconds") * F.col("k") / parts).withColumn("reach", reach)
+    sized = spans if parts is None else spans.withColumn("parts", F.lit(parts))
+    reach = F.least(F.col("seconds") / F.col("parts") * reach_share, F.lit(reach_most))
+    several = sized.where("parts > 1").withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("parts") - 1).cast("int"))))
+    cuts = several.withColumn("nominal", F.col("seconds") * F.col("k") / F.col("parts")).withColumn("reach", reach)
     mids = silences.select("key", ((F.col("start") + F.col("stop")) / 2).alias("mid"), (F.col("stop") - F.col("start")).alias("len"), "start").where("len > 0")
     near = cuts.join(mids, "key").where(F.abs(F.col("mid") - F.col("nominal")) <= F.col("reach"))
-    best = near.groupBy("key", "k").agg(F.min_by("mid", F.struct(-F.col("len"), F.col("start"))).alias("best"))
-    listed = cuts.join(best, ["key", "k"], "left").groupBy("key", "seconds").agg(F.array_sort(F.collect_list(F.struct("k", "nominal", "best"))).alias("cuts"))
+    best = near.groupBy("key", "parts", "k").agg(F.min_by("mid", F.struct(-F.col("len"), F.col("start"))).alias("best"))
+    listed = cuts.join(best, ["key", "parts", "k"], "left").groupBy("key", "parts").agg(F.array_sort(F.collect_list(F.struct("k", "nominal", "best"))).alias("cuts"))
+    listed = sized.join(listed, ["key", "parts"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<k:int,nominal:double,best:double>>")))
     start = F.struct(F.array(F.lit(0.0)).alias("points"), F.lit(0).alias("snapped"))
 
     def step(acc, c):
@@ -116,4 +119,5 @@ def snap_cuts(spans: DataFrame, silences: DataFrame, parts: int, reach_share: fl
         return F.struct(F.concat(acc["points"], F.array(F.when(ok, c["best"]).otherwise(c["nominal"]))).alias("points"), (acc["snapped"] + ok.cast("int")).alias("snapped"))
 
     folded = listed.withColumn("f", F.aggregate("cuts", start, step))
-    return folded.select("key", F.concat("f.points", F.array("seconds")).alias("points"), F.col("f.snapped").alias("snapped"))
+    named = ["key"] if parts is not None else ["key", "parts"]
+    return folded.select(*named, F.concat("f.points", F.array(F.col("seconds").cast("double"))).alias("points"), F.col("f.snapped").alias("snapped"))

@@ -5,10 +5,13 @@ Facts meet a fixed set of destinations and codecs, so routes are one explode of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions import delivery as D
+from sonoframe.operators.gating import snap_cuts
 
 MB = 1024 * 1024
 # Destination, limits in MB by name, codecs in order of preference, encoding overhead, limit in MB of the way round.
@@ -100,3 +103,69 @@ def explain(all_routes: DataFrame) -> DataFrame:
         .when(F.col("instant"), "several_files_no_download").otherwise("better_in_several_files")
     )
     return r.select(*all_routes.columns, reason.alias("reason"), (F.col("ordinal") == F.col("_best")).alias("recommended"))
+
+
+#: Passes of encoding before a plan is given up, numbers of parts that are tried in one pass, and what is added to a measured inflation.
+PASSES, COUNTS, MARGIN = 4, 8, 1.02
+
+
+def fitting_cuts(plans: DataFrame, silences: DataFrame, cost: Callable[[Column], Column]) -> DataFrame:
+    """Adds (parts, points) to plans (key, seconds, wanted, budget, ...): cuts near pauses whose parts all cost at most the budget.
+
+    Numbers of parts from `wanted` on are worked out side by side and the least that passes is taken; if none of COUNTS passes, cuts are
+    even at the number after them. cost: bytes of a plan's seconds, an expression over the plan's columns.
+    """
+    counts = plans.withColumn("parts", F.explode(F.sequence(F.greatest(F.lit(1), F.col("wanted").cast("int")), F.greatest(F.lit(1), F.col("wanted").cast("int")) + COUNTS)))
+    snapped = snap_cuts(counts.select("key", "seconds", "parts"), silences, None).select("key", "parts", "points")
+    tried = counts.join(snapped, ["key", "parts"])
+    lengths = F.transform(F.slice("points", 2, F.col("parts")), lambda p, k: p - F.col("points")[k])
+    last = F.col("parts") == F.greatest(F.lit(1), F.col("wanted").cast("int")) + COUNTS
+    even = F.transform(F.sequence(F.lit(0), F.col("parts")), lambda k: F.col("seconds") * k / F.col("parts"))
+    passing = tried.where(last | F.forall(lengths, lambda s: cost(s) <= F.col("budget"))).withColumn("points", F.when(last, even).otherwise(F.col("points")))
+    return plans.join(passing.groupBy("key").agg(F.min(F.struct("parts", "points")).alias("c")).select("key", "c.*"), "key")
+
+
+def encoded_plans(plans: DataFrame, silences: DataFrame, encode: Callable[[DataFrame], DataFrame], estimate: Callable[[Column], Column], passes: int = PASSES) -> DataFrame:
+    """(key, attempts, parts, largest, inflation, fits): plans (key, seconds, budget, ...) cut, encoded, measured, and planned anew where a part is over the budget.
+
+    encode(parts) gets rows (key, part, start, stop, ...) and gives (key, part, bytes); any encoder fits in. estimate(seconds) is what a
+    plan counts with. A plan that does not fit is cut again at the inflation that its worst part showed and a little more, into more
+    parts than before; only such plans go into the next pass. After the last pass they are given as not fitting.
+    """
+    state = plans.withColumns({"inflation": F.lit(1.0), "wanted": F.greatest(F.lit(1), F.ceil(estimate(F.col("seconds")) / F.col("budget"))).cast("long")})
+    done = None
+    for attempt in range(1, passes + 1):
+        cost = lambda s: estimate(s) * F.col("inflation")
+        least = F.when((F.col("wanted") > 1) | (cost(F.col("seconds")) > F.col("budget")), F.greatest(F.lit(2).cast("long"), F.col("wanted"))).otherwise(F.lit(1).cast("long"))
+        one = state.withColumn("wanted", least)
+        whole = F.array(F.lit(0.0), F.col("seconds").cast("double"))
+        cut = one.where("wanted = 1").withColumns({"parts": F.lit(1), "points": whole}).unionByName(fitting_cuts(one.where("wanted > 1"), silences, cost))
+        pieces = cut.select("*", F.posexplode(F.slice("points", 2, F.col("parts"))).alias("part", "stop")).withColumn("start", F.col("points")[F.col("part")])
+        weighed = pieces.select("key", "part", estimate(F.col("stop") - F.col("start")).alias("expected")).join(encode(pieces.drop("points")), ["key", "part"])
+        seen = weighed.groupBy("key").agg(F.max("bytes").alias("largest"), F.max(F.col("bytes") / F.col("expected")).alias("worst"))
+        judged = cut.drop("points").join(seen, "key").withColumn("fits", F.col("largest") <= F.col("budget")).persist()
+        over = ~F.col("fits") if attempt < passes else F.lit(False)
+        out = judged.where(~over).select("key", F.lit(attempt).alias("attempts"), "parts", "largest", F.round("inflation", 6).alias("inflation"), "fits")
+        done = out if done is None else done.unionByName(out)
+        if attempt == passes or judged.where(over).isEmpty():
+            return done
+        state = judged.where(over).withColumn("inflation", F.greatest("inflation", "worst") * MARGIN)
+        state = state.withColumn("wanted", F.greatest(F.col("parts") + 1, F.ceil(estimate(F.col("seconds")) * F.col("inflation") / F.col("budget"))).cast("long"))
+        state = state.drop("parts", "largest", "worst", "fits")
+
+
+# Destination and ceiling of the limits that are drawn into a size curve.
+LIMIT_LINES = (("discord", "free"), ("email", "work"), ("email", "gmail"))
+
+
+def limit_lines(curves: DataFrame) -> DataFrame:
+    """(key, destination, ceiling, fits, bitrate, share) for size curves (key, bitrate, bytes): the limits that fall into a curve's range.
+
+    A line stands at what a file is planned to, and is left out where no point of the curve is over it or all are. bitrate is the
+    highest that stays under it, share how far up the curve's range it stands. A curve has a point for each rung of a ladder.
+    """
+    lines = F.array(*[F.struct(F.lit(d).alias("destination"), F.lit(c).alias("ceiling"), budget(F.lit(d), F.lit(c)).alias("fits")) for d, c in LIMIT_LINES])
+    ranges = curves.groupBy("key").agg(F.min("bytes").alias("low"), F.max("bytes").alias("top"), F.collect_list(F.struct("bitrate", "bytes")).alias("points"))
+    each = ranges.withColumn("line", F.explode(lines)).where((F.col("line.fits") >= F.col("low")) & (F.col("line.fits") < F.col("top")))
+    under = F.transform(F.filter("points", lambda p: p["bytes"] <= F.col("line.fits")), lambda p: p["bitrate"])
+    return each.select("key", "line.*", F.array_max(under).alias("bitrate"), ((F.col("line.fits") - F.col("low")) / (F.col("top") - F.col("low"))).alias("share"))

@@ -126,3 +126,49 @@ def conversion_verdict(spark, sf_dir):
     kbps = D.source_kbps(F.col("n_chars") * (F.col("doc_id") % 7 + 1) * 500, F.col("n_chars") / F.lit(16.0))
     fmt = pick("mp3", "wav", "flac")
     return d.select("doc_id", D.conversion_verdict(D.is_lossy_source(pick("mp3", "wav", "flac", "opus"), F.lit(None).cast("string")), kbps, fmt == "mp3", F.lit(128), F.col("doc_id") % 2 == 1).alias("verdict"))
+
+
+#: An encoder that makes files larger than planned by a table of inflations: 1 + (key % 7) / 20.
+_PLANS = "SELECT doc_id AS key, n_chars / 4::DOUBLE AS seconds, (1 + doc_id % 3) * 2000000::BIGINT AS budget, 1 + (doc_id % 7) / 20::DOUBLE AS swells FROM documents"
+
+
+@query(f"""WITH RECURSIVE p AS ({_PLANS}),
+w AS (SELECT *, 1::DOUBLE AS inflation, greatest(1, ceil((floor(64 * 1.03 * 1000 * seconds / 8 + .5) + 2048) / budget))::BIGINT AS wanted, floor(64 * 1.03 * 1000 * seconds / 8 + .5) + 2048 AS whole FROM p),
+t AS (
+  SELECT key, seconds, budget, swells, whole, inflation, wanted, 0 AS attempt, 0::BIGINT AS parts, 0::BIGINT AS largest, false AS fits FROM w
+  UNION ALL
+  SELECT key, seconds, budget, swells, whole, inflation, greatest(parts + 1, ceil(whole * inflation / budget))::BIGINT AS wanted, attempt + 1, parts, largest, fits FROM (
+    SELECT key, seconds, budget, swells, whole, attempt, parts, largest, largest <= budget AS fits,
+      CASE WHEN largest <= budget THEN inflation ELSE greatest(inflation, largest / est) * 1.02 END AS inflation
+    FROM (
+      SELECT *, floor(est * swells)::BIGINT AS largest FROM (
+        SELECT *, floor(64 * 1.03 * 1000 * (seconds / parts) / 8 + .5) + 2048 AS est FROM (
+          SELECT *, CASE WHEN wanted = 1 AND whole * inflation <= budget THEN 1 ELSE coalesce(
+            list_min([n FOR n IN range(greatest(2, wanted), greatest(2, wanted) + 8) IF (floor(64 * 1.03 * 1000 * (seconds / n) / 8 + .5) + 2048) * inflation <= budget]), greatest(2, wanted) + 8) END AS parts
+          FROM (SELECT * EXCLUDE (parts, largest, fits) FROM t WHERE NOT fits AND attempt < 4)
+        )
+      )
+    )
+  )
+)
+SELECT key, arg_max(attempt, attempt)::BIGINT AS attempts, arg_max(parts, attempt)::BIGINT AS parts, bool_or(fits) AS fits, arg_max(largest, attempt)::BIGINT AS largest FROM t WHERE attempt > 0 GROUP BY key""")
+def replanned(spark, sf_dir):
+    """Documents as clips of speech, encoded by an encoder that overshoots: cut anew until all parts fit, four times at most."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plans = d.select(F.col("doc_id").alias("key"), (F.col("n_chars") / 4).alias("seconds"), ((1 + F.col("doc_id") % 3) * 2_000_000).alias("budget"))
+    estimate = lambda s: D.lossy_bytes(s, F.lit(64 * 1.03))
+    swells = 1 + (F.col("key") % 7) / 20
+    encode = lambda parts: parts.select("key", "part", F.floor(estimate(F.col("stop") - F.col("start")) * swells).alias("bytes"))
+    silences = spark.createDataFrame([], "key long, start double, stop double")
+    found = planner.encoded_plans(plans, silences, encode, estimate)
+    return found.select("key", F.col("attempts").cast("long").alias("attempts"), F.col("parts").cast("long").alias("parts"), "fits", F.col("largest").cast("long").alias("largest"))
+
+
+@query("""WITH c AS (SELECT doc_id AS key, unnest([16, 24, 32, 48, 64, 96, 128, 192, 256, 320]) AS bitrate, n_chars AS s FROM documents),
+b AS (SELECT *, (floor(bitrate * 1000 * s / 8 + .5) + 2048)::BIGINT AS bytes FROM c), r AS (SELECT key, min(bytes) AS low, max(bytes) AS top FROM b GROUP BY key),
+l(destination, ceiling, fits) AS (VALUES ('discord', 'free', floor(10 * 1048576 * .95)::BIGINT), ('email', 'work', floor(10 * 1048576 / 1.37 * .95)::BIGINT), ('email', 'gmail', floor(25 * 1048576 / 1.37 * .95)::BIGINT))
+SELECT r.key, destination, ceiling, fits, max(bitrate) AS bitrate, round(any_value((fits - low) / (top - low)::DOUBLE), 6) AS share FROM r JOIN l ON fits >= low AND fits < top JOIN b ON b.key = r.key AND b.bytes <= fits GROUP BY r.key, destination, ceiling, fits""")
+def limit_lines(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("s"))
+    curves = d.withColumn("bitrate", F.explode(F.array(*map(F.lit, (16, 24, 32, 48, 64, 96, 128, 192, 256, 320))))).select("key", "bitrate", D.lossy_bytes(F.col("s"), F.col("bitrate")).cast("long").alias("bytes"))
+    return planner.limit_lines(curves).withColumn("share", F.round("share", 6))
