@@ -213,6 +213,25 @@ class AudioFrame:
 
         return self._map_clips(lambda xs, r: edit.remove_silence(xs, r, threshold_db, least_s, keep_s))
 
+    def ringtone(self, start_s: float, stop_s: float, tail_s: float | None = 2.0, limit_s: float | None = 30.0) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.ringtone(xs, r, start_s, stop_s, tail_s, limit_s))
+
+    def trimmed(self, start_s: float, stop_s: float, keep: bool = True, faded: bool = True) -> "AudioFrame":
+        from sonoframe.kernels import edit
+
+        return self._map_clips(lambda xs, r: edit.trimmed(xs, r, start_s, stop_s, keep, faded))
+
+    def boost(self, mode: str = "gain", db: float = 6.0, target_db: float = -1.0) -> "AudioFrame":
+        """Louder by a gain that is held at full scale, or normalized to a peak."""
+        return self.normalize_peak(target_db) if mode == "normalize" else self.gain(db)
+
+    def smaller(self, mono: bool = False, rate: int | None = None) -> "AudioFrame":
+        """Folded to one channel, then at another rate; what is so already stays."""
+        folded = self.set_channels(1) if mono else self
+        return folded.resample(rate) if rate else folded
+
     def stereo_width(self, amount: float) -> "AudioFrame":
         from sonoframe.kernels import edit
 
@@ -231,8 +250,8 @@ class AudioFrame:
     def swap_channels(self) -> "AudioFrame":
         return AudioFrame(self.clips, self.blocks.withColumn("channel", F.when(F.col("channel") == 0, 1).when(F.col("channel") == 1, 0).otherwise(F.col("channel"))))
 
-    def concat(self, order: DataFrame, crossfade_s: float = 0.0) -> "AudioFrame":
-        """Joins clips under new names: order holds (joined, position, clip_id); the highest rate and the most channels hold for all of a join."""
+    def concat(self, order: DataFrame, crossfade_s: float = 0.0, held: bool = False) -> "AudioFrame":
+        """Joins clips under new names: order holds (joined, position, clip_id); the highest rate and the most channels hold for all of a join. held: the fade is at most half of a join's shortest clip."""
         from sonoframe.kernels import edit
 
         rated = self.blocks.join(self.clips.select("clip_id", "sample_rate"), "clip_id").join(order.select("joined", "position", "clip_id"), "clip_id")
@@ -244,7 +263,7 @@ class AudioFrame:
             for place in np.unique(places):
                 part = table.filter(pa.array(places == place))
                 parts.append((part.column("sample_rate")[0].as_py(), [x.astype(np.float64) for x in channels_of(part)]))
-            rate, channels = edit.concat(parts, crossfade_s)
+            rate, channels = edit.crossfade_join(parts, crossfade_s) if held else edit.concat(parts, crossfade_s)
             out = blocks_table(name, [np.asarray(x, np.float32) for x in channels])
             return out.append_column("sample_rate", pa.array([rate] * out.num_rows, pa.int32()))
 

@@ -97,13 +97,15 @@ def cut_out(x: Channels, rate: int, start: float, stop: float) -> Channels:
 
 
 def silences(x: Channels, rate: int, threshold_db: float = -45.0, least: float = 0.4) -> list[tuple[float, float]]:
-    """Spans (seconds) whose 10 ms windows are all under the threshold, of at least `least` seconds."""
-    size = max(1, round(rate * 0.01))
-    n = len(x[0]) // size
-    level = np.sqrt(np.mean([np.square(c[: n * size]).reshape(n, size).mean(axis=1) for c in x], axis=0)) if n else np.zeros(0)
-    quiet = np.concatenate([[False], level < 10 ** (threshold_db / 20), [False]])
-    edges = np.flatnonzero(quiet[1:] != quiet[:-1]).reshape(-1, 2)
-    return [(a * size / rate, b * size / rate) for a, b in edges.tolist() if (b - a) * size >= least * rate]
+    """Spans (seconds) whose 20 ms windows are all under the threshold, of at least `least` seconds. The last window may be shorter; a silence in it lasts to the end."""
+    size, n = max(1, int(rate * 0.02)), len(x[0])
+    if not n:
+        return []
+    starts = np.arange(0, n, size)
+    power = np.add.reduceat(np.sum([np.square(np.asarray(c, np.float64)) for c in x], axis=0), starts) / (np.diff(np.append(starts, n)) * len(x))
+    quiet = np.concatenate([[False], np.sqrt(power) < 10 ** (threshold_db / 20), [False]])
+    edges = np.append(starts, n)[np.flatnonzero(quiet[1:] != quiet[:-1])].reshape(-1, 2)
+    return [(a / rate, b / rate) for a, b in edges.tolist() if b / rate - a / rate >= least]
 
 
 def remove_silence(x: Channels, rate: int, threshold_db: float = -45.0, least: float = 0.4, keep: float = 0.08) -> Channels:
@@ -119,3 +121,35 @@ def remove_silence(x: Channels, rate: int, threshold_db: float = -45.0, least: f
     if not parts:
         return [c[: max(1, round(0.1 * rate))] for c in x]
     return concat([(rate, [c[a:b] for c in x]) for a, b in parts], SILENCE_FADE if len(parts) > 1 else 0.0)[1]
+
+
+def crossfade_join(parts: list[tuple[int, Channels]], fade_s: float) -> tuple[int, Channels]:
+    """Joins with one fade for all seams, at most half of the shortest part."""
+    shortest = min((len(x[0]) / r for r, x in parts), default=0.0)
+    return concat(parts, max(0.0, min(fade_s, shortest / 2)))
+
+
+#: Seconds of the fade that hides a cut, the least and the longest fade at a ringtone's end, and the longest ringtone.
+EDGE_FADE, LEAST_TAIL, RINGTONE = 0.02, 0.2, 30.0
+
+
+def span(x: Channels, rate: int, start: float, stop: float) -> Channels:
+    n = len(x[0])
+    a = min(n, max(0, round(start * rate)))
+    return [c[a : max(a + 1, min(n, round(stop * rate)))] for c in x]
+
+
+def ringtone(x: Channels, rate: int, start: float, stop: float, tail: float | None = 2.0, limit: float | None = RINGTONE) -> Channels:
+    """A span of at most `limit` seconds with a short fade in, and at its end one of `tail` seconds (the short one with None), both quadratic."""
+    out = span(x, rate, start, stop if limit is None else min(stop, start + limit))
+    seconds = EDGE_FADE if tail is None else min(max(tail, LEAST_TAIL), len(out[0]) / rate)
+    return fade(out, round(EDGE_FADE * rate), round(seconds * rate), "exp")
+
+
+def trimmed(x: Channels, rate: int, start: float, stop: float, keep: bool = True, faded: bool = True) -> Channels:
+    """The span alone, or all but the span; the fade is at edges that the cut made: both of a kept span, and those of the clip that a removed span reaches."""
+    out = span(x, rate, start, stop) if keep else cut_out(x, rate, start, stop)
+    if not faded:
+        return out
+    edge = round(EDGE_FADE * rate)
+    return fade(out, edge if keep or start <= 0 else 0, edge if keep or stop >= len(x[0]) / rate else 0)

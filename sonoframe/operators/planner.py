@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoframe import storage
 from sonoframe.functions import delivery as D
 from sonoframe.operators.gating import snap_cuts
 
@@ -139,11 +140,11 @@ def encoded_plans(plans: DataFrame, silences: DataFrame, encode: Callable[[DataF
         least = F.when((F.col("wanted") > 1) | (cost(F.col("seconds")) > F.col("budget")), F.greatest(F.lit(2).cast("long"), F.col("wanted"))).otherwise(F.lit(1).cast("long"))
         one = state.withColumn("wanted", least)
         whole = F.array(F.lit(0.0), F.col("seconds").cast("double"))
-        cut = one.where("wanted = 1").withColumns({"parts": F.lit(1), "points": whole}).unionByName(fitting_cuts(one.where("wanted > 1"), silences, cost))
-        pieces = cut.select("*", F.posexplode(F.slice("points", 2, F.col("parts"))).alias("part", "stop")).withColumn("start", F.col("points")[F.col("part")])
+        planned = one.where("wanted = 1").withColumns({"parts": F.lit(1), "points": whole}).unionByName(fitting_cuts(one.where("wanted > 1"), silences, cost))
+        pieces = planned.select("*", F.posexplode(F.slice("points", 2, F.col("parts"))).alias("part", "stop")).withColumn("start", F.col("points")[F.col("part")])
         weighed = pieces.select("key", "part", estimate(F.col("stop") - F.col("start")).alias("expected")).join(encode(pieces.drop("points")), ["key", "part"])
         seen = weighed.groupBy("key").agg(F.max("bytes").alias("largest"), F.max(F.col("bytes") / F.col("expected")).alias("worst"))
-        judged = cut.drop("points").join(seen, "key").withColumn("fits", F.col("largest") <= F.col("budget")).persist()
+        judged = storage.cut(planned.drop("points").join(seen, "key").withColumn("fits", F.col("largest") <= F.col("budget")))
         over = ~F.col("fits") if attempt < passes else F.lit(False)
         out = judged.where(~over).select("key", F.lit(attempt).alias("attempts"), "parts", "largest", F.round("inflation", 6).alias("inflation"), "fits")
         done = out if done is None else done.unionByName(out)

@@ -306,6 +306,25 @@ def camelot_neighbours(code: Column) -> Column:
     return F.array(F.concat(text(number), F.when(letter == "A", "B").otherwise("A")), F.concat(text((number + 10) % 12 + 1), letter), F.concat(text(number % 12 + 1), letter))
 
 
+def speed_interval(semitones: Column) -> tuple[Column, Column]:
+    """(name, direction) of what a speed does to the pitch: none within 0.02, an interval within 0.06 of one up to an octave, whole octaves beyond, else `free`."""
+    whole = F.floor(semitones + 0.5)
+    size, exact = F.abs(whole), F.abs(semitones - whole) < 0.06
+    name = F.element_at(F.array(*[F.lit(x) for x in INTERVALS]), F.least(size, F.lit(12)).cast("int") + 1)
+    octaves = F.concat((size / 12).cast("int").cast("string"), F.lit(" octaves"))
+    named = F.when(F.abs(semitones) < 0.02, "none").when(exact & (size <= 12), name).when(exact & (size % 12 == 0), octaves).otherwise("free")
+    return named, F.when(F.abs(semitones) < 0.02, "none").when(semitones > 0, "up").otherwise("down")
+
+
+#: Confidence under which the second key is as good a reading (fixed value).
+CLOSE_KEYS = 0.34
+
+
+def close_runner_up(confidence: Column, runner_up: Column) -> Column:
+    """The second key where the first is not much better, else null."""
+    return F.when(confidence < CLOSE_KEYS, runner_up)
+
+
 def note_panel(notes: DataFrame, scale: tuple[int, ...] = (0, 2, 4, 5, 7, 9, 11)) -> DataFrame:
     """(key, note, share, in_key) of (key, note, energy): shares of the loudest note, which is taken as the tonic; of equals the lowest."""
     top = notes.groupBy("key").agg(F.max("energy").alias("most"), F.max_by("note", F.struct(F.col("energy"), -F.col("note"))).alias("tonic"))

@@ -6,6 +6,11 @@ long key is never held by one task for it.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +154,92 @@ def stride_sample(s: DataFrame, stride: int) -> DataFrame:
     return s.where(F.col("i") % stride == 0)
 
 
+#: Most pairs that a scatter of two channels is drawn from (fixed value).
+SCATTER_PAIRS = 12_000
+
+
+def strided_pairs(s: DataFrame, lengths: DataFrame, most: int = SCATTER_PAIRS) -> DataFrame:
+    """(key, k, l, r) of (key, i, l, r): every stride-th pair, at most `most`. The stride is one more than the whole quotient, so that it is no round part of a rate; the last sample is never taken."""
+    stride = F.floor(F.col("n") / F.least(F.lit(most), F.col("n"))) + 1
+    at = s.join(lengths.select("key", "n", stride.alias("stride")), "key").where(F.col("i") % F.col("stride") == 0)
+    at = at.where((F.col("i") + 1 < F.col("n")) & (F.col("i") / F.col("stride") < F.floor(F.col("n") / F.col("stride"))))
+    return at.select("key", (F.col("i") / F.col("stride")).cast("long").alias("k"), "l", "r")
+
+
+def spread_blocks(s: DataFrame, size: int, most: int) -> DataFrame:
+    """Adds (b, p): samples of at most `most` blocks of `size`, spread evenly from the first sample to the last; p is the place in the block. Shorter keys have none.
+
+    Where a block may begin follows from its number, and so does the number from a sample's place: no join with the blocks.
+    """
+    n = s.groupBy("key").agg((F.max("i") + 1).alias("_n")).where(F.col("_n") >= size)
+    last, room = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("_n") / size))) - 1, F.col("_n") - size
+    sized = s.join(n.select("key", last.cast("long").alias("_k"), room.cast("long").alias("_d")), "key")
+    b = F.when((F.col("_k") == 0) | (F.col("_d") == 0), 0).otherwise(F.least(F.col("_k"), F.expr("(_k * (i + 1) + _d - 1) div _d - 1")))
+    placed = sized.withColumn("b", b.cast("long")).withColumn("p", F.col("i") - F.expr("b * _d div greatest(1, _k)"))
+    return placed.where(F.col("p") < size).drop("_k", "_d")
+
+
+def block_correlation(stereo: DataFrame, size: int, most: int = 600) -> DataFrame:
+    """(key, b, correlation, energy) of (key, i, l, r): likeness of two channels block by block; silent blocks read 0 and weigh nothing."""
+    sums = spread_blocks(stereo, size, most).groupBy("key", "b").agg(F.sum(F.col("l") * F.col("r")).alias("lr"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("r") * F.col("r")).alias("rr"))
+    scale = F.sqrt(F.col("ll") * F.col("rr"))
+    return sums.select("key", "b", F.when(scale > 1e-12, F.col("lr") / scale).otherwise(0.0).alias("correlation"), (F.col("ll") + F.col("rr")).alias("energy"))
+
+
+def overall_correlation(blocks: DataFrame) -> DataFrame:
+    """(key, blocks, overall, least) of block_correlation's rows, weighted by energy; 0 for silence."""
+    overall = F.when(F.sum("energy") > 0, F.sum(F.col("correlation") * F.col("energy")) / F.sum("energy")).otherwise(0.0)
+    return blocks.groupBy("key").agg(F.count("*").alias("blocks"), overall.alias("overall"), F.min("correlation").alias("least"))
+
+
+# Centres of the octave bands of a mono report, and how far under the loudest a band has no reading.
+OCTAVES, READABLE = (63, 125, 250, 500, 1000, 2000, 4000, 8000, 16000), 1e-4
+
+
+def side_shares(stereo: DataFrame, rate: float, size: int = 4096, most: int = 48) -> DataFrame:
+    """(key, hz, share, lost) of (key, i, l, r): what part of each octave band, and of all, is in the difference of two channels and goes when they are summed.
+
+    Spectra of evenly spread frames are worked out frame by frame; only their bands' energies meet at a key. A band 40 dB under the loudest has no share.
+    """
+    frames = spread_blocks(stereo, size, most).groupBy("key", "b").agg(F.array_sort(F.collect_list(F.struct("p", "l", "r"))).alias("rows"))
+    whole = frames.select("key", F.transform("rows", lambda x: x["l"].cast("double")).alias("l"), F.transform("rows", lambda x: x["r"].cast("double")).alias("r"))
+    kind = stereo.schema["key"].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, half = rate / size, size // 2
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+        spans = [(max(1, math.floor(c / math.sqrt(2) / width)), min(half - 1, math.ceil(c * math.sqrt(2) / width))) for c in OCTAVES]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.asarray(batch.column(c).flatten(), np.float64).reshape(-1, size) for c in "lr")
+            mid, side = (np.abs(np.fft.rfft(x / 2 * window, axis=1)[:, :half]) ** 2 for x in (left + right, left - right))
+            for hz, (a, b) in [(0, (1, half - 1)), *zip(OCTAVES, spans)]:
+                rows = [pa.array(x[:, a : b + 1].sum(axis=1)) for x in (mid, side)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([hz] * batch.num_rows, pa.int32()), *rows], ["key", "hz", "mid", "side"])
+
+    bands = whole.mapInArrow(kernel, f"key {kind}, hz int, mid double, side double").groupBy("key", "hz").agg(F.sum("mid").alias("mid"), F.sum("side").alias("side"))
+    total = F.col("mid") + F.col("side")
+    lost = bands.where("hz = 0").select("key", F.when(total > 0, F.col("side") / total).otherwise(0.0).alias("lost"))
+    tops = bands.where("hz > 0").groupBy("key").agg(F.max(total).alias("top"))
+    share = F.when((total > 0) & (total >= F.col("top") * READABLE), F.col("side") / total)
+    return bands.where("hz > 0").join(tops, "key").join(lost, "key").select("key", "hz", share.alias("share"), "lost")
+
+
+def typical_level(s: DataFrame, window: int, floor_db: float = -60.0, share: float = 0.95) -> DataFrame:
+    """(key, level) of (key, i, v), all channels together: the level in dB that `share` of the windows' peaks stay under; windows of near silence don't count, a last part one neither.
+
+    Equal levels are counted before they are ranked.
+    """
+    n = s.groupBy("key").agg((F.max("i") + 1).alias("n"))
+    peaks = s.groupBy("key", F.floor(F.col("i") / window).alias("w")).agg(F.max(F.abs("v")).alias("peak")).join(n, "key").where(((F.col("w") + 1) * window <= F.col("n")) & (F.col("peak") > 1e-5))
+    counted = peaks.groupBy("key", "peak").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("key").orderBy("peak"))
+    rank = F.least(F.sum("m").over(Window.partitionBy("key")) - 1, F.floor(F.sum("m").over(Window.partitionBy("key")) * share))
+    top = counted.select("key", "peak", upto.alias("upto"), rank.alias("rank")).where("upto > rank").groupBy("key").agg(F.min("peak").alias("peak"))
+    return n.select("key").join(top, "key", "left").select("key", F.coalesce(20 * F.log10("peak"), F.lit(floor_db)).alias("level"))
+
+
 def probe_ranges(lengths: DataFrame, span: int, centres: tuple[float, ...] = (0.2, 0.5, 0.8)) -> DataFrame:
     """(key, start, stop): at most `span` samples around shares of each key, equal starts once."""
     size = F.least(F.lit(span), F.col("n"))

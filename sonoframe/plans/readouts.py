@@ -339,3 +339,18 @@ def chunk_geometry(spark, sf_dir):
     z = F.col("p_size")
     chunk, trim, made = R.chunk_geometry(256 * (1 + z % 4), 128 + z, 1024 * (2 + z % 5))
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), chunk.cast("long").alias("chunk"), trim.alias("trim"), made.cast("long").alias("made"))
+
+
+@query(f"""WITH d AS (SELECT p_partkey AS key, CASE p_partkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN (p_size - 25)::DOUBLE WHEN 2 THEN p_size - 25 + .05 WHEN 3 THEN p_size - 25 + .3 ELSE (p_size % 5 - 2) * 12::DOUBLE END AS t FROM part)
+SELECT key, CASE WHEN abs(t) < .02 THEN 'none' WHEN abs(t - floor(t + .5)) < .06 AND abs(floor(t + .5)) <= 12 THEN {list(R.INTERVALS)!r}[abs(floor(t + .5))::INT + 1]
+  WHEN abs(t - floor(t + .5)) < .06 AND abs(floor(t + .5)) % 12 = 0 THEN (abs(floor(t + .5)) / 12)::INT || ' octaves' ELSE 'free' END AS name, CASE WHEN abs(t) < .02 THEN 'none' WHEN t > 0 THEN 'up' ELSE 'down' END AS direction FROM d""")
+def speed_intervals(spark, sf_dir):
+    size, kind = F.col("p_size") - 25, F.col("p_partkey") % 5
+    t = F.when(kind == 0, 0.01).when(kind == 1, size.cast("double")).when(kind == 2, size + 0.05).when(kind == 3, size + 0.3).otherwise((F.col("p_size") % 5 - 2) * 12.0)
+    name, direction = R.speed_interval(t)
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), name.alias("name"), direction.alias("direction"))
+
+
+@query("SELECT p_partkey AS key, CASE WHEN (p_retailprice % 100) / 100 < .34 THEN p_brand END AS close FROM part")
+def close_keys(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), R.close_runner_up((F.col("p_retailprice") % 100) / 100, F.col("p_brand")).alias("close"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions import numeric as N
@@ -251,3 +251,52 @@ def quiet_sessions(spark, sf_dir):
 @query("SELECT user_id AS key, epoch_us(date_trunc('hour', ts)) AS start, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY ALL")
 def event_levels(spark, sf_dir):
     return levels.event_levels(_t(spark, sf_dir, "events")).select("key", F.unix_micros("start").alias("start"), F.round("rms", 6).alias("rms"))
+
+
+ST = "s AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS l, value * (event_id % 7 - 3) / 3 AS r FROM events), n AS (SELECT key, max(i) + 1 AS n FROM s GROUP BY key)"
+
+
+def stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, i, l, r): a user's values, and the same at a gain and side that changes from event to event."""
+    e = _t(spark, sf_dir, "events").withColumn("both", F.struct(F.col("value").alias("l"), (F.col("value") * (F.col("event_id") % 7 - 3) / 3).alias("r")))
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return e.select(F.col("user_id").alias("key"), i.cast("long").alias("i"), "both.l", "both.r")
+
+
+def _spread(size: int, most: int) -> str:
+    """SQL of evenly spread blocks: (key, b, start)."""
+    return f"""b AS (SELECT key, n, least({most}, greatest(1, n // {size})) AS blocks FROM n WHERE n >= {size}),
+p AS (SELECT key, k AS b, least(n - {size}, k * (n - {size}) // greatest(1, blocks - 1)) AS start FROM (SELECT *, unnest(range(blocks)) AS k FROM b))"""
+
+
+@query(f"""WITH {ST}, {_spread(5, 6)}, c AS (SELECT p.key, b, sum(l * r) AS lr, sum(l * l) AS ll, sum(r * r) AS rr FROM p JOIN s ON s.key = p.key AND i >= start AND i < start + 5 GROUP BY ALL),
+v AS (SELECT key, CASE WHEN sqrt(ll * rr) > 1e-12 THEN lr / sqrt(ll * rr) ELSE 0 END AS c, ll + rr AS e FROM c)
+SELECT key, count(*) AS blocks, round(CASE WHEN sum(e) > 0 THEN sum(c * e) / sum(e) ELSE 0 END, 6) AS overall, round(min(c), 6) AS least FROM v GROUP BY key""")
+def block_correlation(spark, sf_dir):
+    c = series.overall_correlation(series.block_correlation(stereo(spark, sf_dir), 5, 6))
+    return c.select("key", "blocks", F.round("overall", 6).alias("overall"), F.round("least", 6).alias("least"))
+
+
+@query(f"""WITH {ST}, {_spread(16, 3)}, f AS (SELECT p.key, p.b, i - start AS q, (l + r) / 2 * (.5 - .5 * cos(2 * pi() * (i - start) / 16)) AS m, (l - r) / 2 * (.5 - .5 * cos(2 * pi() * (i - start) / 16)) AS d FROM p JOIN s ON s.key = p.key AND i >= start AND i < start + 16),
+z AS (SELECT key, b, k, pow(sum(m * cos(2 * pi() * k * q / 16)), 2) + pow(sum(m * sin(2 * pi() * k * q / 16)), 2) AS mid, pow(sum(d * cos(2 * pi() * k * q / 16)), 2) + pow(sum(d * sin(2 * pi() * k * q / 16)), 2) AS side FROM f, range(8) t(k) GROUP BY ALL),
+e AS (SELECT key, k, sum(mid) AS mid, sum(side) AS side FROM z GROUP BY ALL), o AS (SELECT unnest([63, 125, 250, 500, 1000, 2000, 4000, 8000, 16000]) AS hz),
+g AS (SELECT key, hz, coalesce(sum(mid) FILTER (k BETWEEN greatest(1, floor(hz / sqrt(2) / 125)) AND least(7, ceil(hz * sqrt(2) / 125))), 0) AS mid, coalesce(sum(side) FILTER (k BETWEEN greatest(1, floor(hz / sqrt(2) / 125)) AND least(7, ceil(hz * sqrt(2) / 125))), 0) AS side FROM e, o GROUP BY key, hz),
+t AS (SELECT key, max(mid + side) AS top FROM g GROUP BY key), w AS (SELECT key, sum(side) / sum(mid + side) AS lost FROM e WHERE k >= 1 GROUP BY key)
+SELECT g.key, hz, round(CASE WHEN mid + side > 0 AND mid + side >= top / 10000 THEN side / (mid + side) END, 6) AS share, round(lost, 6) AS lost FROM g JOIN t USING (key) JOIN w USING (key)""")
+def side_shares(spark, sf_dir):
+    found = series.side_shares(stereo(spark, sf_dir), 2000, 16, 3)
+    return found.select("key", "hz", F.round("share", 6).alias("share"), F.round("lost", 6).alias("lost"))
+
+
+@query(f"""WITH {S}, n AS (SELECT key, max(i) + 1 AS n FROM s GROUP BY key), w AS (SELECT key, i // 3 AS w, max(abs(v)) AS peak FROM s GROUP BY ALL),
+k AS (SELECT key, peak, row_number() OVER (PARTITION BY key ORDER BY peak) - 1 AS r, count(*) OVER (PARTITION BY key) AS m FROM w JOIN n USING (key) WHERE (w + 1) * 3 <= n AND peak > 1e-5)
+SELECT n.key, round(coalesce(20 * log10(max(peak) FILTER (r = least(m - 1, floor(m * .95)))), -60), 6) AS level FROM n LEFT JOIN k ON k.key = n.key GROUP BY n.key""")
+def typical_level(spark, sf_dir):
+    return series.typical_level(samples(spark, sf_dir), 3).select("key", F.round("level", 6).alias("level"))
+
+
+@query(f"""WITH {ST}, t AS (SELECT key, n, floor(n / least(20, n)) + 1 AS stride FROM n)
+SELECT s.key, (i // stride)::BIGINT AS k, l, round(r, 6) AS r FROM s JOIN t ON t.key = s.key WHERE i % stride = 0 AND i + 1 < n AND i // stride < floor(n / stride)""")
+def strided_pairs(spark, sf_dir):
+    s = stereo(spark, sf_dir)
+    return series.strided_pairs(s, s.groupBy("key").agg((F.max("i") + 1).alias("n")), 20).select("key", "k", "l", F.round("r", 6).alias("r"))
