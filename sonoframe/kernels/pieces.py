@@ -13,6 +13,7 @@ import numpy as np
 
 from sonoframe.kernels.filters import biquad, equalizer, k_weighting
 from sonoframe.kernels.loudness import BLOCK_S, HOP_S, RANGE_BLOCK_S, RANGE_HOP_S, channel_weight
+from sonoframe.kernels.sampling import PEAK_REACH, true_peak
 
 
 class Equalizer:
@@ -84,6 +85,27 @@ class LoudnessCells:
         return [(self.open[0], self.at, self.open[1], self.open[2])] if self.at > self.open[0] else []
 
 
+def segment_cells(channels: list[np.ndarray], rate: float, at: int, warm: int, last: bool) -> tuple[list[tuple[int, int, float, float]], float]:
+    """Cells and true peak (a magnitude) of a stretch of a clip that begins with `warm` samples of the one before, at the clip's sample `at`.
+
+    The filters have forgotten what was before the warm samples to far below rounding, so stretches can be measured anywhere. What
+    lies between samples near a stretch's end is left to the next stretch, which has the samples on both sides.
+    """
+    effect = LoudnessCells(rate, len(channels))
+    sound = np.stack(channels)
+    effect.at = at
+    effect.open = (at, 0.0, 0.0)
+    own = at + warm
+    effect.push(sound[:, :warm])
+    effect.open = (own, 0.0, 0.0)
+    cells = [*effect.push(sound[:, warm:]), *effect.end()]
+    first, stop = max(0, warm - 2 * PEAK_REACH), sound.shape[1]
+    peak = 0.0
+    for x in sound:
+        peak = max(peak, true_peak(x[first:], 0 if not warm else PEAK_REACH, 0 if last else PEAK_REACH) if stop > first else 0.0)
+    return cells, peak
+
+
 class InOrder:
     """Brings the blocks of one clip's channels into order and pushes them into an effect.
 

@@ -18,17 +18,24 @@ def _peak_phases() -> np.ndarray:
     return np.sinc(d) * (0.5 + 0.5 * np.cos(np.pi * d / PEAK_REACH))
 
 
-def true_peak(x: np.ndarray) -> float:
-    """The largest magnitude of the samples and of three points between neighbours, by a 16-tap reconstruction filter."""
+def true_peak(x: np.ndarray, before: int = 0, after: int = 0, piece: int = 1 << 16) -> float:
+    """The largest magnitude of the samples and of three points between neighbours, by a 16-tap reconstruction filter.
+
+    Points among the first `before` and the last `after` samples are left out, for stretches of a longer sound whose neighbours hold them.
+    """
     x = np.asarray(x, np.float64)
     if not len(x):
         return 0.0
     peak = float(np.abs(x).max())
-    if len(x) < 2:
+    first, stop = (before and before - 1), len(x) - 1 - (after and after - 1)  # places of points: each lies behind its sample
+    if len(x) < 2 or stop <= first:
         return peak
     padded = np.pad(x, (PEAK_REACH - 1, PEAK_REACH))
-    for taps in _peak_phases():
-        peak = max(peak, float(np.abs(np.convolve(padded, taps[::-1], "valid")[: len(x) - 1]).max()))
+    for at in range(first, stop, piece):
+        part = padded[at : min(stop, at + piece) + 2 * PEAK_REACH - 1]
+        for taps in _peak_phases():
+            found = np.convolve(part, taps[::-1], "valid")
+            peak = max(peak, float(found.max()), -float(found.min()))
     return peak
 
 

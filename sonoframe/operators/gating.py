@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions import numeric as N
@@ -42,33 +42,54 @@ def loudness_range(powers: DataFrame, absolute: float = -70.0, relative: float =
     return powers.select("key").distinct().join(ranks, "key", "left").select("key", F.coalesce(F.col("hi") - F.col("lo"), F.lit(0.0)).alias("range"))
 
 
-def cell_powers(cells: DataFrame, block_s: float, hop_s: float) -> DataFrame:
-    """(key, b, power) of sliding blocks from energies between their edges: cells (key, rate, start, stop, energy). Only whole blocks."""
-    block, hop = (N.round_half_up(F.lit(s) * F.col("rate")).cast("long") for s in (block_s, hop_s))
-    ends = cells.groupBy("key").agg(F.max("stop").alias("n"))
-    sized = cells.join(ends, "key").select("key", "start", "energy", "n", block.alias("block"), hop.alias("hop"))
-    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start") - F.col("block")) / F.col("hop")) + 1)
-    at = sized.withColumn("b", F.explode(F.sequence(first, F.floor(F.col("start") / F.col("hop"))))).where(F.col("b") * F.col("hop") + F.col("block") <= F.col("n"))
-    return at.groupBy("key", "b").agg((F.sum("energy") / F.first("block")).alias("power"))
+#: Seconds of a block and of a step between blocks, for momentary loudness and for the loudness range (fixed values).
+MOMENTARY, RANGED = (0.4, 0.1), (3.0, 1.0)
+
+
+def _mean(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
 
 
 def cell_loudness(cells: DataFrame) -> DataFrame:
-    """(key, integrated, range, peak in dB) of cells (key, rate, start, stop, energy, peak), whatever wrote them: a batch or a stream so far.
+    """(key, integrated, range, peak in dB, momentary) of cells (key, rate, start, stop, energy, peak), whatever wrote them: a batch or a stream so far. Cells with a true_peak give that too.
 
-    A clip shorter than a momentary block is measured as a whole and has no range; silence has an integrated loudness of minus infinity.
+    A cell lies between neighbouring edges of blocks, so a block's energy is the sum of its cells'; a cell cut in two is two
+    cells. Each cell goes to the blocks it lies in, all of a key's blocks come together as one list of powers (ten a second), and the gates
+    are expressions over that list. A clip shorter than a momentary block is measured as a whole; silence is minus infinity.
     """
     silence = F.lit(float("-inf"))
-    whole = cells.groupBy("key").agg(F.max("stop").alias("n"), F.first("rate").alias("rate"), F.sum("energy").alias("energy"), F.max("peak").alias("top"))
-    short = F.col("n") < N.round_half_up(F.lit(0.4) * F.col("rate"))
+    tops = [c for c in ("peak", "true_peak") if c in cells.columns]
+
+    def kinds(kind: int, seconds: tuple[float, float]) -> Column:
+        block, hop = (N.round_half_up(F.lit(s) * F.col("rate")).cast("long") for s in seconds)
+        first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start") - block) / hop) + 1)
+        last = F.floor(F.col("start") / hop)
+        return F.transform(F.sequence(first, F.greatest(first, last)), lambda b: F.when((b * hop <= F.col("start")) & (F.col("start") < b * hop + block), F.struct(F.lit(kind).alias("kind"), b.alias("b"), (b * hop + block).alias("stop"), block.alias("block"))))
+
+    blocks = F.array_compact(F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("stop"), F.lit(1).cast("long").alias("block"))), kinds(1, MOMENTARY), kinds(2, RANGED)))
+    sums = cells.select("key", "rate", "stop", "energy", *tops, F.explode(blocks).alias("at")).groupBy("key", "at").agg(F.sum("energy").alias("energy"), F.max("stop").alias("n"), F.first("rate").alias("rate"), *[F.max(c).alias(c) for c in tops])
+    one = lambda kind: F.col("at.kind") == kind
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(one(kind), F.struct(F.col("at.b").alias("b"), F.col("at.stop").alias("stop"), (F.col("energy") / F.col("at.block")).alias("power")))))
+    whole = sums.groupBy("key").agg(
+        F.max("n").alias("n"), F.first("rate").alias("rate"), F.sum(F.when(one(0), F.col("energy"))).alias("energy"), *[F.max(c).alias(c) for c in tops], listed(1).alias("momentary"), listed(2).alias("ranged")
+    )
+    complete = lambda c: F.transform(F.filter(c, lambda x: x["stop"] <= F.col("n")), lambda x: x["power"])
+    lufs = lambda p: F.when(p > 0, N.power_lufs(p)).otherwise(silence)
+    powers = whole.select("key", "n", "rate", "energy", *tops, complete("momentary").alias("m"), complete("ranged").alias("r"))
+    over = powers.withColumns({"over": F.filter("m", lambda p: lufs(p) > -70.0), "levels": F.filter(F.transform("r", lufs), lambda v: v > -70.0)})
+    gate, floor = lufs(_mean(F.col("over"))) - 10.0, 10 * F.log10(_mean(F.transform("levels", lambda v: F.pow(F.lit(10.0), v / 10)))) - 20.0
+    gated = over.withColumns({"gate": gate, "floor": floor})
+    kept = gated.withColumns({"kept": F.filter("over", lambda p: lufs(p) > F.col("gate")), "spread": F.array_sort(F.filter("levels", lambda v: v > F.col("floor")))})
+    place = lambda share: F.element_at("spread", (F.floor((F.size("spread") - 1) * share + 0.5) + 1).cast("int"))
+    short = F.col("n") < N.round_half_up(F.lit(MOMENTARY[0]) * F.col("rate"))
     all_power = F.col("energy") / F.greatest(F.lit(1), F.col("n"))
-    gated = gated_loudness(cell_powers(cells, 0.4, 0.1)).select("key", "loudness")
-    ranged = loudness_range(cell_powers(cells, 3.0, 1.0))
-    joined = whole.join(gated, "key", "left").join(ranged, "key", "left")
-    return joined.select(
+    gated_mean = F.when(F.size("over") == 0, silence).otherwise(lufs(F.coalesce(_mean(F.col("kept")), _mean(F.col("over")))))
+    return kept.select(
         "key",
-        F.when(short, F.when(all_power > 0, N.power_lufs(all_power)).otherwise(silence)).otherwise(F.coalesce("loudness", silence)).alias("integrated"),
-        F.coalesce("range", F.lit(0.0)).alias("range"),
-        F.when(F.col("top") > 0, 20 * F.log10("top")).otherwise(silence).alias("peak"),
+        F.when(short, lufs(all_power)).otherwise(gated_mean).alias("integrated"),
+        F.when(~short & (F.size("spread") > 1), place(0.95) - place(0.1)).otherwise(0.0).alias("range"),
+        *[F.when(F.col(c) > 0, 20 * F.log10(c)).otherwise(silence).alias(c) for c in tops],
+        F.when(short, F.when(F.col("n") > 0, F.array(lufs(all_power))).otherwise(F.array().cast("array<double>"))).otherwise(F.transform("m", lufs)).alias("momentary"),
     )
 
 

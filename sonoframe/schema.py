@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 BLOCK = 32768
+#: Blocks of a clip that one task measures together.
+STRETCH = 16
 
 CLIP = "clip_id string, path string, container string, codec string, sample_rate int, channels int, frames long, duration double, source_bytes long"
 BLOCKS = "clip_id string, channel int, block_idx int, start long, samples array<float>"

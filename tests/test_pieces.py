@@ -140,3 +140,15 @@ def test_frames_keep_blocks_in_place(spark):
             want = filters.biquad(x[c], filters.equalizer("highpass", RATE, 100, 0.0, 0.707))[0]
             assert len(found) == len(want) and np.abs(found - want).max() < 1e-6
     assert all(r.start == r.block_idx * schema.BLOCK for r in rows)
+
+
+def test_loudness_by_stretches_equals_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(schema, "STRETCH", 2)  # 32,768 samples a block: several stretches a clip
+    clips = {"long": (RATE, [np.concatenate([sound(k, 11)[0] for k in (c, c + 5)]) for c in range(2)]), **{k: (RATE, x) for k, x in CLIPS.items()}, "six": (RATE, sound(8, 4, 6))}
+    found = {r.clip_id: r for r in AudioFrame.from_arrays(spark, clips).loudness().collect()}
+    assert set(found) == set(clips) and found["silent"].integrated == float("-inf")
+    for k, (_, x) in clips.items():
+        want = loudness.measure(x, RATE)
+        for name in ("integrated", "range", "peak", "true_peak"):
+            assert found[k][name] == pytest.approx(want[name], abs=1e-9), (k, name)
+        assert found[k].momentary == pytest.approx(want["momentary"], abs=1e-4)  # running sums of the whole lose digits where it is quiet
