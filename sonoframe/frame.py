@@ -287,23 +287,25 @@ class AudioFrame:
         names = ["clip_id", "rate", "start", "stop", "energy", "peak", "true_peak"]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
-        def run(table: pa.Table) -> pa.Table:
-            clip_id, rate, last = (table.column(c)[0].as_py() for c in ("clip_id", "sample_rate", "last"))
-            own = np.asarray(table.column("own"))
-            channels = channels_of(table)
-            warm = len(channels_of(table.filter(pa.array(~own)))[0]) if not own.all() else 0
-            at = pa.compute.min(table.column("start")).as_py()
-            cells, top = segment_cells(channels, rate, at, warm, last)
+        def run(blocks: pa.Table, facts: pa.Table) -> pa.Table:
+            if not facts.num_rows or not blocks.num_rows:  # the tail of a clip's last stretch goes to none
+                return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+            clip_id, rate, last = (facts.column(c)[0].as_py() for c in ("of_clip", "sample_rate", "last"))
+            own = np.asarray(blocks.column("own"))
+            warm = len(channels_of(blocks.filter(pa.array(~own)))[0]) if not own.all() else 0
+            at = pa.compute.min(blocks.column("start")).as_py()
+            cells, top = segment_cells(channels_of(blocks), rate, at, warm, last)
             cells = cells or [(at + warm, at + warm, 0.0, 0.0)]
             return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*[(clip_id, rate, *cell, top) for cell in cells]), kinds)], names)
 
-        ends = self.blocks.groupBy("clip_id").agg(F.max("block_idx").alias("end"))
+        ends = self.blocks.groupBy("clip_id").agg(F.floor(F.max("block_idx") / schema.STRETCH).alias("end"))
+        facts = ends.join(self.clips.select("clip_id", "sample_rate"), "clip_id").select("clip_id", "sample_rate", "end", F.explode(F.sequence(F.lit(0).cast("long"), "end")).alias("stretch"))
+        facts = facts.select(F.col("clip_id").alias("of_clip"), F.col("stretch").alias("of_stretch"), "sample_rate", (F.col("stretch") == F.col("end")).alias("last"))
         stretch = F.floor(F.col("block_idx") / schema.STRETCH)
-        tail = (F.col("block_idx") % schema.STRETCH == schema.STRETCH - 1) & (F.col("block_idx") < F.col("end"))
+        tail = F.col("block_idx") % schema.STRETCH == schema.STRETCH - 1
         places = F.array_compact(F.array(F.struct(stretch.alias("stretch"), F.lit(True).alias("own")), F.when(tail, F.struct((stretch + 1).alias("stretch"), F.lit(False).alias("own")))))
-        rated = self.blocks.join(self.clips.select("clip_id", "sample_rate"), "clip_id").join(ends, "clip_id").withColumn("place", F.explode(places)).select("*", "place.*")
-        rated = rated.withColumn("last", F.col("stretch") == F.floor(F.col("end") / schema.STRETCH)).drop("place", "end")
-        cells = rated.groupBy("clip_id", "stretch").applyInArrow(run, "clip_id string, rate int, start long, stop long, energy double, peak double, true_peak double")
+        placed = self.blocks.select("clip_id", "channel", "block_idx", "start", "samples", F.explode(places).alias("place")).select("clip_id", "channel", "block_idx", "start", "samples", "place.*")
+        cells = placed.groupBy("clip_id", "stretch").cogroup(facts.groupBy("of_clip", "of_stretch")).applyInArrow(run, "clip_id string, rate int, start long, stop long, energy double, peak double, true_peak double")
         return cell_loudness(cells.withColumnRenamed("clip_id", "key")).select(F.col("key").alias("clip_id"), "integrated", "range", "true_peak", "peak", "momentary", F.lit(HOP_S).alias("momentary_step"))
 
     def keys(self) -> DataFrame:

@@ -65,10 +65,10 @@ def response_db(filters: list[Biquad], rate: float, hz: np.ndarray) -> np.ndarra
     return out
 
 
-def biquad(x: np.ndarray, f: Biquad, state: np.ndarray | None = None, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def biquad(x: np.ndarray, f: Biquad, state: np.ndarray | None = None, rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Filters x in double precision from a state (two delayed inputs, two delayed outputs); returns samples and the new state.
 
-    The signal is laid out in columns of `rows` samples. All columns run at once from rest; then the state each column really
+    The signal is laid out in columns of `rows` samples, about as many as columns unless told. All columns run at once from rest; then the state each column really
     began with is carried from column to column, and the free response to it is added. A piece after a piece gives
     what the whole would, up to rounding.
     """
@@ -77,6 +77,7 @@ def biquad(x: np.ndarray, f: Biquad, state: np.ndarray | None = None, rows: int
     n = len(x)
     if not n:
         return x, np.array([x1, x2, y1, y2])
+    rows = rows or max(32, min(2048, math.isqrt(n)))
     past = np.concatenate([[x2, x1], x])
     forced = f.b0 * past[2:] + f.b1 * past[1:-1] + f.b2 * past[:-2]
     columns = -(-n // rows)
@@ -92,12 +93,15 @@ def biquad(x: np.ndarray, f: Biquad, state: np.ndarray | None = None, rows: int
     for r in range(2, rows + 2):
         free[r] = -f.a1 * free[r - 1] - f.a2 * free[r - 2]
     free = free[2:]
-    starts = np.empty((columns, 2))
-    a, b = y1, y2
-    for c in range(columns):
-        starts[c] = a, b
-        a, b = y[-1, c] + free[-1, 0] * a + free[-1, 1] * b, (y[-2, c] + free[-2, 0] * a + free[-2, 1] * b if rows > 1 else a)
-    out = (y + free @ starts.T).T.reshape(-1)[:n]
+    a, b, begun = float(y1), float(y2), []
+    (p, q), (r, s) = free[-1].tolist(), free[-2].tolist()
+    for last, before in zip(y[-1].tolist(), y[-2].tolist()):
+        begun.append((a, b))
+        a, b = last + p * a + q * b, before + r * a + s * b
+    starts = np.array(begun)
+    y += free[:, :1] * starts[:, 0]
+    y += free[:, 1:] * starts[:, 1]
+    out = y.T.reshape(-1)[:n]
     tail = np.concatenate([[y2, y1], out])
     return out, np.array([past[-1], past[-2], tail[-1], tail[-2]])
 

@@ -78,8 +78,9 @@ def cell_loudness(cells: DataFrame) -> DataFrame:
     powers = whole.select("key", "n", "rate", "energy", *tops, complete("momentary").alias("m"), complete("ranged").alias("r"))
     over = powers.withColumns({"over": F.filter("m", lambda p: lufs(p) > -70.0), "levels": F.filter(F.transform("r", lufs), lambda v: v > -70.0)})
     gate, floor = lufs(_mean(F.col("over"))) - 10.0, 10 * F.log10(_mean(F.transform("levels", lambda v: F.pow(F.lit(10.0), v / 10)))) - 20.0
-    gated = over.withColumns({"gate": gate, "floor": floor})
-    kept = gated.withColumns({"kept": F.filter("over", lambda p: lufs(p) > F.col("gate")), "spread": F.array_sort(F.filter("levels", lambda v: v > F.col("floor")))})
+    # a gate is bound by a lambda, so that it is worked out once and not for every block
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    kept = over.withColumns({"kept": bound(gate, lambda g: F.filter("over", lambda p: lufs(p) > g)), "spread": bound(floor, lambda g: F.array_sort(F.filter("levels", lambda v: v > g)))})
     place = lambda share: F.element_at("spread", (F.floor((F.size("spread") - 1) * share + 0.5) + 1).cast("int"))
     short = F.col("n") < N.round_half_up(F.lit(MOMENTARY[0]) * F.col("rate"))
     all_power = F.col("energy") / F.greatest(F.lit(1), F.col("n"))
