@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import text as X
 from sonoframe.operators import catalog, transcript
+from sonoframe.sources import integrity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +165,25 @@ def parse_timecode(spark, sf_dir):
 @query("SELECT event_type, CASE WHEN value < 30 THEN 'under 30s' WHEN value < 120 THEN '30s to 2m' WHEN value < 600 THEN '2m to 10m' ELSE '10m to 1h' END AS bucket, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL")
 def telemetry_buckets(spark, sf_dir):
     return _t(spark, sf_dir, "events").where("value > 0").groupBy("event_type", X.duration_bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+_RANGES = "SELECT 'd' || doc_id AS path, k AS part, strlen(substr(coalesce(text, ''), k * 500 + 1, 500))::BIGINT AS bytes, sha256(substr(coalesce(text, ''), k * 500 + 1, 500)) AS sha256 FROM (SELECT *, unnest(range(greatest(1, ceil(length(coalesce(text, '')) / 500::DOUBLE))::BIGINT)) AS k FROM documents)"
+
+
+@query(f"""WITH have AS (SELECT * FROM ({_RANGES}) WHERE substr(path, 2)::BIGINT % 13 <> 1), want AS (
+  SELECT path, part, bytes - CASE WHEN part = 0 AND substr(path, 2)::BIGINT % 11 = 2 THEN 1 ELSE 0 END AS bytes, CASE WHEN part = 1 AND substr(path, 2)::BIGINT % 7 = 3 THEN sha256('') ELSE sha256 END AS sha256
+  FROM ({_RANGES}) WHERE substr(path, 2)::BIGINT % 17 <> 4),
+b AS (SELECT coalesce(w.path, h.path) AS path, coalesce(w.part, h.part) AS part, w.bytes AS wb, h.bytes AS hb, w.bytes IS NOT DISTINCT FROM h.bytes AND w.sha256 IS NOT DISTINCT FROM h.sha256 AS same FROM want w FULL JOIN have h ON w.path = h.path AND w.part = h.part)
+SELECT path, CASE WHEN sum(hb) IS NULL THEN 'missing' WHEN sum(wb) IS NULL THEN 'unknown' WHEN sum(hb) <> sum(wb) THEN 'size' WHEN count(*) FILTER (NOT same) > 0 THEN 'changed' ELSE 'intact' END AS verdict,
+  count(*) FILTER (NOT same) AS bad, coalesce(min(part) FILTER (NOT same), -1) AS first_bad FROM b GROUP BY path""")
+def integrity_verdicts(spark, sf_dir):
+    """Texts as files in ranges of 500 characters, against a manifest with other sizes, other digests, and files left out on either side."""
+    text = F.coalesce("text", F.lit(""))
+    parts = F.greatest(F.lit(1), F.ceil(F.length(text) / 500)).cast("long")
+    ranges = _t(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    piece = F.substr("text", (F.col("part") * 500 + 1).cast("int"), F.lit(500))
+    rows = ranges.select("doc_id", F.concat(F.lit("d"), "doc_id").alias("path"), "part", F.octet_length(piece).cast("long").alias("bytes"), F.sha2(piece, 256).alias("sha256"))
+    have = rows.where("doc_id % 13 != 1").drop("doc_id")
+    want = rows.where("doc_id % 17 != 4").withColumn("bytes", F.col("bytes") - F.when((F.col("part") == 0) & (F.col("doc_id") % 11 == 2), 1).otherwise(0))
+    want = want.withColumn("sha256", F.when((F.col("part") == 1) & (F.col("doc_id") % 7 == 3), F.sha2(F.lit(""), 256)).otherwise(F.col("sha256"))).drop("doc_id")
+    return integrity.verdicts(have, want).select("path", "verdict", F.size("bad").cast("long").alias("bad"), F.coalesce(F.try_element_at("bad", F.lit(1)), F.lit(-1)).alias("first_bad"))
