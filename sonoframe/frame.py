@@ -30,7 +30,7 @@ def channels_of(table: pa.Table) -> list[np.ndarray]:
 def blocks_table(clip_id: str, channels: list[np.ndarray], block: int = schema.BLOCK) -> pa.Table:
     rows = [(clip_id, c, k, k * block, x[k * block : (k + 1) * block]) for c, x in enumerate(channels) for k in range(max(1, -(-len(x) // block)))]
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["clip_id", "channel", "block_idx", "start", "samples"])
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["clip_id", "channel", "block_idx", "start", "samples"])
 
 
 @dataclass(frozen=True)
@@ -273,6 +273,45 @@ class AudioFrame:
         clips = facts.select("clip_id", none("string").alias("path"), none("string").alias("container"), F.lit("pcm_f32").alias("codec"), "sample_rate", "channels", "frames", (F.col("frames") / F.col("sample_rate")).alias("duration"), none("long").alias("source_bytes"))
         return AudioFrame(clips, joined.drop("sample_rate"))
 
+    def separate(self, runner: Callable[[np.ndarray], np.ndarray], n_fft: int, hop: int, dim_f: int, dim_t: int, compensate: float = 1.0, rate: int = 44100) -> "AudioFrame":
+        """The part of each clip that a model finds (`kernels.demix`), in two channels at `rate`. A clip's overlapping chunks are rows of their own, so a long one is shared by many tasks."""
+        from sonoframe.kernels.demix import demix_chunk, geometry
+
+        frame = self.set_channels(2).resample(rate)
+        chunk, trim, made = geometry(hop, dim_t, n_fft)
+        size = F.size("samples")
+        last = F.col("start") + size - 1 + trim
+        first = F.greatest(F.lit(0), F.floor((F.col("start") + trim - chunk) / made) + 1)
+        ends = frame.blocks.groupBy("clip_id").agg(F.max(F.col("start") + size).alias("n"))
+        facts = ends.select(F.col("clip_id").alias("of_clip"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / made))).alias("of_chunk")).where("n > 0")
+        placed = frame.blocks.where(size > 0).select("clip_id", "channel", "start", "samples", F.explode(F.sequence(first.cast("long"), F.floor(last / made))).alias("chunk"))
+
+        def run(blocks: pa.Table, facts: pa.Table) -> pa.Table:
+            if not facts.num_rows or not blocks.num_rows:  # what lies beyond a clip's last chunk
+                return blocks_table("", [])
+            clip_id, n, k = (facts.column(c)[0].as_py() for c in ("of_clip", "n", "of_chunk"))
+            sound, begin = np.zeros((2, chunk)), k * made - trim
+            for c, start, samples in zip(blocks.column("channel").to_pylist(), blocks.column("start").to_pylist(), blocks.column("samples")):
+                x = np.asarray(samples.values, np.float64)
+                a, b = max(begin, start), min(begin + chunk, start + len(x))
+                if b > a:
+                    sound[c, a - begin : b - begin] = x[a - start : b - start]
+            found = demix_chunk(sound, runner, n_fft, hop, dim_f, dim_t, compensate)[:, : n - k * made].astype(np.float32)
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())]
+            rows = [(clip_id, c, k, k * made, x) for c, x in enumerate(found)]
+            return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["clip_id", "channel", "block_idx", "start", "samples"])
+
+        blocks = placed.groupBy("clip_id", "chunk").cogroup(facts.groupBy("of_clip", "of_chunk")).applyInArrow(run, schema.BLOCKS)
+        return AudioFrame(frame.clips, blocks)
+
+    def rest(self, part: "AudioFrame") -> "AudioFrame":
+        """What is left of this frame without a part of it, sample by sample; both have the same clips, channels and lengths."""
+        whole, minus = (f.samples().select("clip_id", "channel", "i", F.col("v").alias(name)) for f, name in ((self, "whole"), (part, "part")))
+        left = whole.join(minus, ["clip_id", "channel", "i"], "left").select("clip_id", "channel", "i", (F.col("whole") - F.coalesce("part", F.lit(0.0))).cast("float").alias("v"))
+        idx = F.floor(F.col("i") / schema.BLOCK)
+        listed = left.groupBy("clip_id", "channel", idx.cast("int").alias("block_idx")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("rows"))
+        return AudioFrame(self.clips, listed.select("clip_id", "channel", "block_idx", (F.col("block_idx").cast("long") * schema.BLOCK).alias("start"), F.transform("rows", lambda r: r["v"]).alias("samples")))
+
     def tempo(self) -> DataFrame:
         from sonoframe.kernels.rhythm import tempo
 

@@ -24,15 +24,21 @@ def demix(mix: np.ndarray, runner: Callable[[np.ndarray], np.ndarray], n_fft: in
     n = mix.shape[1]
     count = -(-n // made)
     padded = np.pad(np.asarray(mix, np.float64), ((0, 0), (trim, count * made - n + trim)))
-    out = np.zeros((2, count * made))
-    for k in range(count):
-        spectra = [stft(x[k * made : k * made + chunk], n_fft, hop)[:dim_t, :dim_f] for x in padded]
-        found = runner(np.stack([part for s in spectra for part in (s.T.real, s.T.imag)]))
-        for c in range(2):
-            whole = np.zeros((dim_t, n_fft // 2 + 1), complex)
-            whole[:, :dim_f] = (found[2 * c] + 1j * found[2 * c + 1]).T
-            out[c, k * made : (k + 1) * made] = istft(whole, n_fft, hop, chunk)[trim : trim + made] * compensate
-    return out[:, :n]
+    parts = [demix_chunk(padded[:, k * made : k * made + chunk], runner, n_fft, hop, dim_f, dim_t, compensate) for k in range(count)]
+    return np.concatenate(parts, axis=1)[:, :n] if parts else np.zeros((2, 0))
+
+
+def demix_chunk(sound: np.ndarray, runner: Callable[[np.ndarray], np.ndarray], n_fft: int, hop: int, dim_f: int, dim_t: int, compensate: float = 1.0) -> np.ndarray:
+    """The middle of the part that `runner` finds in one chunk of two channels."""
+    chunk, trim, made = geometry(hop, dim_t, n_fft)
+    spectra = [stft(x, n_fft, hop)[:dim_t, :dim_f] for x in sound]
+    found = runner(np.stack([part for s in spectra for part in (s.T.real, s.T.imag)]))
+    out = np.zeros((2, made))
+    for c in range(2):
+        whole = np.zeros((dim_t, n_fft // 2 + 1), complex)
+        whole[:, :dim_f] = (found[2 * c] + 1j * found[2 * c + 1]).T
+        out[c] = istft(whole, n_fft, hop, chunk)[trim : trim + made] * compensate
+    return out
 
 
 def complement(stem: str) -> str:
