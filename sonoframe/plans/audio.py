@@ -196,6 +196,15 @@ def carried_filter(spark, sf_dir):
     return cells.groupBy(F.col("clip_id").alias("key")).agg(F.sum("stop").alias("n"), F.round(F.sum("energy"), 3).alias("energy"), F.round(F.max("peak"), 3).alias("peak"))
 
 
+@query("""WITH t AS (SELECT s_suppkey AS k, i, 2 * pi() * i / 8000 AS w FROM supplier, (SELECT unnest(range(32000)) AS i)), b AS (SELECT k, w, 60 / (80 + k % 90)::DOUBLE AS p, w / (2 * pi()) AS s FROM t), c AS (SELECT k, w, s - p * floor(s / p) AS m FROM b),
+v AS (SELECT k, .2 * sin((110 + k % 300) * w) AS tone, .6 * exp(-40 * m) * sin(2 * pi() * 900 * m) AS click, w FROM c)
+SELECT 's' || k AS clip_id, round(.5 * greatest(max(abs(tone + click)), max(abs(tone * .5 + click + .05 * sin(2000 * w)))), 3) AS peak, round(.5 * sqrt(avg((pow(tone + click, 2) + pow(tone * .5 + click + .05 * sin(2000 * w), 2)) / 2)), 3) AS rms FROM v GROUP BY k""")
+def stem_levels(spark, sf_dir):
+    """Levels of the part that a model of half the strength finds, chunk by chunk."""
+    stem = clips(spark, sf_dir).separate(lambda z: 0.5 * z, 1024, 256, 513, 33, rate=RATE)
+    return stem.levels().select("clip_id", F.round("peak", 3).alias("peak"), F.round("rms", 3).alias("rms"))
+
+
 @query()
 def equalizer_curves(spark, sf_dir):
     """Response in dB at each supplier's frequency of a shelf, a peak and a band filter."""
