@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm.common import slices, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
+#: One step of the scanner, as browsers read pages: a quote counts only behind an equals sign, `--!>` ends a comment as well. Nothing is read twice.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</?[a-zA-Z](?>[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
@@ -82,15 +83,15 @@ class _Element:
     tag: str
     key: int
     article: bool
-    marks: tuple  # (element, kind) of the boilerplate names on the path
+    marks: tuple  # (element, or the name where it is a part of a longer one, and kind) of the boilerplate names on the path
     content: float
     hidden: bool
     parts: list = field(default_factory=list)
 
 
-def _named(value: str) -> tuple[str | None, bool]:
-    """The kind of boilerplate name in a class, id or role, and whether it names content."""
-    kind, content = None, False
+def _named(value: str) -> tuple[str | None, str, bool]:
+    """The kind of boilerplate name in a class, id or role, the whole name, and whether one names content."""
+    kind, whole, content = None, "", False
     for token in value.split():
         words = _WORD.findall(token)
         if not words or words[0] in _BESIDE and len(words) > 1:
@@ -98,10 +99,11 @@ def _named(value: str) -> tuple[str | None, bool]:
         found = _BOILER_NAMES.intersection(words)
         if found:
             this = "comments" if found & _COMMENTS else "name" if len(words) == 1 else "part"
-            kind = min(filter(None, (kind, this)), key=list(FADES).index)
+            if kind is None or list(FADES).index(this) < list(FADES).index(kind):
+                kind, whole = this, token
         elif _CONTENT_NAMES.intersection(words):
             content = True
-    return kind, content
+    return kind, whole, content
 
 
 def blocks(page: str) -> list[Block]:
@@ -128,7 +130,7 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         key += 1
         marks, content, hidden, article = top.marks, top.content, top.hidden, top.article
-        kind = None
+        kind, whole = None, ""
         if tag in ("article", "main"):
             article, content = True, max(content, 3.0)
         if tag in _BOILER_TAGS or tag == "header" and not article:
@@ -139,12 +141,13 @@ def blocks(page: str) -> list[Block]:
                 if name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     hidden = True
                 elif name in ("class", "id", "role", "itemprop") and tag not in ("html", "body"):
-                    this, told = _named(value)
+                    this, name_, told = _named(value)
                     if this and not (article and tag in ("header", "h1", "h2") and not (set(_WORD.findall(value)) & _BOILER_NAMES) - {"header"}):
-                        kind = min(filter(None, (kind, this)), key=list(FADES).index)
+                        if kind is None or list(FADES).index(this) < list(FADES).index(kind):
+                            kind, whole = this, name_
                     elif told:
                         content = max(content, 2.0)
-        stack.append(_Element(tag, key, article, (*marks, (key, kind)) if kind else marks, content, hidden))
+        stack.append(_Element(tag, key, article, (*marks, (whole if kind == "part" else key, kind)) if kind else marks, content, hidden))
 
     def close(tags: set, bounds: set) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -154,11 +157,13 @@ def blocks(page: str) -> list[Block]:
                 del stack[k:]
                 return
 
-    at = 0
+    at, closed = 0, page.rfind(">")
     while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        token = m.group()
+        if at > closed and page.startswith("<", at) and not page.startswith("<!--", at):  # no tag ends here any more
+            token, at = "<", at + 1
+        else:
+            m = _TOKEN.match(page, at)
+            token, at = m.group(), m.end()
         if token[0] != "<" or len(token) == 1:
             text.append(html.unescape(token) if "&" in token else token)
             if links:
@@ -206,10 +211,13 @@ def blocks(page: str) -> list[Block]:
 
 
 def _weighed(found: list[Block]) -> list[Block]:
-    """Adds what names on the path make of boilerplate, by the share of the page's text below them."""
-    below: dict[int, int] = {}
+    """Adds what names on the path make of boilerplate, by the share of the page's text below them.
+
+    A longer name with a boilerplate word in it (as page builders give to all their boxes) is weighed by the text below all boxes of that name.
+    """
+    below: dict[int | str, int] = {}
     for block in found:
-        for key, _ in block.marks:
+        for key in {key for key, _ in block.marks}:
             below[key] = below.get(key, 0) + len(block.text)
     total = sum(len(block.text) for block in found)
     for block in found:

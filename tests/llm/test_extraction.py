@@ -86,3 +86,28 @@ def test_query(spark, sf_dir):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", PAGE, "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in extraction.extract(pages).collect())[:2] == [0, 0]
     assert extraction.extract(pages.where("false")).count() == 0
+
+
+PROSE = "This is a sentence of an article that has enough words in it to be taken for prose by everybody. "
+
+
+def test_quotes_and_comments_as_browsers_read_them():
+    page = f"<body><p data-x=it's>{PROSE}</p><p>{PROSE}Second.</p><p title='a > b'>{PROSE}Third.</p><!-- a --!><p>{PROSE}Fourth.</p><!--><p>{PROSE}Fifth.</p></body>"
+    found = extraction.main_text(page)
+    assert found.count("This is a sentence") == 5 and "Second" in found and "Fifth" in found
+
+
+def test_a_name_on_every_block_says_nothing():
+    inner = "".join(f'<div class="elementor-widget elementor-element"><p>{PROSE * 3}Part {k}.</p></div>' for k in range(6))
+    page = f'<body><div class="page-widget-area"><ul><li><a href="/">Home</a></li><li><a href="/b">About</a></li></ul></div><h1>A heading of it</h1>{inner}</body>'
+    found = extraction.main_text(page)
+    assert all(f"Part {k}." in found for k in range(6)) and "About" not in found
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for page in ('<p class="x>some text here ' * 20_000, "<a href='" * 20_000, "<p data-x=it's>words and words " * 20_000, "<a " * 60_000, "<!-- " * 40_000, "<b =" * 40_000 + " " * 100_000):
+        began = time.time()
+        extraction.main_text(page)
+        assert time.time() - began < 5
