@@ -233,7 +233,7 @@ def meter_panel(true_peak: Column, range_: Column) -> tuple[Column, Column]:
     return true_peak > -1, F.when(range_ < 4, "narrow").when(range_ > 12, "wide").otherwise("usual")
 
 
-def _held(value: Column | float, bounds: tuple[float, float]) -> Column:
+def _within(value: Column | float, bounds: tuple[float, float]) -> Column:
     return F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), value.cast("double") if isinstance(value, Column) else F.lit(float(value))))
 
 
@@ -255,7 +255,7 @@ def knee_constant(threshold: Column, knee: Column, ratio: Column) -> Column:
 def compressor_out(db: Column, threshold: Column | float, knee: Column | float, ratio: Column | float) -> Column:
     """Static curve in dB: straight to the threshold, an exponential knee above it, then straight with a slope of 1 / ratio. Numbers as settings fold to literals."""
     given = (threshold, knee, ratio)
-    threshold, knee, ratio = (_held(v, b) for v, b in zip(given, (filters.THRESHOLDS, filters.KNEES, filters.RATIOS)))
+    threshold, knee, ratio = (_within(v, b) for v, b in zip(given, (filters.THRESHOLDS, filters.KNEES, filters.RATIOS)))
     if any(isinstance(v, Column) for v in given):
         k = knee_constant(threshold, knee, ratio)
     else:
