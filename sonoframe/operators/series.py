@@ -192,6 +192,23 @@ def overall_correlation(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("key").agg(F.count("*").alias("blocks"), overall.alias("overall"), F.min("correlation").alias("least"))
 
 
+def waveform_tiles(columns: DataFrame, width: int = 1024, height: int = 256) -> DataFrame:
+    """(key, tile, columns, png) of (key, col, low, high, rms): pictures of `width` columns each, the last of a key narrower; columns that are missing stay dark."""
+    from sonoframe.kernels.raster import draw, png
+
+    kind = columns.schema["key"].dataType.simpleString()
+    tiled = columns.select("key", F.floor(F.col("col") / width).alias("tile"), (F.col("col") % width).cast("int").alias("x"), *[F.col(c).cast("double").alias(c) for c in ("low", "high", "rms")])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = np.asarray(table.column("x"))
+        n = int(x.max()) + 1
+        out = np.zeros((height, n), np.uint8)
+        out[:, x] = draw(*(np.asarray(table.column(c)) for c in ("low", "high", "rms")), height)
+        return pa.table({"key": table.column("key").slice(0, 1), "tile": table.column("tile").slice(0, 1), "columns": pa.array([n], pa.int32()), "png": pa.array([png(out)], pa.binary())})
+
+    return tiled.groupBy("key", "tile").applyInArrow(run, f"key {kind}, tile long, columns int, png binary")
+
+
 # Centres of the octave bands of a mono report, and how far under the loudest a band has no reading.
 OCTAVES, READABLE = (63, 125, 250, 500, 1000, 2000, 4000, 8000, 16000), 1e-4
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions import numeric as N
+from sonoframe.kernels import raster
 from sonoframe.operators import gating, series
 from sonoframe.streaming import levels
 
@@ -300,3 +302,21 @@ SELECT s.key, (i // stride)::BIGINT AS k, l, round(r, 6) AS r FROM s JOIN t ON t
 def strided_pairs(spark, sf_dir):
     s = stereo(spark, sf_dir)
     return series.strided_pairs(s, s.groupBy("key").agg((F.max("i") + 1).alias("n")), 20).select("key", "k", "l", F.round("r", 6).alias("r"))
+
+
+@query(f"""WITH {S}, c AS (SELECT key, i // 4 AS col, min(v / 100 - .5) AS low, max(v / 100 - .5) AS high, sqrt(avg(pow(v / 100 - .5, 2))) AS rms FROM s GROUP BY ALL),
+y AS (SELECT key, col // 8 AS tile, col, floor((1 - least(1, greatest(-1, high))) / 2 * 31 + .5) AS top, floor((1 - least(1, greatest(-1, low))) / 2 * 31 + .5) AS bottom, floor((1 - least(1, rms)) / 2 * 31 + .5) AS inner_top, floor((1 + least(1, rms)) / 2 * 31 + .5) AS inner_bottom FROM c)
+SELECT key, tile, count(*)::INTEGER AS columns, sum(bottom - top + 1)::BIGINT AS lit, sum(greatest(0, least(bottom, inner_bottom) - greatest(top, inner_top) + 1))::BIGINT AS bright FROM y GROUP BY key, tile""")
+def waveform_tiles(spark, sf_dir):
+    """Pictures of users' values, eight columns of four each: lit and bright pixels, counted in the files that were drawn."""
+    s = samples(spark, sf_dir).withColumn("v", F.col("v") / 100 - 0.5)
+    columns = s.groupBy("key", F.floor(F.col("i") / 4).alias("col")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
+
+    def counted(batches):
+        for batch in batches:
+            greys = [raster.pixels(x) for x in batch.column("png").to_pylist()]
+            counts = [pa.array([int((g >= level).sum()) for g in greys], pa.int64()) for level in (raster.REACH, raster.BODY)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tile"), batch.column("columns"), *counts], ["key", "tile", "columns", "lit", "bright"])
+
+    tiles = series.waveform_tiles(columns, 8, 32)
+    return tiles.mapInArrow(counted, f"key {tiles.schema['key'].dataType.simpleString()}, tile long, columns int, lit long, bright long")
