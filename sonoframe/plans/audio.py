@@ -205,7 +205,17 @@ def stem_levels(spark, sf_dir):
     return stem.levels().select("clip_id", F.round("peak", 3).alias("peak"), F.round("rms", 3).alias("rms"))
 
 
-@query()
+@query("""WITH d AS (SELECT s_suppkey AS key, 2 * pi() * (20 + (s_suppkey * 13) % 20000) / 44100 AS w FROM supplier),
+f AS (SELECT *, pow(10, db / 40) AS a, 2 * pi() * hz / 44100 AS w0 FROM (VALUES ('shelf', 100::DOUBLE, 6::DOUBLE, .7::DOUBLE), ('peak', 1000, -4, 1.1), ('pass', 40, 0, .707)) t(kind, hz, db, q)),
+c AS (SELECT kind, a, cos(w0) AS c, CASE WHEN kind = 'shelf' THEN sin(w0) / 2 * sqrt(2) ELSE sin(w0) / (2 * q) END AS al FROM f),
+k AS (SELECT kind,
+  CASE kind WHEN 'shelf' THEN a * (a + 1 - (a - 1) * c + 2 * sqrt(a) * al) WHEN 'peak' THEN 1 + al * a ELSE (1 + c) / 2 END AS b0,
+  CASE kind WHEN 'shelf' THEN 2 * a * (a - 1 - (a + 1) * c) WHEN 'peak' THEN -2 * c ELSE -(1 + c) END AS b1,
+  CASE kind WHEN 'shelf' THEN a * (a + 1 - (a - 1) * c - 2 * sqrt(a) * al) WHEN 'peak' THEN 1 - al * a ELSE (1 + c) / 2 END AS b2,
+  CASE kind WHEN 'shelf' THEN a + 1 + (a - 1) * c + 2 * sqrt(a) * al WHEN 'peak' THEN 1 + al / a ELSE 1 + al END AS a0,
+  CASE kind WHEN 'shelf' THEN -2 * (a - 1 + (a + 1) * c) ELSE -2 * c END AS a1,
+  CASE kind WHEN 'shelf' THEN a + 1 + (a - 1) * c - 2 * sqrt(a) * al WHEN 'peak' THEN 1 - al / a ELSE 1 - al END AS a2 FROM c)
+SELECT key, round(sum(10 * log10((pow(b0 + b1 * cos(w) + b2 * cos(2 * w), 2) + pow(b1 * sin(w) + b2 * sin(2 * w), 2)) / (pow(a0 + a1 * cos(w) + a2 * cos(2 * w), 2) + pow(a1 * sin(w) + a2 * sin(2 * w), 2)))), 4) + 0 AS db FROM d, k GROUP BY key""")
 def equalizer_curves(spark, sf_dir):
     """Response in dB at each supplier's frequency of a shelf, a peak and a band filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,4 +224,4 @@ def equalizer_curves(spark, sf_dir):
             keys = np.asarray(batch.column("key"))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(filters.response_db(bands, 44100, 20.0 + keys * 13 % 20000))], ["key", "db"])
 
-    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key")).mapInArrow(run, "key long, db double").withColumn("db", F.round("db", 6))
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key")).mapInArrow(run, "key long, db double").withColumn("db", F.round("db", 4) + 0.0)
