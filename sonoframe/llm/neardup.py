@@ -88,7 +88,7 @@ def common_runs(docs: DataFrame) -> Frequencies:
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = counts > max(1, n * COUNT_ERROR)
+            often = counts > n * COUNT_ERROR  # of few documents every run goes on: one that is left out of a count weighs too much
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often], pa.int64())], ["run", "n"])
 
         for part in slices(batches, "text", size=SLICE):

@@ -289,6 +289,17 @@ def test_common_runs_are_exact(spark):
     assert len(names) and idf.min() == pytest.approx(1.0) and idf.max() <= 2.0
 
 
+def test_runs_of_few_documents_count_in_full(spark):
+    """In a table of fifteen, a run of one document is common (one in twenty or more); weighed as if it were not, a pair over the threshold falls under it."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(13)]
+    same = [f"s{i}" for i in range(104)]  # 100 shared runs
+    rows += [(20, " ".join([*same, *(f"a{i}" for i in range(11))])), (21, " ".join([*same, *(f"b{i}" for i in range(10))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names, idf = neardup.common_runs(df)
+    assert len(names) == len(set().union(*(runs_of(t) for _, t in rows))) and idf.max() == pytest.approx(1 + np.log(15) / np.log(20))
+    assert {r.class_id for r in neardup.mark(df).where("doc_id >= 20").collect()} == {20}
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = random.Random(7)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
