@@ -252,11 +252,13 @@ def knee_constant(threshold: Column, knee: Column, ratio: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(filters.HALVINGS)), span, halve, lambda s: F.exp((s["a"] + s["b"]) / 2))
 
 
-def compressor_out(db: Column, threshold: Column | float, knee: Column | float, ratio: Column | float) -> Column:
-    """Static curve in dB: straight to the threshold, an exponential knee above it, then straight with a slope of 1 / ratio. Numbers as settings fold to literals."""
+def compressor_out(db: Column, threshold: Column | float, knee: Column | float, ratio: Column | float, constant: Column | None = None) -> Column:
+    """Static curve in dB: straight to the threshold, an exponential knee above it, then straight with a slope of 1 / ratio. Numbers as settings fold to literals. constant: that of the knee, where it is worked out already."""
     given = (threshold, knee, ratio)
     threshold, knee, ratio = (_within(v, b) for v, b in zip(given, (filters.THRESHOLDS, filters.KNEES, filters.RATIOS)))
-    if any(isinstance(v, Column) for v in given):
+    if constant is not None:
+        k = constant
+    elif any(isinstance(v, Column) for v in given):
         k = knee_constant(threshold, knee, ratio)
     else:
         k = F.lit(filters.knee_constant(*(filters.held(v, b) for v, b in zip(given, (filters.THRESHOLDS, filters.KNEES, filters.RATIOS)))))
@@ -266,9 +268,14 @@ def compressor_out(db: Column, threshold: Column | float, knee: Column | float,
     return F.when(db <= threshold, db).otherwise(bend + F.greatest(db - threshold - knee, F.lit(0.0)) / ratio)
 
 
-def auto_makeup(threshold: Column | float, knee: Column | float, ratio: Column | float) -> Column:
+def held_knee_constant(threshold: Column, knee: Column, ratio: Column) -> Column:
+    """The constant that `compressor_out` takes for settings that are columns."""
+    return knee_constant(*(_within(v, b) for v, b in zip((threshold, knee, ratio), (filters.THRESHOLDS, filters.KNEES, filters.RATIOS))))
+
+
+def auto_makeup(threshold: Column | float, knee: Column | float, ratio: Column | float, constant: Column | None = None) -> Column:
     """dB that bring back six tenths of what full scale loses."""
-    return -0.6 * compressor_out(F.lit(0.0), threshold, knee, ratio)
+    return -0.6 * compressor_out(F.lit(0.0), threshold, knee, ratio, constant)
 
 
 def compressor_facts(level: Column, peak: Column, threshold: float, knee: float, ratio: float, makeup: float, ceiling: float = -1.0) -> tuple[Column, Column, Column]:

@@ -29,6 +29,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, each: int) -> DataFrame:
+    """Rows of a small file that cost much each, dealt over tasks of at most about `each` rows: a file alone would make one task."""
+    n = rows.count()
+    return rows.repartition(max(1, min(n, rows.sparkSession.sparkContext.defaultParallelism), -(-n // each)))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.sampled(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
 
