@@ -12,7 +12,7 @@ from sonoframe import schema
 from sonoframe.frame import AudioFrame
 from sonoframe.kernels import classify, demix, filters, mux, sampling, spectrum
 from sonoframe.operators import series, votes
-from sonoframe.plans.signal import _t
+from sonoframe.plans.signal import _t, spread
 from sonoframe.sources import headers, wav
 from sonoframe.streaming import pieces
 
@@ -41,7 +41,7 @@ def _sound(key: int) -> list[np.ndarray]:
 
 
 def clips(spark, sf_dir) -> AudioFrame:
-    keys = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
+    keys = spread(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key")), 64)
     rows = keys.select(
         F.concat(F.lit("s"), "key").alias("clip_id"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("container"), F.lit("pcm_f32").alias("codec"), F.lit(RATE).alias("sample_rate"),
         F.lit(2).alias("channels"), F.lit(RATE * SECONDS).cast("long").alias("frames"), F.lit(float(SECONDS)).alias("duration"), F.lit(None).cast("long").alias("source_bytes"),
@@ -54,7 +54,7 @@ def clips(spark, sf_dir) -> AudioFrame:
             for key in batch.column("key").to_pylist():
                 yield from blocks_table(f"s{key}", _sound(key)).to_batches()
 
-    return AudioFrame(rows, keys.mapInArrow(blocks, schema.BLOCKS))
+    return AudioFrame(rows, keys.mapInArrow(blocks, schema.BLOCKS), RATE)
 
 
 def _each(frame: AudioFrame, names: str, f) -> "DataFrame":  # noqa: F821
