@@ -1,7 +1,8 @@
 """Clips and their blocks of samples as two DataFrames; every operator returns a new frame.
 
 Pointwise operators stay in the JVM, on arrays. Kernels that need a channel's samples in order get them grouped by clip, which is the
-unit that cannot be cut (filters carry state); parallelism comes from many clips.
+unit that cannot be cut (filters carry state); parallelism comes from many clips. Where a frame says that a clip's blocks already follow one another
+in one task, kernels read them as they come.
 """
 
 from __future__ import annotations
@@ -33,10 +34,15 @@ def blocks_table(clip_id: str, channels: list[np.ndarray], block: int = schema.B
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["clip_id", "channel", "block_idx", "start", "samples"])
 
 
+_CELLS = "clip_id string, rate int, start long, stop long, energy double, peak double, true_peak double"
+
+
 @dataclass(frozen=True)
 class AudioFrame:
     clips: DataFrame
     blocks: DataFrame
+    #: The rate of all clips, set where each clip's blocks follow one another in one task: kernels then need no shuffle.
+    rate: int | None = None
 
     @staticmethod
     def from_arrays(spark: SparkSession, clips: dict[str, tuple[int, list[np.ndarray]]]) -> "AudioFrame":
@@ -59,7 +65,7 @@ class AudioFrame:
 
     def scaled(self, factors: DataFrame) -> "AudioFrame":
         """Multiplies each clip by its factor in (clip_id, factor)."""
-        joined = self.blocks.join(factors, "clip_id")
+        joined = self.blocks.hint("merge").join(factors, "clip_id")
         return AudioFrame(self.clips, joined.withColumn("samples", F.transform("samples", lambda x: (x.cast("double") * F.col("factor")).cast("float"))).drop("factor"))
 
     def normalize_peak(self, target_db: float = -1.0) -> "AudioFrame":
@@ -79,7 +85,7 @@ class AudioFrame:
 
     def slice(self, start_s: float, stop_s: float) -> "AudioFrame":
         """The samples between two times. Blocks outside are pruned before any array is touched."""
-        rated = self.blocks.join(self.clips.select("clip_id", "sample_rate", "frames"), "clip_id")
+        rated = self._rated("sample_rate", "frames")
         a = F.least(F.col("frames"), F.greatest(F.lit(0), N.round_half_up(F.lit(start_s) * F.col("sample_rate"))))
         b = F.greatest(a + 1, F.least(F.col("frames"), N.round_half_up(F.lit(stop_s) * F.col("sample_rate"))))
         cut = rated.select("*", a.alias("a"), b.alias("b")).where((F.col("start") < F.col("b")) & (F.col("start") + F.size("samples") > F.col("a")))
@@ -92,7 +98,7 @@ class AudioFrame:
         return AudioFrame(self.clips.withColumn("frames", frames).withColumn("duration", F.col("frames") / F.col("sample_rate")), blocks)
 
     def reverse(self) -> "AudioFrame":
-        with_n = self.blocks.join(self.clips.select("clip_id", "frames"), "clip_id")
+        with_n = self._rated("frames")
         last = F.max("block_idx").over(Window.partitionBy("clip_id", "channel"))
         return AudioFrame(self.clips, with_n.select("clip_id", "channel", (last - F.col("block_idx")).alias("block_idx"), (F.col("frames") - F.col("start") - F.size("samples")).alias("start"), F.reverse("samples").alias("samples")))
 
@@ -100,27 +106,55 @@ class AudioFrame:
 
     def levels(self) -> DataFrame:
         """(clip_id, peak, rms): partial sums of blocks, then of clips."""
-        v = lambda x: x.cast("double")
-        part = self.blocks.select("clip_id", F.array_max(F.transform("samples", lambda x: F.abs(v(x)))).alias("p"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + v(x) * v(x)).alias("e"), F.size("samples").alias("n"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [np.asarray(x.values, np.float64) if x.is_valid else np.empty(0) for x in batch.column("samples")]
+                peaks = pa.array([float(np.abs(x).max()) if len(x) else None for x in lists], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column("clip_id"), peaks, pa.array([float(np.square(x).sum()) for x in lists], pa.float64()), pa.array([len(x) for x in lists], pa.int64())], ["clip_id", "p", "e", "n"])
+
+        part = self.blocks.select("clip_id", "samples").mapInArrow(run, "clip_id string, p double, e double, n long")
         return part.groupBy("clip_id").agg(F.max("p").alias("peak"), F.sqrt(F.sum("e") / F.sum("n")).alias("rms"))
 
     # --- kernels ----------------------------------------------------------------------------------------------------------
 
     def _per_clip(self, kernel: Callable[[str, int, list[np.ndarray]], pa.Table], out: str) -> DataFrame:
-        rated = self.blocks.join(self.clips.select("clip_id", "sample_rate"), "clip_id")
+        rate = self.rate
+
+        def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                names = batch.column("clip_id").to_pylist()
+                at = 0
+                for stop in range(1, len(names) + 1):
+                    if stop == len(names) or names[stop] != names[at]:
+                        if held and held[0].column("clip_id")[0].as_py() != names[at]:
+                            yield from kernel(held[0].column("clip_id")[0].as_py(), rate, channels_of(pa.Table.from_batches(held))).to_batches()
+                            held = []
+                        held.append(batch.slice(at, stop - at))
+                        at = stop
+            if held:
+                yield from kernel(held[0].column("clip_id")[0].as_py(), rate, channels_of(pa.Table.from_batches(held))).to_batches()
+
+        if rate is not None:
+            return self.blocks.mapInArrow(in_turn, out)
 
         def run(table: pa.Table) -> pa.Table:
             return kernel(table.column("clip_id")[0].as_py(), table.column("sample_rate")[0].as_py(), channels_of(table))
 
-        return rated.groupBy("clip_id").applyInArrow(run, out)
+        return self._rated("sample_rate").groupBy("clip_id").applyInArrow(run, out)
+
+    def _rated(self, *columns: str) -> DataFrame:
+        """The blocks with columns of their clips. Spark may take generated blocks for small, so neither side is broadcast: both are sorted by clip, as kernels need them."""
+        return self.blocks.hint("merge").join(self.clips.select("clip_id", *columns), "clip_id")
 
     def map_channels(self, f: Callable[[np.ndarray, int], np.ndarray], rate: int | None = None) -> "AudioFrame":
         """Applies f(samples, rate) to each channel; `rate` is the new sample rate where it changes."""
         blocks = self._per_clip(lambda k, r, xs: blocks_table(k, [np.asarray(f(x, r), np.float32) for x in xs]), schema.BLOCKS)
         new = F.col("sample_rate") if rate is None else F.lit(rate)
         frames = blocks.where("channel = 0").groupBy("clip_id").agg(F.sum(F.size("samples")).alias("frames"))
-        clips = self.clips.drop("frames").withColumn("sample_rate", new).join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
-        return AudioFrame(clips.select(*self.clips.columns), blocks)
+        clips = self.clips.drop("frames").withColumn("sample_rate", new).hint("merge").join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
+        return AudioFrame(clips.select(*self.clips.columns), blocks, self.rate if self.rate is None or rate is None else rate)
 
     def resample(self, to: int) -> "AudioFrame":
         from sonoframe.kernels.sampling import resample
@@ -154,14 +188,14 @@ class AudioFrame:
         """An effect of carried state (`kernels.pieces`), made by make(rate, channels), that keeps lengths. A clip passes through its task block by block."""
         from sonoframe.streaming.pieces import along
 
-        return AudioFrame(self.clips, along(self.blocks.join(self.clips.select("clip_id", "sample_rate", "channels"), "clip_id"), make))
+        return AudioFrame(self.clips, along(self._rated("sample_rate", "channels"), make))
 
     def _map_clips(self, f: Callable[[list[np.ndarray], int], list[np.ndarray]]) -> "AudioFrame":
         """Applies f(channels, rate), which may change the length but not the rate."""
         blocks = self._per_clip(lambda k, r, xs: blocks_table(k, f(xs, r)), schema.BLOCKS)
         frames = blocks.where("channel = 0").groupBy("clip_id").agg(F.sum(F.size("samples")).alias("frames"))
-        clips = self.clips.drop("frames").join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
-        return AudioFrame(clips.select(*self.clips.columns), blocks)
+        clips = self.clips.drop("frames").hint("merge").join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
+        return AudioFrame(clips.select(*self.clips.columns), blocks, self.rate)
 
     def stretch(self, factor: float) -> "AudioFrame":
         from sonoframe.kernels.rhythm import stretch
@@ -241,11 +275,11 @@ class AudioFrame:
         from sonoframe.kernels import edit
 
         out = self._map_clips(lambda xs, r: edit.set_channels(xs, n))
-        return AudioFrame(out.clips.withColumn("channels", F.lit(n)), out.blocks)
+        return AudioFrame(out.clips.withColumn("channels", F.lit(n)), out.blocks, out.rate)
 
     def extract_channel(self, channel: int) -> "AudioFrame":
         out = self._map_clips(lambda xs, r: [xs[min(max(0, channel), len(xs) - 1)]])
-        return AudioFrame(out.clips.withColumn("channels", F.lit(1)), out.blocks)
+        return AudioFrame(out.clips.withColumn("channels", F.lit(1)), out.blocks, out.rate)
 
     def swap_channels(self) -> "AudioFrame":
         return AudioFrame(self.clips, self.blocks.withColumn("channel", F.when(F.col("channel") == 0, 1).when(F.col("channel") == 1, 0).otherwise(F.col("channel"))))
@@ -254,7 +288,7 @@ class AudioFrame:
         """Joins clips under new names: order holds (joined, position, clip_id); the highest rate and the most channels hold for all of a join. held: the fade is at most half of a join's shortest clip."""
         from sonoframe.kernels import edit
 
-        rated = self.blocks.join(self.clips.select("clip_id", "sample_rate"), "clip_id").join(order.select("joined", "position", "clip_id"), "clip_id")
+        rated = self._rated("sample_rate").hint("merge").join(order.select("joined", "position", "clip_id"), "clip_id")
 
         def run(table: pa.Table) -> pa.Table:
             name = table.column("joined")[0].as_py()
@@ -285,6 +319,9 @@ class AudioFrame:
         ends = frame.blocks.groupBy("clip_id").agg(F.max(F.col("start") + size).alias("n"))
         facts = ends.select(F.col("clip_id").alias("of_clip"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / made))).alias("of_chunk")).where("n > 0")
         placed = frame.blocks.where(size > 0).select("clip_id", "channel", "start", "samples", F.explode(F.sequence(first.cast("long"), F.floor(last / made))).alias("chunk"))
+        begin = F.col("chunk") * made - trim  # of a block only what lies in the chunk goes to it
+        at, stop = F.greatest(F.col("start"), begin), F.least(F.col("start") + size, begin + chunk)
+        placed = placed.where(stop > at).select("clip_id", "channel", at.alias("start"), F.slice("samples", (at - F.col("start") + 1).cast("int"), (stop - at).cast("int")).alias("samples"), "chunk")
 
         def run(blocks: pa.Table, facts: pa.Table) -> pa.Table:
             if not facts.num_rows or not blocks.num_rows:  # what lies beyond a clip's last chunk
@@ -319,9 +356,7 @@ class AudioFrame:
 
     def loudness(self) -> DataFrame:
         """(clip_id, integrated, range, true_peak, peak, momentary, momentary_step). A clip is measured by stretches, on as many tasks; only energies of a tenth of a second meet."""
-        from sonoframe.kernels.loudness import HOP_S
         from sonoframe.kernels.pieces import segment_cells
-        from sonoframe.operators.gating import cell_loudness
 
         names = ["clip_id", "rate", "start", "stop", "energy", "peak", "true_peak"]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -337,6 +372,17 @@ class AudioFrame:
             cells = cells or [(at + warm, at + warm, 0.0, 0.0)]
             return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*[(clip_id, rate, *cell, top) for cell in cells]), kinds)], names)
 
+        def stretches(clip_id: str, rate: int, channels: list[np.ndarray]) -> pa.Table:
+            size, tail, n = schema.STRETCH * schema.BLOCK, schema.BLOCK, len(channels[0])
+            found = []
+            for at in range(0, max(1, n), size):
+                warm = tail if at else 0
+                cells, top = segment_cells([x[at - warm : at + size] for x in channels], rate, at - warm, warm, at + size >= n)
+                found += [(clip_id, rate, *cell, top) for cell in cells or [(at, at, 0.0, 0.0)]]
+            return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+
+        if self.rate is not None:
+            return self._loudness_of(self._per_clip(stretches, _CELLS))
         ends = self.blocks.groupBy("clip_id").agg(F.floor(F.max("block_idx") / schema.STRETCH).alias("end"))
         facts = ends.join(self.clips.select("clip_id", "sample_rate"), "clip_id").select("clip_id", "sample_rate", "end", F.explode(F.sequence(F.lit(0).cast("long"), "end")).alias("stretch"))
         facts = facts.select(F.col("clip_id").alias("of_clip"), F.col("stretch").alias("of_stretch"), "sample_rate", (F.col("stretch") == F.col("end")).alias("last"))
@@ -344,7 +390,13 @@ class AudioFrame:
         tail = F.col("block_idx") % schema.STRETCH == schema.STRETCH - 1
         places = F.array_compact(F.array(F.struct(stretch.alias("stretch"), F.lit(True).alias("own")), F.when(tail, F.struct((stretch + 1).alias("stretch"), F.lit(False).alias("own")))))
         placed = self.blocks.select("clip_id", "channel", "block_idx", "start", "samples", F.explode(places).alias("place")).select("clip_id", "channel", "block_idx", "start", "samples", "place.*")
-        cells = placed.groupBy("clip_id", "stretch").cogroup(facts.groupBy("of_clip", "of_stretch")).applyInArrow(run, "clip_id string, rate int, start long, stop long, energy double, peak double, true_peak double")
+        return self._loudness_of(placed.groupBy("clip_id", "stretch").cogroup(facts.groupBy("of_clip", "of_stretch")).applyInArrow(run, _CELLS))
+
+    @staticmethod
+    def _loudness_of(cells: DataFrame) -> DataFrame:
+        from sonoframe.kernels.loudness import HOP_S
+        from sonoframe.operators.gating import cell_loudness
+
         return cell_loudness(cells.withColumnRenamed("clip_id", "key")).select(F.col("key").alias("clip_id"), "integrated", "range", "true_peak", "peak", "momentary", F.lit(HOP_S).alias("momentary_step"))
 
     def keys(self) -> DataFrame:

@@ -80,3 +80,20 @@ def test_wav_headers_that_cannot_be_read(tmp_path):
     (tmp_path / "junk.wav").write_bytes(odd[:12] + b"LIST\x03\x00\x00\x00abc\x00" + odd[12:])
     with open(tmp_path / "junk.wav", "rb") as f:
         assert wav.read_header(f).frames == 4
+
+
+def test_generated_blocks_are_not_broadcast(spark, sf_dir):
+    """Spark takes blocks that a task generates for as small as the rows they come from; they must not pass through the driver."""
+    from sonoframe.plans import audio
+
+    made = audio.clips(spark, sf_dir)
+    dealt = AudioFrame(made.clips, made.blocks)
+    assert made.blocks.rdd.getNumPartitions() > 1 or made.clips.count() <= 1
+    for f in (made, dealt):
+        found = [f.keys(), f.resample(11025).clips, f.loudness()]
+        assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in found[:2])
+    few = [AudioFrame(f.clips.where("clip_id IN ('s1', 's2', 's3')"), f.blocks.where("clip_id IN ('s1', 's2', 's3')"), f.rate) for f in (made, dealt)]
+    got = [{r.clip_id: (r.integrated, r.true_peak) for r in f.loudness().collect()} for f in few]
+    assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k]) for k in got[0])
+    keys = [sorted((r.clip_id, r.name) for r in f.keys().collect()) for f in few]
+    assert keys[0] == keys[1] and keys[0]
