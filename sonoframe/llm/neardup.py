@@ -13,8 +13,10 @@ each other node is compared with it: where a group of copies has an original, th
 centre x, then y can only be linked to nodes z that differ from x in runs in which y does (else similarity(y, z) <=
 similarity(y, x)), and the nearer z is to x, the less that takes. So those still apart are compared with the member most
 similar to the centre, then with the next one, until a round links nothing. A large group of copies costs a few comparisons
-a node, texts alike in a template alone cost two each, and no list of members is gathered in one task. The README gives the
-share of links that all pairs of all buckets would add.
+a node, and no list of members is gathered in one task. What buckets still hold apart then is joined exactly: runs are ordered
+from rare to frequent, and of two texts over the threshold the first run that both have lies in the first tenth or so of the shorter's weight and in
+the first fifth of the longer's (prefix filter), so pairs that share such a run are compared, all of them. Texts alike in a
+template alone share none.
 
 Defined cases: null and empty texts, and texts without words, are equal to texts of the same bytes alone; shorter texts
 than five words are one run; repeated rows are one group; a null id is a member like others and never a group's name
@@ -24,7 +26,7 @@ one with the least hashes); an empty table gives no rows; very long texts are ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,14 @@ from sonoframe.llm.common import Bloom, components, materialize, mix64, release,
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 10, 3
 #: Runs in more than this share of the documents are common; lossy counting errs by at most the second share.
 COMMON, COUNT_ERROR = 0.05, 0.01
+#: Counts by which runs are ordered from rare to frequent. Runs that share one only change the order.
+RARITY = 1 << 18
 #: Parts that the members of one centre are dealt into while they are compared.
 SALTS = 64
 #: An id below all others stands for null.
 _NULL_ID = -(1 << 63)
 #: Bytes of text that a kernel hashes at a time: its arrays are some fifty times as large.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 Frequencies = tuple[np.ndarray, np.ndarray]
 
@@ -95,7 +99,7 @@ def common_runs(docs: DataFrame) -> Frequencies:
             runs, _, _ = _runs(part.column("text"))
             held.append(runs)
             n, size = n + part.num_rows, size + len(runs)
-            if n >= least_docs and size >= 2_000_000:
+            if n >= least_docs and size >= 1_000_000:
                 yield flush()
                 held.clear()
                 n = size = 0
@@ -223,26 +227,113 @@ def _compare(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, common) -> Da
     """
     salted = pairs.select("center", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), "node")
     roles = salted.withColumn("role", F.lit(1)).unionByName(salted.select("center", "salt", F.col("center").alias("node"), F.lit(0).alias("role")).distinct())
-    wanted = materialize(roles.join(nodes.select("node", "k1", "k2", F.coalesce("first_doc", F.lit(_NULL_ID)).alias("id")), "node"), "wanted", narrow=True)
-    bloom = keyed.sparkSession.sparkContext.broadcast(Bloom(wanted, "k1", "id", wanted._rows))
-    texts = split_by_bloom(keyed.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), "k1", "k2", "text"), bloom, "k1", "id", True)
-    rows = texts.join(wanted, ["k1", "k2", "id"]).select("center", "salt", "role", "node", "text")
-    dealt = rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
+    texts, done = _with_texts(roles, nodes, keyed)
+    dealt = texts.select("center", "salt", "role", "node", "text").repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
     found = materialize(dealt.mapInArrow(_comparer(common), "node long, center long, sim double").distinct(), "similarities", narrow=True)
-    bloom.unpersist()
-    release(wanted)
+    done()
     return found
 
 
-def _elect(rows: DataFrame) -> DataFrame:
-    """(center, node) for rows (key, node): in each key the node that shares most rows with others is the centre of the others."""
+def _with_texts(rows: DataFrame, nodes: DataFrame, keyed: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Rows with a node and their node's text, and what gives back the storage once they are read."""
+    wanted = materialize(rows.join(nodes.select("node", "k1", "k2", F.coalesce("first_doc", F.lit(_NULL_ID)).alias("id")), "node"), "wanted", narrow=True)
+    bloom = keyed.sparkSession.sparkContext.broadcast(Bloom(wanted, "k1", "id", wanted._rows))
+    texts = split_by_bloom(keyed.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), "k1", "k2", "text"), bloom, "k1", "id", True)
+
+    def done() -> None:
+        bloom.unpersist()
+        release(wanted)
+
+    return texts.join(wanted, ["k1", "k2", "id"]), done
+
+
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, n): how many of the texts' runs fall into each of RARITY places."""
+    counts = np.zeros(RARITY, np.int64)
+    for part in slices(batches, "text", size=SLICE):
+        runs, _, _ = _runs(part.column("text"))
+        counts += np.bincount((runs & np.uint64(RARITY - 1)).astype(np.int64), minlength=RARITY)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["place", "n"])
+
+
+def prefixes(runs: np.ndarray, weights: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, int, float]:
+    """(runs, n, total): a text's rarest runs, of which one is shared with any text as heavy or lighter that is similar by the threshold; the first n suffice where the other is as heavy or heavier.
+
+    Two such texts of weights a <= b share at least threshold * b and 2 * threshold / (1 + threshold) * a; what comes after the runs given weighs less.
+    """
+    order = np.lexsort((runs, rarity[(runs & np.uint64(RARITY - 1)).astype(np.int64)]))
+    total = float(weights.sum())
+    rest = total - np.cumsum(weights[order])
+    long, short = (min(len(runs), int(np.argmax(rest < share * total * (1 - 1e-9))) + 1) for share in (threshold, 2 * threshold / (1 + threshold)))
+    return runs[order[:long]], short, total
+
+
+def _prefixer(common, rarity, threshold: float):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", size=SLICE):
+            runs, counts, first = _runs(part.column("text"))
+            weights = np.exp(_log_weights(runs, counts, common.value).astype(np.float64))
+            found = [prefixes(runs[a:b], weights[a:b], rarity.value, threshold) if b > a else (runs[:0], 0, 0.0) for a, b in zip(first[:-1], first[1:])]
+            sizes = [len(x) for x, _, _ in found]
+            node = np.repeat(np.asarray(part.column("node")), sizes)
+            short = np.concatenate([np.arange(len(x)) < n for x, n, _ in found])
+            columns = np.concatenate([x for x, _, _ in found]).view(np.int64), node, np.repeat([t for _, _, t in found], sizes), short
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "node", "total", "short"])
+
+    return kernel
+
+
+def _rest(live: DataFrame, comp: DataFrame, tried: DataFrame, nodes: DataFrame, keyed: DataFrame, common, threshold: float) -> DataFrame | None:
+    """Similarities (node, center, sim), those of `tried` among them, that settle what buckets hold apart; None where they hold nothing apart.
+
+    First the lightest text of each run is compared with the others, so that a large group comes together in one round; then all pairs that are still apart.
+    """
+    spark = keyed.sparkSession
+    rooted = _with_root(live.select("key", "node"), comp, "node", "root")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
+    apart = materialize(rooted.join(mixed, "key").select("node").distinct(), "apart", narrow=True)
+    if not apart._rows:
+        return None
+    found, done = _with_texts(apart, nodes, keyed)
+    texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "apart-texts")
+    done()
+    counts = texts.mapInArrow(_rarity, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(RARITY, np.int64)
+    rarity[np.asarray(counts.column("place"), np.int64)] = np.asarray(counts.column("n"), np.int64)
+    rows = materialize(texts.mapInArrow(_prefixer(common, spark.sparkContext.broadcast(rarity), threshold), "run long, node long, total double, short boolean"), "prefixes")
+    release(texts)
+    a, b = F.struct("total", "node"), F.struct("z_total", "z")
+    for heads in (True, False):
+        least = rows.where("short")
+        least = least.groupBy("run").agg(F.min(a).alias("h")).select("run", F.col("h.total").alias("z_total"), F.col("h.node").alias("z")) if heads else least.select("run", F.col("total").alias("z_total"), F.col("node").alias("z"))
+        near = _with_root(rows.select("run", "node", "total"), comp, "node", "root").join(_with_root(least, comp, "z", "z_root"), "run")
+        near = near.where((F.col("root") != F.col("z_root")) & (a > b) & (F.col("z_total") >= F.col("total") * (threshold * (1 - 1e-9))))
+        pairs = near.select("node", F.col("z").alias("center")).distinct()
+        fresh = materialize(_untried(pairs, tried), "rest-pairs", narrow=True)
+        if fresh._rows:
+            tried = tried.unionByName(_compare(fresh, nodes, keyed, common))
+            comp = components(tried.where(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("center").alias("b")))
+        release(fresh)
+    release(rows, apart)
+    return tried
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (node, center) that were compared in neither order."""
+    x, y = F.greatest("node", "center").alias("x"), F.least("node", "center").alias("y")
+    old = tried.select(x, y)
+    return pairs.select("node", "center", x, y).join(old, ["x", "y"], "left_anti").select("node", "center").dropDuplicates()
+
+
+def _elect(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(center, node) for rows (key, node): in each key the node that shares most rows with others is the centre of the others. Also the rows whose key others have."""
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
     live = materialize(rows.join(counts, "key"), "shared-keys", narrow=True)
     weights = live.groupBy("node").agg(F.sum("n").alias("w"))
     best = live.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", "node")).alias("best")).select("key", F.col("best.node").alias("center"))
     found = materialize(live.join(best, "key").where("node != center").select("center", "node").distinct(), "members", narrow=True)
-    release(live)
-    return found
+    return found, live
 
 
 def _with_root(df: DataFrame, comp: DataFrame, column: str, to: str) -> DataFrame:
@@ -258,9 +349,7 @@ def _next_pairs(members: DataFrame, comp: DataFrame, before: DataFrame | None, t
     top = materialize(rest.groupBy("center").agg(F.max(F.struct("sim", "node")).alias("top")).select("center", F.col("top.node").alias("node"), F.col("top.sim").alias("sim")), "nearest", narrow=True)
     named = _with_root(top.select("center", F.col("node").alias("z")), comp, "z", "z_root")
     apart = _with_root(members.select("center", "node"), comp, "node", "root").join(named, "center").where("root != z_root")
-    pairs = apart.select("node", F.col("z").alias("center")).distinct().withColumns({"x": F.greatest("node", "center"), "y": F.least("node", "center")})
-    old = tried.select(F.greatest("node", "center").alias("x"), F.least("node", "center").alias("y"))
-    return top, materialize(pairs.join(old, ["x", "y"], "left_anti").select("node", "center").dropDuplicates(), "next-pairs", narrow=True)
+    return top, materialize(_untried(apart.select("node", F.col("z").alias("center")).distinct(), tried), "next-pairs", narrow=True)
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -274,7 +363,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     signed = materialize(keyed.mapInArrow(_signer(common, bands * rows), "doc_id long, k1 long, k2 long, samples array<int>"), "signatures")
     nodes = materialize(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.max("samples").alias("samples")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     band = [F.xxhash64(F.lit(b), *[F.col("samples")[b * rows + r] for r in range(rows)]) for b in range(bands)]
-    pairs = _elect(nodes.where(F.size("samples") > 0).select("node", F.explode(F.array(*band)).alias("key")))
+    pairs, live = _elect(nodes.where(F.size("samples") > 0).select("node", F.explode(F.array(*band)).alias("key")))
     members = tried = sims = _compare(pairs, nodes, keyed, common)
     near = F.col("sim") >= threshold
     top = None
@@ -289,6 +378,10 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         if not sims.where(near).head(1):
             break
         release(comp)
+    settled = _rest(live, comp, tried, nodes, keyed, common, threshold)
+    if settled is not None:
+        comp = components(settled.where(near).select(F.col("node").alias("a"), F.col("center").alias("b")))
+    release(live)
     rooted = _with_root(nodes, comp, "node", "root")
     least = F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "k1", "k2"))
     named = rooted.groupBy("root").agg(least.alias("least"), F.sum("n").alias("class_size"))

@@ -300,6 +300,35 @@ def test_runs_of_few_documents_count_in_full(spark):
     assert {r.class_id for r in neardup.mark(df).where("doc_id >= 20").collect()} == {20}
 
 
+def test_pairs_under_a_template_are_linked(spark):
+    """Texts that share a template alone fill the buckets of pairs that are linked beside it; no centre is near, and each pair is found all the same."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for t in range(3):
+        base, own = [word() for _ in range(400)], [word() for _ in range(60)]
+        rows += [(1000 * t + k, " ".join([*base, *(word() for _ in range(38 + k % 5))])) for k in range(100)]
+        rows += [(1000 * t + k, " ".join([*base, *own, *(word() for _ in range(20))])) for k in (500, 501)]
+    found = {r.doc_id: r.class_id for r in neardup.mark(spark.createDataFrame(rows, "doc_id long, text string"), bands=4, rows=1).collect()}
+    assert all(found[k] == (k - 1 if k % 1000 == 501 else k) for k in found)
+
+
+def test_a_prefix_is_shared_by_texts_over_the_threshold():
+    rng = np.random.default_rng(5)
+    rarity = rng.integers(0, 9, neardup.RARITY)
+    met = 0
+    for _ in range(300):
+        pool = rng.integers(0, 2**63, 60).astype(np.uint64)
+        texts = [np.sort(rng.choice(pool, rng.integers(45, 60), replace=False)) for _ in range(2)]
+        weights = {int(r): w for r, w in zip(pool, rng.uniform(1, 2, 60))}
+        x, y = sorted(((r, np.array([weights[int(v)] for v in r])) for r in texts), key=lambda v: v[1].sum())
+        if neardup.weighted_jaccard(x, y) >= 0.8:
+            (some, n, _), (more, _, _) = (neardup.prefixes(*v, rarity, 0.8) for v in (x, y))
+            met += 1
+            assert set(some[:n].tolist()) & set(more.tolist())
+    assert met > 30
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = random.Random(7)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
