@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoframe.llm.common import Bloom, components, materialize, mix64, release, segments, shingle_hashes, slices, split_by_bloom, table, text_buffer, word_hashes
@@ -41,6 +41,8 @@ WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 10, 3
 COMMON, COUNT_ERROR = 0.05, 0.01
 #: Counts by which runs are ordered from rare to frequent. Runs that share one only change the order.
 RARITY = 1 << 18
+#: 64-bit words of the mask that marks which rare runs a text has, in the join of what buckets hold apart.
+MASK_WORDS = 16
 #: Parts that the members of one centre are dealt into while they are compared.
 SALTS = 64
 #: An id below all others stands for null.
@@ -262,13 +264,41 @@ def prefixes(runs: np.ndarray, weights: np.ndarray, rarity: np.ndarray, threshol
 
     Two such texts of weights a <= b share at least threshold * b and 2 * threshold / (1 + threshold) * a; what comes after the runs given weighs less.
     """
-    order = np.lexsort((runs, rarity[(runs & np.uint64(RARITY - 1)).astype(np.int64)]))
+    order, left = _by_rarity(runs, weights, rarity)
     total = float(weights.sum())
-    rest = total - np.cumsum(weights[order])
+    rest = np.append(left[1:], 0.0)
     long, short = (min(len(runs), int(np.argmax(rest < share * total * (1 - 1e-9))) + 1) for share in (threshold, 2 * threshold / (1 + threshold)))
     return runs[order[:long]], short, total
 
 
+def _by_rarity(runs: np.ndarray, weights: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, left): the order of a text's runs from rare to frequent, and for each the weight of it and all after it."""
+    order = np.lexsort((runs, rarity[(runs & np.uint64(RARITY - 1)).astype(np.int64)]))
+    return order, np.cumsum(weights[order][::-1])[::-1]
+
+
+def masks(runs: np.ndarray, first: np.ndarray, common: Frequencies) -> np.ndarray:
+    """(texts, MASK_WORDS) of int64: bits that a text's runs set, common ones left out. A bit that one of two texts has alone stands for a run of weight 2 or more that the other lacks."""
+    out = np.zeros((len(first) - 1, 64 * MASK_WORDS), bool)
+    at = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    rare = ~np.isin(runs, common[0])
+    out[at[rare], (runs[rare] >> np.uint64(40)).astype(np.int64) % out.shape[1]] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
+
+
+_MASK = [f"m{k}" for k in range(MASK_WORDS)]
+
+
+def may_be_near(threshold: float) -> Column:
+    """For two texts (total, left, m0, ...) and (z_total, z_left, z_m0, ...) whose first shared run is the row's: false only where their similarity is under the threshold.
+
+    By the weights that each has left from that run on, of which they share no more, and by the bits of their masks that differ.
+    """
+    both = F.col("total") + F.col("z_total")
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"z_{m}"))) for m in _MASK[1:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("z_m0"))))
+    return (F.least("left", "z_left") >= both * (threshold / (1 + threshold) * (1 - 1e-9))) & (differ * 2.0 <= both * ((1 - threshold) / (1 + threshold) * (1 + 1e-6)))
+
+
 def _prefixer(common, rarity, threshold: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", size=SLICE):
@@ -278,8 +308,9 @@ def _prefixer(common, rarity, threshold: float):
             sizes = [len(x) for x, _, _ in found]
             node = np.repeat(np.asarray(part.column("node")), sizes)
             short = np.concatenate([np.arange(len(x)) < n for x, n, _ in found])
-            columns = np.concatenate([x for x, _, _ in found]).view(np.int64), node, np.repeat([t for _, _, t in found], sizes), short
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "node", "total", "short"])
+            left = np.concatenate([_by_rarity(runs[a:b], weights[a:b], rarity.value)[1][:n] for a, b, n in zip(first[:-1], first[1:], sizes)])
+            columns = np.concatenate([x for x, _, _ in found]).view(np.int64), node, np.repeat([t for _, _, t in found], sizes), short, left, *np.repeat(masks(runs, first, common.value), sizes, axis=0).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "node", "total", "short", "left", *_MASK])
 
     return kernel
 
@@ -301,15 +332,17 @@ def _rest(live: DataFrame, comp: DataFrame, tried: DataFrame, nodes: DataFrame,
     counts = texts.mapInArrow(_rarity, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     rarity = np.zeros(RARITY, np.int64)
     rarity[np.asarray(counts.column("place"), np.int64)] = np.asarray(counts.column("n"), np.int64)
-    rows = materialize(texts.mapInArrow(_prefixer(common, spark.sparkContext.broadcast(rarity), threshold), "run long, node long, total double, short boolean"), "prefixes")
+    rows = materialize(texts.mapInArrow(_prefixer(common, spark.sparkContext.broadcast(rarity), threshold), "run long, node long, total double, short boolean, left double, " + ", ".join(f"{m} long" for m in _MASK)), "prefixes")
     release(texts)
-    a, b = F.struct("total", "node"), F.struct("z_total", "z")
+    facts = ["node", "total", "left", *_MASK]
     for heads in (True, False):
         least = rows.where("short")
-        least = least.groupBy("run").agg(F.min(a).alias("h")).select("run", F.col("h.total").alias("z_total"), F.col("h.node").alias("z")) if heads else least.select("run", F.col("total").alias("z_total"), F.col("node").alias("z"))
-        near = _with_root(rows.select("run", "node", "total"), comp, "node", "root").join(_with_root(least, comp, "z", "z_root"), "run")
-        near = near.where((F.col("root") != F.col("z_root")) & (a > b) & (F.col("z_total") >= F.col("total") * (threshold * (1 - 1e-9))))
-        pairs = near.select("node", F.col("z").alias("center")).distinct()
+        if heads:
+            least = least.groupBy("run").agg(F.min(F.struct("total", *(c for c in facts if c != "total"))).alias("h")).select("run", "h.*")
+        least = _with_root(least.select("run", *(F.col(c).alias(f"z_{c}") for c in facts)), comp, "z_node", "z_root")
+        near = _with_root(rows.select("run", *facts), comp, "node", "root").join(least, "run")
+        near = near.where((F.col("root") != F.col("z_root")) & (F.struct("total", "node") > F.struct("z_total", "z_node")) & may_be_near(threshold))
+        pairs = near.select("node", F.col("z_node").alias("center")).distinct()
         fresh = materialize(_untried(pairs, tried), "rest-pairs", narrow=True)
         if fresh._rows:
             tried = tried.unionByName(_compare(fresh, nodes, keyed, common))
@@ -375,7 +408,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
             break
         sims = _compare(pairs, nodes, keyed, common)
         tried = tried.unionByName(sims)
-        if not sims.where(near).head(1):
+        if 10 * sims.where(near).count() < pairs._rows:
             break
         release(comp)
     settled = _rest(live, comp, tried, nodes, keyed, common, threshold)
