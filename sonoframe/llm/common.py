@@ -58,11 +58,17 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes tables that `materialize` wrote, once their last reader is done."""
+    """Deletes tables that `materialize` wrote, once their last reader is done.
+
+    Spark's cleaner drops the broadcasts and shuffle files of what ran only once the driver's JVM has collected its garbage, which it puts off
+    while its heap can grow; so that is asked for here.
+    """
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -249,28 +255,51 @@ def segments(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
 # --- connected components ----------------------------------------------------------------------------------------
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of a task's links (u, v); the root is the least node of the component."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = parent[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            x, y = root(u), root(v)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b: long): rows (node, root), root being the least node of the component.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). A hub's neighbours are joined with the hub's
-    minimum, which is pre-aggregated, so no list of neighbours is ever built. Each round is written to the shared
-    folder, and the one before is deleted; the number of rounds grows with the logarithm of the number of nodes. Nodes
-    without a link aren't returned.
+    minimum, which is pre-aggregated, so no list of neighbours is ever built. Each step is written to the shared
+    folder, and the one before is deleted; the number of rounds grows with the logarithm of the number of nodes. So few
+    links that `materialize` reads them as one partition (at most `NARROW_ROWS`) are settled by that partition's task, without
+    rounds: their plans would cost the driver far more than the links. Nodes without a link aren't returned.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", narrow=True)
+    if edges._rows <= NARROW_ROWS:
+        found = materialize(edges.mapInArrow(_forest, "node long, root long"), "components", narrow=True)
+        release(edges)
+        return found
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         kept = low.where("m < u").select("u", F.col("m").alias("v"))
-        star = large.unionByName(kept).distinct()
+        star = materialize(large.unionByName(kept).distinct(), "stars", narrow=True)  # read three times below
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         seen = Observation()  # what tells a round from the one before comes with its write
         new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         old, edges = edges, materialize(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges", narrow=True)
-        release(old)
+        release(old, star)
         now = seen.get
         if now == before:
             break
