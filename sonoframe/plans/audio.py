@@ -88,8 +88,12 @@ def clip_keys(spark, sf_dir):
 @query()
 def clip_kinds(spark, sf_dir):
     names = ("syllables", "gaps", "consonants", "voiced", "voiced_frames", "on_notes", "held", "beat", "bass", "correlation")
-    found = _each(clips(spark, sf_dir), ", ".join(f"{n} double" for n in names), lambda xs, r: [classify.measure(xs, r)[n] for n in names])
-    return votes.classify(found)
+
+    def measures(xs, r):
+        found = classify.measure(xs, r)
+        return [found[n] for n in names]
+
+    return votes.classify(_each(clips(spark, sf_dir), ", ".join(f"{n} double" for n in names), measures))
 
 
 @query()

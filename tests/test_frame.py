@@ -97,3 +97,24 @@ def test_generated_blocks_are_not_broadcast(spark, sf_dir):
     assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k]) for k in got[0])
     keys = [sorted((r.clip_id, r.name) for r in f.keys().collect()) for f in few]
     assert keys[0] == keys[1] and keys[0]
+
+
+@pytest.mark.parametrize("name", ["clip_kinds", "clip_tempo", "identity_demix", "spectrum_shares", "resampled", "stem_levels", "stft_round_trip", "stretched", "true_peaks"])
+def test_queries_of_clips_broadcast_nothing(spark, sf_dir, name):
+    from sonoframe.plans import audio
+
+    assert "Broadcast" not in audio.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_clip_is_measured_once(monkeypatch):
+    """For clip_kinds: ten measures of a clip come from one reading of it."""
+    from sonoframe.kernels import classify
+    from sonoframe.plans import audio
+
+    calls, kernels = [], []
+    monkeypatch.setattr(classify, "measure", lambda xs, r: calls.append(r) or dict.fromkeys(("syllables", "gaps", "consonants", "voiced", "voiced_frames", "on_notes", "held", "beat", "bass", "correlation"), 0.5))
+    monkeypatch.setattr(audio, "clips", lambda *_: None)
+    monkeypatch.setattr(audio, "_each", lambda _, names, f: kernels.append(f))
+    monkeypatch.setattr(audio.votes, "classify", lambda _: None)
+    audio.clip_kinds(None, None)
+    assert kernels[0]([np.zeros(8)], 8000) == [0.5] * 10 and calls == [8000]
