@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a kernel holds as Python objects at a time, and bytes of text at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Rows of an Arrow batch while `materialize` writes: an executor and its Python worker hold a batch whole, in buffers that grow by doubling.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +50,8 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     seen = Observation()
-    (df.observe(seen, F.count(F.lit(1)).alias("n")) if narrow else df).write.parquet(path)
+    with short_batches(spark):
+        (df.observe(seen, F.count(F.lit(1)).alias("n")) if narrow else df).write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     found = spark.read.schema(df.schema).parquet(path)
@@ -95,8 +101,61 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()).to_pylist()
 
 
+# --- memory of Python workers ------------------------------------------------------------------------------------
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within sends Python at most BATCH_ROWS rows at a time, or the session's own number where that is less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if 0 < int(own) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+_kept: dict[Hashable, object] = {}
+_kept_for: list[int] = []
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """make(), once for each Python worker: it stays from task to task, until the worker gets a task of another stage by `map_arrow`."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _begin() -> None:
+    task = TaskContext.get()
+    stage = [task.stageId()] if task else []
+    if stage != _kept_for:
+        _kept.clear()
+        _kept_for[:] = stage
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: Arrow's pool and the C library hold on to it, and a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
+    """df.mapInArrow, its workers keeping nothing that a task of another stage left (see `kept`) nor what they have freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
+        try:
+            yield from kernel(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 # --- hashing -------------------------------------------------------------------------------------------------
@@ -284,7 +343,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", narrow=True)
     if edges._rows <= NARROW_ROWS:
-        found = materialize(edges.mapInArrow(_forest, "node long, root long"), "components", narrow=True)
+        found = materialize(map_arrow(edges, _forest, "node long, root long"), "components", narrow=True)
         release(edges)
         return found
     before = None

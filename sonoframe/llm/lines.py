@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import Bloom, components, materialize, mix64, partitions, power_table, release, slices, split_by_bloom, table
+from sonoframe.llm.common import Bloom, components, map_arrow, materialize, mix64, partitions, power_table, release, slices, split_by_bloom, table
 
 LEAST_CHARS, LEAST_DOCS, LONG_WORDS = 16, 3, 20
 #: Similarity that shared lines alone must reach for a document to be left to near-duplicate detection, and the run length there.
@@ -565,7 +565,7 @@ def _group_links(rows: DataFrame, max_edits: int | None, local_lines: int) -> Da
         sizes = level.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
         sizes = materialize(sizes.where("n >= 2").withColumn("large", ((F.col("n") > local_lines) | (F.col("chars") > LOCAL_CHARS)) & (F.col("n") > FEW)), "line-group-sizes", narrow=True)
         small = level.join(sizes.where("NOT large").select("g"), "g").select("g", "node", "content", "rest")
-        found = materialize(small.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_settle(max_edits), "a long, b long"), "line-links", narrow=True)
+        found = materialize(map_arrow(small.repartition("g").sortWithinPartitions("g", "node"), _settle(max_edits), "a long, b long"), "line-links", narrow=True)
         links = found if links is None else links.unionByName(found)
         if not sizes.where("large").head(1):
             return links
@@ -577,11 +577,11 @@ def _group_links(rows: DataFrame, max_edits: int | None, local_lines: int) -> Da
         facts = ["low", "high", "rlow", "rhigh", "longest", "shortest", "least_left"]
         common = common.select("g", F.col("least.node").alias("least"), F.col("least.content").alias("least_content"), *facts)
         split = large.join(common, "g").select("g", "node", "content", "rest", "least", "least_content", *facts)
-        done = materialize(split.mapInArrow(_split(max_edits), "g long, node long, content string, rest string, least long, keep long, gaps string"), "line-splits")
+        done = materialize(map_arrow(split, _split(max_edits), "g long, node long, content string, rest string, least long, keep long, gaps string"), "line-splits")
         kept = done.where("keep IS NOT NULL").select("keep", "gaps", "node")
         reps = materialize(kept.groupBy("keep", "gaps").agg(F.min("node").alias("rep")), "line-kept")
         star = kept.join(reps, ["keep", "gaps"]).where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        meet = reps.repartition("keep").sortWithinPartitions("keep").mapInArrow(_meeting, "a long, b long")
+        meet = map_arrow(reps.repartition("keep").sortWithinPartitions("keep"), _meeting, "a long, b long")
         to_least = done.where("least IS NOT NULL").select(F.col("node").alias("a"), F.col("least").alias("b"))
         links = links.unionByName(materialize(to_least.unionByName(star).unionByName(meet).distinct(), "line-links", narrow=True))
         level = done.where("g IS NOT NULL").select("g", "node", "content", "rest")
@@ -590,10 +590,10 @@ def _group_links(rows: DataFrame, max_edits: int | None, local_lines: int) -> Da
 def near_lines(texts: DataFrame, packed: DataFrame, max_edits: int | None, least_chars: int, local_lines: int = LOCAL_LINES) -> DataFrame:
     """(l1, l2, c1, c2, near): lines that are linked to another, the line that names their class, and the number of other lines in it."""
     spark = texts.sparkSession
-    members = materialize(packed.mapInArrow(_shared, "g long, l1 long").distinct(), "line-members", narrow=True)
+    members = materialize(map_arrow(packed, _shared, "g long, l1 long").distinct(), "line-members", narrow=True)
     wanted = members.select("l1").distinct()
     bloom = spark.sparkContext.broadcast(Bloom(wanted, "l1", "l1"))
-    found = texts.mapInArrow(_texts_of(bloom, least_chars), "l1 long, l2 long, content string").dropDuplicates(["l1", "l2"])
+    found = map_arrow(texts, _texts_of(bloom, least_chars), "l1 long, l2 long, content string").dropDuplicates(["l1", "l2"])
     nodes = materialize(found.join(wanted, "l1").withColumn("node", F.monotonically_increasing_id()), "line-nodes")
     bloom.unpersist()
     rows = materialize(members.join(nodes, "l1").select("g", "node", "content", F.lit(None).cast("string").alias("rest")), "line-groups")
@@ -628,7 +628,7 @@ def removals(docs: DataFrame, max_edits: int | None = None, least_chars: int = L
     texts = _identified(docs).where("text IS NOT NULL").select("id", "t", "text")
     spark = docs.sparkSession
     parts = max(partitions(spark), -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS))
-    facts = materialize(texts.mapInArrow(_facts(max_edits, least_chars, parts), FACTS), "line-facts")
+    facts = materialize(map_arrow(texts, _facts(max_edits, least_chars, parts), FACTS), "line-facts")
     found = facts.where("l1 IS NOT NULL").select(*[x.split()[0] for x in OCCURRENCES.split(", ")])  # repeated rows give theirs again
     near = near_lines(texts.select("text"), facts.where("part IS NOT NULL").select("part", "entries").repartitionById(parts, F.col("part")), max_edits, least_chars)
     equal = found.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("id").alias("source"))

@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import Bloom, components, materialize, mix64, release, segments, shingle_hashes, slices, split_by_bloom, table, text_buffer, word_hashes
+from sonoframe.llm.common import Bloom, components, map_arrow, materialize, mix64, release, segments, shingle_hashes, short_batches, slices, split_by_bloom, table, text_buffer, word_hashes
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 10, 3
 #: Runs in more than this share of the documents are common; lossy counting errs by at most the second share.
@@ -109,8 +109,10 @@ def common_runs(docs: DataFrame) -> Frequencies:
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
     parts = texts.coalesce(max(1, total // (4 * least_docs)))  # lossy counting needs enough documents in a task
-    likely = parts.mapInArrow(may_be_common, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= (COMMON - COUNT_ERROR) * total).select("run")
-    names = np.sort(np.array([r.run for r in likely.collect()], np.int64).view(np.uint64))  # bounded by runs of a mean document / (COMMON - COUNT_ERROR)
+    likely = map_arrow(parts, may_be_common, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= (COMMON - COUNT_ERROR) * total).select("run")
+    with short_batches(docs.sparkSession):
+        found = likely.collect()
+    names = np.sort(np.array([r.run for r in found], np.int64).view(np.uint64))  # bounded by runs of a mean document / (COMMON - COUNT_ERROR)
     if not len(names):
         return names, np.empty(0)
     sent = docs.sparkSession.sparkContext.broadcast(names)
@@ -126,8 +128,9 @@ def common_runs(docs: DataFrame) -> Frequencies:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["k", "n"])
 
     df = np.zeros(len(names))
-    for r in texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        df[r.k] = r.n
+    with short_batches(docs.sparkSession):
+        for r in map_arrow(texts, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+            df[r.k] = r.n
     often = df >= COMMON * total
     return names[often], 1.0 + np.log(total / df[often]) / np.log(1 / COMMON)
 
@@ -231,7 +234,7 @@ def _compare(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, common) -> Da
     roles = salted.withColumn("role", F.lit(1)).unionByName(salted.select("center", "salt", F.col("center").alias("node"), F.lit(0).alias("role")).distinct())
     texts, done = _with_texts(roles, nodes, keyed)
     dealt = texts.select("center", "salt", "role", "node", "text").repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
-    found = materialize(dealt.mapInArrow(_comparer(common), "node long, center long, sim double").distinct(), "similarities", narrow=True)
+    found = materialize(map_arrow(dealt, _comparer(common), "node long, center long, sim double").distinct(), "similarities", narrow=True)
     done()
     return found
 
@@ -329,10 +332,11 @@ def _rest(live: DataFrame, comp: DataFrame, tried: DataFrame, nodes: DataFrame,
     found, done = _with_texts(apart, nodes, keyed)
     texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "apart-texts")
     done()
-    counts = texts.mapInArrow(_rarity, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    with short_batches(spark):
+        counts = map_arrow(texts, _rarity, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     rarity = np.zeros(RARITY, np.int64)
     rarity[np.asarray(counts.column("place"), np.int64)] = np.asarray(counts.column("n"), np.int64)
-    rows = materialize(texts.mapInArrow(_prefixer(common, spark.sparkContext.broadcast(rarity), threshold), "run long, node long, total double, short boolean, left double, " + ", ".join(f"{m} long" for m in _MASK)), "prefixes")
+    rows = materialize(map_arrow(texts, _prefixer(common, spark.sparkContext.broadcast(rarity), threshold), "run long, node long, total double, short boolean, left double, " + ", ".join(f"{m} long" for m in _MASK)), "prefixes")
     release(texts)
     facts = ["node", "total", "left", *_MASK]
     for heads in (True, False):
@@ -393,7 +397,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     spark = docs.sparkSession
     keyed = _with_keys(docs)
     common = spark.sparkContext.broadcast(common_runs(docs))
-    signed = materialize(keyed.mapInArrow(_signer(common, bands * rows), "doc_id long, k1 long, k2 long, samples array<int>"), "signatures")
+    signed = materialize(map_arrow(keyed, _signer(common, bands * rows), "doc_id long, k1 long, k2 long, samples array<int>"), "signatures")
     nodes = materialize(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.max("samples").alias("samples")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     band = [F.xxhash64(F.lit(b), *[F.col("samples")[b * rows + r] for r in range(rows)]) for b in range(bands)]
     pairs, live = _elect(nodes.where(F.size("samples") > 0).select("node", F.explode(F.array(*band)).alias("key")))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import ChunkCache, materialize, segments, slices, table, utf8
+from sonoframe.llm.common import ChunkCache, kept, map_arrow, materialize, segments, slices, table, utf8
 
 MAX_TOKENS, CLOSING_ID, OPEN_WINDOWS = 4096, 2, 64
 #: Windows that one merging task gets at the mean.
@@ -159,14 +159,9 @@ class WordIds:
             yield b"".join(map(known.__getitem__, chunks))
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def encoder(path: str) -> WordIds:
-    """One for each Python worker; it keeps its cache from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
+    """One for each Python worker; it keeps its cache from task to task of a stage."""
+    return kept(("word ids", path), lambda: WordIds(path))
 
 
 class Windows:
@@ -257,7 +252,7 @@ def _merge(size: int):
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = MAX_TOKENS, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one for each piece."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    pieces = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packer(path, size, open_windows), PIECES), "pieces")
+    pieces = materialize(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _packer(path, size, open_windows), PIECES), "pieces")
     left = pieces.where("left_open").groupBy("window").agg(F.sum("length").alias("fill"))
     groups = max(1, -(-pieces.where("first_open").count() // MERGE_WINDOWS))
     moves = left.withColumn("g", F.pmod(F.xxhash64("window"), F.lit(groups))).groupBy("g").applyInArrow(_merge(size), "window long, sequence_id long, shift long")

@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import materialize, slices, table
+from sonoframe.llm.common import map_arrow, materialize, slices, table
 
 #: Labelled documents of each kind that are learned from, at most about. Patterns are as many as the sample gives.
 SAMPLE_ROWS = 15_000
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cont
     totals = {t: n for t, n in learn.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Model({}, None)
-    words = learn.select("text", "toxic").mapInArrow(_word_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = map_arrow(learn.select("text", "toxic"), _word_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     stems = words.select(F.explode(F.array(F.struct(F.col("word").alias("p")), *[F.struct(F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))).alias("p")) for n in STEM_LENGTHS])).alias("s"), "bad", "good")
     found = stems.select("s.p", "bad", "good").where("p IS NOT NULL").groupBy("p").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / F.lit(totals[1] + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(totals[0] + 1.0))
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cont
             x = reader.features(part.column("text").to_pylist()).tolist()
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    held = tune.select("text", "toxic").mapInArrow(kernel, "toxic int, x array<double>").toArrow()
+    held = map_arrow(tune.select("text", "toxic"), kernel, "toxic int, x array<double>").toArrow()
     y = np.asarray(held.column("toxic"), float)
     if len(set(y)) < 2:
         return Model(patterns, None, threats, contexts)
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = wanted.mapInArrow(kernel, "doc_id long, score double")
+    scored = map_arrow(wanted, kernel, "doc_id long, score double")
     return scored.select("doc_id", (_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -274,7 +274,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for part in slices(batches, "text"):
             yield part.filter(pa.array(sent.value.score(part.column("text").to_pylist()) < 0.5))
 
-    return docs.mapInArrow(kernel, schema)
+    return map_arrow(docs, kernel, schema)
 
 
 def op7_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
