@@ -113,6 +113,27 @@ def test_resample_keeps_a_tone():
     assert np.array_equal(sampling.resample(t, 8000, 11025), np.concatenate([sampling.resample(t, 8000, 11025, piece=997)]))
 
 
+@pytest.mark.parametrize("rate, to", [(8000, 11025), (44100, 48000), (48000, 8000), (8000, 8001), (96000, 1000)])
+def test_resampling_by_phases(rate, to, monkeypatch):
+    """For resampled: weights between whole rates are worked out once, not for each sample; every sample is as with weights of its own."""
+    reached, made = sampling._reached, []
+    x = np.random.default_rng(5).normal(size=100_003).astype(np.float32)
+    odd = x.copy()
+    odd[[700, 60_000]] = np.inf, np.nan
+    n = len(sampling.resample(x, rate, to))
+    sampling._phases.cache_clear()
+    monkeypatch.setattr(sampling, "_reached", lambda centre, scale: made.append(len(centre)) or reached(centre, scale))
+    found = [sampling.resample(s, rate, to, length) for s, length in ((x, None), (x, None), (x, n + 999), (x, n // 2))]
+    assert sum(made) <= n / 4
+    scale = min(1.0, to / rate) * sampling.ROLLOFF
+    with np.errstate(invalid="ignore"):
+        whole = [sampling._between(s, 0, n, rate / to, scale) for s in (x, odd)]
+        got = sampling.resample(odd, rate, to)
+    assert all(np.abs(a[:n] - whole[0][: len(a)]).max() < 1e-6 for a in found)
+    assert [len(a) for a in found] == [n, n, n + 999, n // 2] and not found[2][n + int(sampling.CROSSINGS / scale * to / rate) + 2 :].any()
+    assert np.array_equal(np.isfinite(got), np.isfinite(whole[1])) and np.abs(got - whole[1])[np.isfinite(got)].max() < 1e-6
+
+
 def test_all_int16_values_survive():
     k = np.arange(-32768, 32768)
     floats = np.where(k < 0, k / 32768, k / 32767)
