@@ -22,10 +22,12 @@ from sonoframe.functions import numeric as N
 
 def channels_of(table: pa.Table) -> list[np.ndarray]:
     """The channels of one clip from its blocks, in order."""
-    table = table.sort_by([("channel", "ascending"), ("block_idx", "ascending")])
-    channel = np.asarray(table.column("channel"))
+    order = np.lexsort((np.asarray(table.column("block_idx")), np.asarray(table.column("channel"))))
+    if (order != np.arange(len(order))).any():
+        table = table.take(pa.array(order))
+    _, first, count = np.unique(np.asarray(table.column("channel")), return_index=True, return_counts=True)
     lists = table.column("samples").combine_chunks()
-    return [np.asarray(lists.filter(pa.array(channel == c)).flatten(), np.float32) for c in np.unique(channel)]
+    return [np.asarray(lists.slice(a, n).flatten(), np.float32) for a, n in zip(first.tolist(), count.tolist())]
 
 
 def blocks_table(clip_id: str, channels: list[np.ndarray], block: int = schema.BLOCK) -> pa.Table:
@@ -43,6 +45,13 @@ class AudioFrame:
     blocks: DataFrame
     #: The rate of all clips, set where each clip's blocks follow one another in one task: kernels then need no shuffle.
     rate: int | None = None
+    #: Rows, and what makes the blocks of their record batches by mapInArrow: kernels then go on in the same Python worker, and samples do not go to the JVM and back.
+    made: tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]] | None = None
+
+    @staticmethod
+    def making(clips: DataFrame, rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rate: int) -> "AudioFrame":
+        """A frame whose blocks are made of rows, a clip's one after another in one task."""
+        return AudioFrame(clips, rows.mapInArrow(make, schema.BLOCKS), rate, (rows, make))
 
     @staticmethod
     def from_arrays(spark: SparkSession, clips: dict[str, tuple[int, list[np.ndarray]]]) -> "AudioFrame":
@@ -113,13 +122,21 @@ class AudioFrame:
                 peaks = pa.array([float(np.abs(x).max()) if len(x) else None for x in lists], pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column("clip_id"), peaks, pa.array([float(np.square(x).sum()) for x in lists], pa.float64()), pa.array([len(x) for x in lists], pa.int64())], ["clip_id", "p", "e", "n"])
 
-        part = self.blocks.select("clip_id", "samples").mapInArrow(run, "clip_id string, p double, e double, n long")
+        out = "clip_id string, p double, e double, n long"
+        part = self.blocks.select("clip_id", "samples").mapInArrow(run, out) if self.made is None else self._batches(run, out)
         return part.groupBy("clip_id").agg(F.max("p").alias("peak"), F.sqrt(F.sum("e") / F.sum("n")).alias("rms"))
 
     # --- kernels ----------------------------------------------------------------------------------------------------------
 
-    def _per_clip(self, kernel: Callable[[str, int, list[np.ndarray]], pa.Table], out: str) -> DataFrame:
-        rate = self.rate
+    def _batches(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
+        if self.made is None:
+            return self.blocks.mapInArrow(f, out)
+        rows, make = self.made
+        return rows.mapInArrow(lambda batches: f(make(batches)), out)
+
+    @staticmethod
+    def _in_turn(kernel: Callable[[str, int, list[np.ndarray]], pa.Table], rate: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The kernel over clips whose blocks follow one another."""
 
         def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -136,8 +153,11 @@ class AudioFrame:
             if held:
                 yield from kernel(held[0].column("clip_id")[0].as_py(), rate, channels_of(pa.Table.from_batches(held))).to_batches()
 
-        if rate is not None:
-            return self.blocks.mapInArrow(in_turn, out)
+        return in_turn
+
+    def _per_clip(self, kernel: Callable[[str, int, list[np.ndarray]], pa.Table], out: str) -> DataFrame:
+        if self.rate is not None:
+            return self._batches(self._in_turn(kernel, self.rate), out)
 
         def run(table: pa.Table) -> pa.Table:
             return kernel(table.column("clip_id")[0].as_py(), table.column("sample_rate")[0].as_py(), channels_of(table))
@@ -150,11 +170,7 @@ class AudioFrame:
 
     def map_channels(self, f: Callable[[np.ndarray, int], np.ndarray], rate: int | None = None) -> "AudioFrame":
         """Applies f(samples, rate) to each channel; `rate` is the new sample rate where it changes."""
-        blocks = self._per_clip(lambda k, r, xs: blocks_table(k, [np.asarray(f(x, r), np.float32) for x in xs]), schema.BLOCKS)
-        new = F.col("sample_rate") if rate is None else F.lit(rate)
-        frames = blocks.where("channel = 0").groupBy("clip_id").agg(F.sum(F.size("samples")).alias("frames"))
-        clips = self.clips.drop("frames").withColumn("sample_rate", new).hint("merge").join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
-        return AudioFrame(clips.select(*self.clips.columns), blocks, self.rate if self.rate is None or rate is None else rate)
+        return self._map_clips(lambda xs, r: [np.asarray(f(x, r), np.float32) for x in xs], rate)
 
     def resample(self, to: int) -> "AudioFrame":
         from sonoframe.kernels.sampling import resample
@@ -190,12 +206,37 @@ class AudioFrame:
 
         return AudioFrame(self.clips, along(self._rated("sample_rate", "channels"), make))
 
-    def _map_clips(self, f: Callable[[list[np.ndarray], int], list[np.ndarray]]) -> "AudioFrame":
-        """Applies f(channels, rate), which may change the length but not the rate."""
-        blocks = self._per_clip(lambda k, r, xs: blocks_table(k, f(xs, r)), schema.BLOCKS)
-        frames = blocks.where("channel = 0").groupBy("clip_id").agg(F.sum(F.size("samples")).alias("frames"))
-        clips = self.clips.drop("frames").hint("merge").join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
-        return AudioFrame(clips.select(*self.clips.columns), blocks, self.rate)
+    def _map_clips(self, f: Callable[[list[np.ndarray], int], list[np.ndarray]], rate: int | None = None) -> "AudioFrame":
+        """Applies f(channels, rate), which may change the length; `rate` is the new sample rate where it changes."""
+        out = self._mapped(lambda k, r, xs: blocks_table(k, f(xs, r)), rate)
+        frames = out._frames().groupBy("clip_id").agg(F.sum("n").alias("frames"))
+        new = F.col("sample_rate") if rate is None else F.lit(rate)
+        clips = self.clips.drop("frames").withColumn("sample_rate", new).hint("merge").join(frames, "clip_id").withColumn("duration", F.col("frames") / F.col("sample_rate"))
+        return AudioFrame(clips.select(*self.clips.columns), out.blocks, out.rate, out.made)
+
+    def _mapped(self, kernel: Callable[[str, int, list[np.ndarray]], pa.Table], rate: int | None = None) -> "AudioFrame":
+        """The blocks that a kernel makes of each clip; rows of clips stay."""
+        blocks = self._per_clip(kernel, schema.BLOCKS)
+        if self.rate is None:
+            return AudioFrame(self.clips, blocks)
+        made = None
+        if self.made is not None:
+            rows, make = self.made
+            step = self._in_turn(kernel, self.rate)
+            made = rows, lambda batches: step(make(batches))
+        return AudioFrame(self.clips, blocks, self.rate if rate is None else rate, made)
+
+    def _frames(self) -> DataFrame:
+        """(clip_id, n): samples of the first channel, in parts."""
+        if self.made is None:
+            return self.blocks.where("channel = 0").select("clip_id", F.size("samples").cast("long").alias("n"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first = batch.filter(pa.compute.equal(batch.column("channel"), 0))
+                yield pa.RecordBatch.from_arrays([first.column("clip_id"), pa.compute.list_value_length(first.column("samples")).cast(pa.int64())], ["clip_id", "n"])
+
+        return self._batches(run, "clip_id string, n long")
 
     def stretch(self, factor: float) -> "AudioFrame":
         from sonoframe.kernels.rhythm import stretch
@@ -275,11 +316,11 @@ class AudioFrame:
         from sonoframe.kernels import edit
 
         out = self._map_clips(lambda xs, r: edit.set_channels(xs, n))
-        return AudioFrame(out.clips.withColumn("channels", F.lit(n)), out.blocks, out.rate)
+        return AudioFrame(out.clips.withColumn("channels", F.lit(n)), out.blocks, out.rate, out.made)
 
     def extract_channel(self, channel: int) -> "AudioFrame":
         out = self._map_clips(lambda xs, r: [xs[min(max(0, channel), len(xs) - 1)]])
-        return AudioFrame(out.clips.withColumn("channels", F.lit(1)), out.blocks, out.rate)
+        return AudioFrame(out.clips.withColumn("channels", F.lit(1)), out.blocks, out.rate, out.made)
 
     def swap_channels(self) -> "AudioFrame":
         return AudioFrame(self.clips, self.blocks.withColumn("channel", F.when(F.col("channel") == 0, 1).when(F.col("channel") == 1, 0).otherwise(F.col("channel"))))
@@ -308,11 +349,36 @@ class AudioFrame:
         return AudioFrame(clips, joined.drop("sample_rate"))
 
     def separate(self, runner: Callable[[np.ndarray], np.ndarray], n_fft: int, hop: int, dim_f: int, dim_t: int, compensate: float = 1.0, rate: int = 44100) -> "AudioFrame":
-        """The part of each clip that a model finds (`kernels.demix`), in two channels at `rate`. A clip's overlapping chunks are rows of their own, so a long one is shared by many tasks."""
+        """The part of each clip that a model finds (`kernels.demix`), in two channels at `rate`. A clip's overlapping chunks are rows of their own, so a long one is shared by many tasks;
+        where a clip's blocks already follow one another in one task, it goes through them chunk by chunk and no sample is shuffled."""
         from sonoframe.kernels.demix import demix_chunk, geometry
 
-        frame = self.set_channels(2).resample(rate)
+        frame = self.set_channels(2)
+        if frame.rate != rate:
+            frame = frame.resample(rate)
         chunk, trim, made = geometry(hop, dim_t, n_fft)
+
+        def found(clip_id: str, k: int, n: int, sound: np.ndarray) -> tuple[list[str], list[int], list[int], list[int], list[np.ndarray]]:
+            out = demix_chunk(sound, runner, n_fft, hop, dim_f, dim_t, compensate)[:, : n - k * made].astype(np.float32)
+            return [clip_id] * 2, [0, 1], [k] * 2, [k * made] * 2, list(out)
+
+        def rows_of(parts: list[tuple]) -> pa.Table:
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())]
+            columns = [[v for part in column for v in part] for column in zip(*parts)] or [[]] * 5
+            return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["clip_id", "channel", "block_idx", "start", "samples"])
+
+        def whole(clip_id: str, rate: int, channels: list[np.ndarray]) -> pa.Table:
+            n, parts = len(channels[0]), []
+            for k in range(-(-n // made)):
+                sound, begin = np.zeros((2, chunk)), k * made - trim
+                a, b = max(0, begin), min(begin + chunk, n)
+                for c, x in enumerate(channels):
+                    sound[c, a - begin : b - begin] = x[a:b]
+                parts.append(found(clip_id, k, n, sound))
+            return rows_of(parts)
+
+        if frame.rate is not None:
+            return frame._mapped(whole)
         size = F.size("samples")
         last = F.col("start") + size - 1 + trim
         first = F.greatest(F.lit(0), F.floor((F.col("start") + trim - chunk) / made) + 1)
@@ -333,10 +399,7 @@ class AudioFrame:
                 a, b = max(begin, start), min(begin + chunk, start + len(x))
                 if b > a:
                     sound[c, a - begin : b - begin] = x[a - start : b - start]
-            found = demix_chunk(sound, runner, n_fft, hop, dim_f, dim_t, compensate)[:, : n - k * made].astype(np.float32)
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())]
-            rows = [(clip_id, c, k, k * made, x) for c, x in enumerate(found)]
-            return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["clip_id", "channel", "block_idx", "start", "samples"])
+            return rows_of([found(clip_id, k, n, sound)])
 
         blocks = placed.groupBy("clip_id", "chunk").cogroup(facts.groupBy("of_clip", "of_chunk")).applyInArrow(run, schema.BLOCKS)
         return AudioFrame(frame.clips, blocks)

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sonoframe import schema
 from sonoframe.frame import AudioFrame
 from sonoframe.kernels import classify, demix, filters, mux, sampling, spectrum
 from sonoframe.operators import series, votes
@@ -36,7 +35,8 @@ def _sound(key: int) -> list[np.ndarray]:
     t = np.arange(RATE * SECONDS) / RATE
     beat = 60 / (80 + key % 90)
     tone = 0.2 * np.sin(2 * np.pi * (110 + key % 300) * t)
-    click = 0.6 * np.exp(-40 * (t % beat)) * np.sin(2 * np.pi * 900 * (t % beat))
+    since = t % beat
+    click = 0.6 * np.exp(-40 * since) * np.sin(2 * np.pi * 900 * since)
     return [(tone + click).astype(np.float32), (tone * 0.5 + click + 0.05 * np.sin(2 * np.pi * 2000 * t)).astype(np.float32)]
 
 
@@ -54,7 +54,7 @@ def clips(spark, sf_dir) -> AudioFrame:
             for key in batch.column("key").to_pylist():
                 yield from blocks_table(f"s{key}", _sound(key)).to_batches()
 
-    return AudioFrame(rows, keys.mapInArrow(blocks, schema.BLOCKS), RATE)
+    return AudioFrame.making(rows, keys, blocks, RATE)
 
 
 def _each(frame: AudioFrame, names: str, f) -> "DataFrame":  # noqa: F821
